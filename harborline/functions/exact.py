@@ -24,6 +24,11 @@ def exact_mean(c: Column) -> Column:
     return F.try_divide(exact_sum(c), F.count(c))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Round half away from zero on the decimal value, free of binary noise at ties."""
+    return F.round(c.cast("decimal(28,10)"), digits).cast("double")
+
+
 def share(cond: Column) -> Column:
     """Share of rows for which the condition is true; NULL counts as false."""
     return F.count_if(cond) / F.count(F.lit(1))

@@ -8,6 +8,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from harborline.functions.exact import rounded
+
 SEARCHED = ["shipment_id", "carrier", "origin_port", "destination_port", "status"]
 
 
@@ -57,7 +59,7 @@ def event_log(events: DataFrame) -> DataFrame:
             F.replace(F.coalesce("location_name", F.lit("—")), F.lit("_"), F.lit(" ")),
             F.lit(" Δrisk: "),
             sign,
-            F.format_string("%.3f", delta),
+            F.format_string("%.3f", rounded(delta, 3)),
             F.when(F.coalesce("anomaly_flag", F.lit(False)), " ⚠").otherwise(""),
         ).alias("line"),
     )

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window, functions as F
 
 from harborline import schema
+from harborline.functions.exact import rounded
 from harborline.functions.scalars import is_late
 from harborline.operators.browse import moment
 from harborline.session import spool
@@ -42,15 +43,15 @@ def eta(shipments: DataFrame, as_of: datetime, stop_hours: float = MEAN_STOP_HOU
         "shipment_id",
         "carrier",
         "transport_mode",
-        F.timestamp_add("SECOND", F.round(total * 3600, 0).cast("bigint"), moment(as_of)).alias("eta"),
-        F.round(total, 1).alias("eta_hours"),
-        F.round(total * OPTIMISTIC, 1).alias("optimistic_hours"),
-        F.round(total * PESSIMISTIC, 1).alias("pessimistic_hours"),
-        F.round(c * F.lit(0.5) + w * F.lit(0.3), 3).alias("delay_risk"),
-        F.round(km / F.col("speed"), 1).alias("distance_hours"),
-        F.round(travel * F.lit(0.3) * c, 1).alias("congestion_hours"),
-        F.round(travel * F.lit(0.2) * w, 1).alias("weather_hours"),
-        F.round("stopped", 1).alias("stop_hours"),
+        F.timestamp_add("SECOND", rounded(total * 3600, 0).cast("bigint"), moment(as_of)).alias("eta"),
+        rounded(total, 1).alias("eta_hours"),
+        rounded(total * OPTIMISTIC, 1).alias("optimistic_hours"),
+        rounded(total * PESSIMISTIC, 1).alias("pessimistic_hours"),
+        rounded(c * F.lit(0.5) + w * F.lit(0.3), 3).alias("delay_risk"),
+        rounded(km / F.col("speed"), 1).alias("distance_hours"),
+        rounded(travel * F.lit(0.3) * c, 1).alias("congestion_hours"),
+        rounded(travel * F.lit(0.2) * w, 1).alias("weather_hours"),
+        rounded(F.col("stopped"), 1).alias("stop_hours"),
     )
 
 
@@ -69,7 +70,7 @@ def on_time_rate(shipments: DataFrame, min_group: int = 30) -> DataFrame:
         "carrier",
         "transport_mode",
         "shipments",
-        F.round(F.when(F.col("shipments") >= min_group, own).otherwise(usual), 2).alias("on_time_probability"),
+        rounded(F.when(F.col("shipments") >= min_group, own).otherwise(usual), 2).alias("on_time_probability"),
     )
 
 

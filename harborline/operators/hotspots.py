@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from harborline.functions.exact import exact_mean
+from harborline.functions.exact import exact_mean, rounded
 from harborline.functions.scalars import advice, clamp, level, short_id
 from harborline.operators.browse import valid_coords
 from harborline.operators.ranking import latest
@@ -40,9 +40,9 @@ def risk_heatmap(events: DataFrame, window: int | None = None, min_events: int =
     )
     intensity = clamp(F.coalesce(F.nullif("raw", F.lit(0.0)), F.lit(UNKNOWN_RISK)))
     return spots.select(
-        F.round("lat", 4).alias("lat"),
-        F.round("lon", 4).alias("lon"),
-        F.round(intensity, 3).alias("intensity"),
+        rounded(F.col("lat"), 4).alias("lat"),
+        rounded(F.col("lon"), 4).alias("lon"),
+        rounded(intensity, 3).alias("intensity"),
         F.col("location_name").alias("region"),
         "event_count",
         "anomaly_count",
@@ -74,15 +74,15 @@ def bottlenecks(events: DataFrame, window: int | None = None, min_events: int =
     return spots.select(
         short_id(F.col("location_name")).alias("id"),
         F.col("location_name").alias("location"),
-        F.round(F.coalesce("lat", zero), 4).alias("lat"),
-        F.round(F.coalesce("lon", zero), 4).alias("lon"),
+        rounded(F.coalesce("lat", zero), 4).alias("lat"),
+        rounded(F.coalesce("lon", zero), 4).alias("lon"),
         level(severity).alias("severity"),
-        F.round(severity, 3).alias("severity_score"),
-        F.round("delay", 1).alias("avg_delay_hours"),
-        F.round("wait", 1).alias("avg_port_wait_hours"),
+        rounded(severity, 3).alias("severity_score"),
+        rounded(F.col("delay"), 1).alias("avg_delay_hours"),
+        rounded(F.col("wait"), 1).alias("avg_port_wait_hours"),
         "event_count",
         "anomaly_count",
-        F.round(F.col("delay") * 1.5, 1).alias("estimated_clearance_hours"),
+        rounded(F.col("delay") * 1.5, 1).alias("estimated_clearance_hours"),
         "last_seen",
         advice(severity).alias("recommendation"),
         F.when(F.col("delay") > PORT_DELAY_HOURS, "port_congestion").otherwise("transit_delay").alias("type"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from harborline import schema
-from harborline.functions.exact import exact_mean, exact_sum, share
+from harborline.functions.exact import exact_mean, exact_sum, rounded, share
 from harborline.functions.scalars import is_late
 from harborline.operators.ranking import latest
 from harborline.sources.views import small_table
@@ -48,11 +48,11 @@ def kpi_report(kpis: DataFrame) -> DataFrame:
         F.col("active").alias("total_active_shipments"),
         F.col("at_risk").alias("at_risk_shipments"),
         F.col("critical").alias("critical_alerts"),
-        F.round(F.col("on_schedule") / F.greatest(one, F.col("active")), 3).alias("on_time_rate"),
-        F.round(F.coalesce("avg_delay", zero), 1).alias("avg_delay_hours"),
-        F.round(F.coalesce("total_freight", zero), 0).alias("total_freight_usd"),
-        F.round(F.coalesce("avg_risk", zero), 3).alias("avg_risk_score"),
-        F.round(F.col("total") * SAVING_PER_SHIPMENT, 0).alias("cost_savings_today_usd"),
+        rounded(F.col("on_schedule") / F.greatest(one, F.col("active")), 3).alias("on_time_rate"),
+        rounded(F.coalesce("avg_delay", zero), 1).alias("avg_delay_hours"),
+        rounded(F.coalesce("total_freight", zero), 0).alias("total_freight_usd"),
+        rounded(F.coalesce("avg_risk", zero), 3).alias("avg_risk_score"),
+        rounded(F.col("total") * SAVING_PER_SHIPMENT, 0).alias("cost_savings_today_usd"),
         at_least_one(F.expr(f"total div {SHIPMENTS_PER_ROUTE}")).alias("routes_optimized_today"),
         at_least_one(F.expr(f"at_risk div {RISKS_PER_PREVENTION}")).alias("disruptions_prevented"),
         F.when(some, "spark").otherwise("db_unavailable").alias("data_source"),
@@ -67,7 +67,7 @@ def carrier_performance(shipments: DataFrame, window: int | None = None, top: in
         .agg((1 - share(is_late(F.col("status")))).alias("raw"))
         .orderBy(F.col("raw").desc(), "carrier")
         .limit(top)
-        .select("carrier", F.round("raw", 3).alias("performance"))
+        .select("carrier", rounded(F.col("raw"), 3).alias("performance"))
     )
 
 
@@ -79,7 +79,7 @@ def mode_split(shipments: DataFrame, window: int | None = None) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     total = F.sum("n").over(Window.partitionBy())
-    return counts.select("transport_mode", F.round(F.col("n") / total, 3).alias("share"))
+    return counts.select("transport_mode", rounded(F.col("n") / total, 3).alias("share"))
 
 
 def mode_split_pct(split: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def mode_split_pct(split: DataFrame) -> DataFrame:
     total = F.sum(part.cast("decimal(18,3)")).over(Window.partitionBy()).cast("double")
     return modes.join(split, "transport_mode", "left").select(
         "transport_mode",
-        F.round(part / F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)) * 100, 1).alias("percent"),
+        rounded(part / F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)) * 100, 1).alias("percent"),
     )
 
 
@@ -105,8 +105,8 @@ def carrier_report(shipments: DataFrame, top: int = 10) -> DataFrame:
         .select(
             "carrier",
             "shipments",
-            F.round("delay", 1).alias("avg_delay"),
-            F.round("risk", 3).alias("avg_risk"),
+            rounded(F.col("delay"), 1).alias("avg_delay"),
+            rounded(F.col("risk"), 3).alias("avg_risk"),
         )
         .orderBy(F.col("avg_delay").desc_nulls_first(), "carrier")
         .limit(top)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from harborline.functions.exact import rounded
 from harborline.operators.ranking import number_rows, running_total
 from harborline.session import spool
 
@@ -133,7 +134,7 @@ def live_kpis(events: DataFrame, batch: int = BATCH, keep: int = KEEP) -> DataFr
         F.col("sample").alias("records"),
         F.col("active").alias("active_shipments"),
         F.col("at_risk").alias("at_risk_shipments"),
-        F.round(F.col("on_time") / F.col("sample"), 4).alias("on_time_rate"),
+        rounded(F.col("on_time") / F.col("sample"), 4).alias("on_time_rate"),
         F.col("critical").alias("critical_alerts"),
         F.greatest("tick", "at_risk").alias("routes_optimized"),
     )

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from harborline import schema
-from harborline.functions.exact import exact_mean, exact_sum, share
+from harborline.functions.exact import exact_mean, exact_sum, rounded, share
 from harborline.functions.scalars import is_late, location_match
 from harborline.operators.browse import since
 from harborline.session import spool
@@ -92,13 +92,13 @@ def edge_weights(
 
 def network_view(lanes: DataFrame, congested: DataFrame) -> DataFrame:
     """Lanes as drawn: distance, modes, congestion of the far end, risk and band."""
-    risk = F.round(F.col("congestion") * F.lit(0.7), 2)
+    risk = rounded(F.col("congestion") * F.lit(0.7), 2)
     return lanes.join(congested.withColumnRenamed("node", "dst"), "dst").select(
         F.col("src").alias("source"),
         F.col("dst").alias("target"),
         F.col("distance_km").alias("distance"),
         F.array_join("modes", ",").alias("modes"),
-        F.round("congestion", 2).alias("congestion"),
+        rounded(F.col("congestion"), 2).alias("congestion"),
         risk.alias("risk"),
         F.when(risk < 0.3, "low").when(risk < 0.6, "medium").otherwise("high").alias("band"),
     )
@@ -184,15 +184,16 @@ def route_details(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return paths.join(totals, PAIR, "left").select(
         *PAIR,
         F.array_join("path", ">").alias("path"),
-        F.round(total("time_h"), 1).alias("total_time_hours"),
-        F.round(total("cost"), 0).alias("total_cost_usd"),
-        F.round(total("risk"), 3).alias("total_risk_score"),
+        rounded(total("time_h"), 1).alias("total_time_hours"),
+        rounded(total("cost"), 0).alias("total_cost_usd"),
+        rounded(total("risk"), 3).alias("total_risk_score"),
+        total("risk").alias("route_risk"),
     )
 
 
 def risk_action(risk: Column) -> dict[str, Column]:
     """Action, its confidence and a message for a route risk."""
-    shown = F.format_string("%.2f", risk)
+    shown = F.format_string("%.2f", rounded(risk, 2))
 
     def pick(maintain, minor, major, emergency) -> Column:
         return F.when(risk < 0.30, maintain).when(risk < 0.55, minor).when(risk < 0.75, major).otherwise(emergency)
@@ -239,7 +240,8 @@ def route_shipments(shipments: DataFrame, ports: DataFrame, details: DataFrame,
         _on_network(shipments, ports)
         .select("shipment_id", "origin", "destination", "transport_mode")
         .join(routes, ["origin", "destination", "transport_mode"], "left")
-        .withColumns(risk_action(F.col("total_risk_score")))
+        .withColumns(risk_action(F.col("route_risk")))
+        .drop("route_risk")
     )
 
 
@@ -277,9 +279,9 @@ def lane_report(shipments: DataFrame, details: DataFrame, profile: str = "balanc
         F.col("origin_port").alias("origin"), F.col("destination_port").alias("destination"), "transport_mode"
     ).agg(
         F.count(F.lit(1)).alias("shipments"),
-        F.round(share(is_late(F.col("status"))), 4).alias("delay_rate"),
-        F.round(exact_mean(F.col("risk_score")), 4).alias("avg_risk"),
-        F.round(exact_mean(F.col("freight_cost_usd")), 2).alias("avg_freight_usd"),
+        rounded(share(is_late(F.col("status"))), 4).alias("delay_rate"),
+        rounded(exact_mean(F.col("risk_score")), 4).alias("avg_risk"),
+        rounded(exact_mean(F.col("freight_cost_usd")), 2).alias("avg_freight_usd"),
     )
     planned = details.where(F.col("profile") == profile).select(
         *pair, "total_time_hours", "total_cost_usd", "total_risk_score"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from harborline import schema
-from harborline.functions.exact import exact_mean
+from harborline.functions.exact import exact_mean, rounded
 from harborline.operators.ranking import weight_before
 from harborline.session import spool
 from harborline.sources.views import small_table
@@ -115,7 +115,7 @@ def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
         summary = summary.join(quantiles(df, names, QUARTILES), "column_name", "left")
 
     def shown(c: str) -> Column:
-        return F.round(c, 3)
+        return rounded(F.col(c), 3)
 
     return summary.select(
         "column_name",
@@ -142,7 +142,7 @@ def profile_ready(df: DataFrame) -> DataFrame:
     share = F.try_divide(F.sum("missing"), F.sum("rows"))
     return profile_missing(df).agg(
         F.max("rows").alias("rows"),
-        F.round(1 - F.coalesce(share, F.lit(0.0)), 3).alias("completeness"),
+        rounded(1 - F.coalesce(share, F.lit(0.0)), 3).alias("completeness"),
         F.lit(len(_numeric(df))).cast("bigint").alias("numeric_features"),
         F.lit(len(text)).cast("bigint").alias("categorical_features"),
         (F.max("rows") > ENOUGH_ROWS).alias("suitable_for_prediction"),

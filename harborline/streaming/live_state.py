@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from harborline.functions.exact import rounded
 from harborline.operators.live import EVENT_ORDER, KEEP, SAVED_PER_ALERT, SAVED_PER_RISK, event_marks
 from harborline.streaming.events import read_batch
 
@@ -42,7 +43,7 @@ def live_kpis_sink(root: str, key: Column | None = None, keep: int = KEEP) -> Ca
             F.count(F.lit(1)).alias("records"),
             F.count_distinct("shipment_id").alias("active_shipments"),
             F.count_distinct(F.when(F.col("severe"), F.col("shipment_id"))).alias("at_risk_shipments"),
-            F.round(F.count_if("on_time") / F.count(F.lit(1)), 4).alias("on_time_rate"),
+            rounded(F.count_if("on_time") / F.count(F.lit(1)), 4).alias("on_time_rate"),
             F.count_if("critical").alias("critical_alerts"),
             (F.max("arrived") == batch_id).cast("int").alias("fresh"),
         )

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from harborline import schema
+from harborline.functions.exact import rounded
 from harborline.operators.disruption import disruption_features, score_disruption
 
 
@@ -21,7 +22,7 @@ def congestion_stream(stream: DataFrame, slide: str = "1 day", delay: str = "1 d
             F.col("window.end").alias("window_end"),
             "location_name",
             "events",
-            F.round((F.lit(0.8) * F.col("held") + F.lit(0.2) * (F.col("events") - F.col("held"))) / F.col("events"), 6)
+            rounded((F.lit(0.8) * F.col("held") + F.lit(0.2) * (F.col("events") - F.col("held"))) / F.col("events"), 6)
             .alias("congestion"),
         )
     )
