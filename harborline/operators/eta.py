@@ -43,7 +43,7 @@ def eta(shipments: DataFrame, as_of: datetime, stop_hours: float = MEAN_STOP_HOU
         "shipment_id",
         "carrier",
         "transport_mode",
-        F.timestamp_add("SECOND", rounded(total * 3600, 0).cast("bigint"), moment(as_of)).alias("eta"),
+        F.timestamp_add("SECOND", F.floor(total * 3600 + F.lit(0.5)), moment(as_of)).alias("eta"),
         rounded(total, 1).alias("eta_hours"),
         rounded(total * OPTIMISTIC, 1).alias("optimistic_hours"),
         rounded(total * PESSIMISTIC, 1).alias("pessimistic_hours"),

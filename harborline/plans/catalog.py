@@ -216,8 +216,8 @@ def scaled_delay(spark, sf):
     delay = F.col("delay_added_hours")
     return _events(spark, sf).select(
         "event_id",
-        F.round(scalars.clamp(delay / 48), 6).alias("clamped"),
-        F.round(scalars.rescale(delay, ["location_name"], 0.05, 0.65), 6).alias("scaled"),
+        rounded(scalars.clamp(delay / 48), 6).alias("clamped"),
+        rounded(scalars.rescale(delay, ["location_name"], 0.05, 0.65), 6).alias("scaled"),
     )
 
 
@@ -227,7 +227,7 @@ def port_distances(spark, sf):
     located = browse.valid_coords(_events(spark, sf)).select("event_id", "location_name", "latitude", "longitude")
     port = views.ports(spark).select(F.col("node").alias("location_name"), "lat", "lon")
     km = scalars.haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
-    return located.join(port, "location_name").select("event_id", F.round(km, 6).alias("km"))
+    return located.join(port, "location_name").select("event_id", rounded(km, 6).alias("km"))
 
 
 @query
@@ -408,14 +408,14 @@ def _details(spark, sf):
 
 @query
 def port_congestion(spark, sf):
-    return _congestion(spark, sf).select("node", F.round("congestion", 9).alias("congestion"))
+    return _congestion(spark, sf).select("node", rounded(F.col("congestion"), 6).alias("congestion"))
 
 
 @query
 def edge_weights(spark, sf):
     return network.edge_weights(views.lanes(spark), _congestion(spark, sf)).select(
         "src", "dst", "profile", "transport_mode", "weight",
-        *(F.round(c, 6).alias(c) for c in ("time_h", "cost", "risk")),
+        *(rounded(F.col(c), 6).alias(c) for c in ("time_h", "cost", "risk")),
     )
 
 

@@ -538,7 +538,7 @@ from (select doc_id, unnest(regexp_split_to_array(text, '\\s+')) w from document
         ),
         "eta_estimates": _sql(
             f"""select shipment_id, carrier, transport_mode,
-  timestamp '2001-08-01 00:00:00' + to_seconds(cast(round(total*3600, 0) as bigint)) eta, round(total, 1) eta_hours,
+  timestamp '2001-08-01 00:00:00' + to_seconds(cast(floor(total*3600 + 0.5e0) as bigint)) eta, round(total, 1) eta_hours,
   round(total*0.85e0, 1) optimistic_hours, round(total*1.28e0, 1) pessimistic_hours,
   round(c*0.5e0 + w*0.3e0, 3) delay_risk, round(km/speed, 1) distance_hours, round(travel*0.3e0*c, 1) congestion_hours,
   round(travel*0.2e0*w, 1) weather_hours, round(stopped, 1) stop_hours from ({ETA})""",
@@ -605,7 +605,7 @@ window g as (partition by location_name)""".replace("last(v order by step) over
             ),
             "hourly_on_time",
         ),
-        "port_congestion": _sql("select node, round(congestion, 9) congestion from congestion", "congestion"),
+        "port_congestion": _sql("select node, round(congestion, 6) congestion from congestion", "congestion"),
         "edge_weights": _sql(
             """select src, dst, profile, transport_mode, weight, round(time_h, 6) time_h, round(cost, 6) as cost,
   round(risk, 6) risk from edges""",
