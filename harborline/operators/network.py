@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from harborline import schema
 from harborline.functions.exact import exact_mean, exact_sum, rounded, share
@@ -107,45 +107,69 @@ def network_view(lanes: DataFrame, congested: DataFrame) -> DataFrame:
 def cheapest_paths(edges: DataFrame) -> DataFrame:
     """Exact cheapest path of every pair, profile and mode; ties go to the lesser path.
 
-    Each pass extends only the paths that improved in the pass before. The table
-    of best paths is written after every pass, so the lineage stays short, and the
-    join sees its true size.
+    Each pass extends only the paths that improved in the pass before, by one or
+    two lanes. The table of best paths is written after every pass, so the lineage
+    stays short, and the join sees its true size.
     """
-    edges = spool(edges, "edges")
-    steps = edges.select("src", "dst", *CONFIG, F.col("weight").alias("step"))
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("origin"), *CONFIG).distinct()
-    best = spool(
-        ends.select(
-            *CONFIG,
-            "origin",
-            F.col("origin").alias("destination"),
-            F.lit(0).cast("bigint").alias("weight"),
-            F.array("origin").alias("path"),
-            F.lit(0).alias("improved"),
-        ),
-        "paths",
+    steps = _steps(spool(edges, "edges"))
+    ends = steps.select(F.explode(F.array("src", "dst")).alias("origin"), *CONFIG).distinct()
+    best = ends.select(
+        *CONFIG,
+        "origin",
+        F.col("origin").alias("destination"),
+        F.lit(0).cast("bigint").alias("weight"),
+        F.array("origin").alias("path"),
+        F.lit(0).alias("improved"),
     )
-    done = 0
-    while True:
+    done, changed = 0, 1
+    while changed:
         done += 1
         longer = (
             best.where(F.col("improved") == done - 1)
             .withColumnRenamed("destination", "src")
             .join(steps, ["src", *CONFIG])
-            .where(~F.array_contains("path", F.col("dst")))
+            .where(~F.arrays_overlap("path", "hops"))
             .select(
                 *CONFIG,
                 "origin",
                 F.col("dst").alias("destination"),
                 (F.col("weight") + F.col("step")).alias("weight"),
-                F.concat("path", F.array("dst")).alias("path"),
+                F.concat("path", "hops").alias("path"),
                 F.lit(done).alias("improved"),
             )
         )
         least = F.min(F.struct("weight", "path", "improved")).alias("least")
-        best = spool(best.unionByName(longer).groupBy(*PAIR).agg(least).select(*PAIR, "least.*"), "paths")
-        if best.where(F.col("improved") == done).isEmpty():
-            return best.drop("improved")
+        merged = best.unionByName(longer).groupBy(*PAIR).agg(least).select(*PAIR, "least.*")
+        seen = Observation()
+        best = spool(merged.observe(seen, F.count_if(F.col("improved") == done).alias("n")), "paths")
+        changed = seen.get["n"]
+    return best.drop("improved")
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    """The cheapest ways of one or two lanes: two lanes at a time halve the passes."""
+    one = edges.select("src", "dst", *CONFIG, F.col("weight").alias("step"), F.array("dst").alias("hops"))
+    second = one.select(
+        F.col("src").alias("via"), F.col("dst").alias("end"), *CONFIG, F.col("step").alias("more"),
+        F.col("hops").alias("rest"),
+    )
+    two = (
+        one.withColumnRenamed("dst", "via")
+        .join(second, ["via", *CONFIG])
+        .where(F.col("end") != F.col("src"))
+        .select(
+            "src",
+            F.col("end").alias("dst"),
+            *CONFIG,
+            (F.col("step") + F.col("more")).alias("step"),
+            F.concat("hops", "rest").alias("hops"),
+        )
+    )
+    least = F.min(F.struct("step", "hops")).alias("least")
+    return spool(
+        one.unionByName(two).groupBy("src", "dst", *CONFIG).agg(least).select("src", "dst", *CONFIG, "least.*"),
+        "steps",
+    )
 
 
 def route_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:

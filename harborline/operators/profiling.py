@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from harborline import schema
 from harborline.functions.exact import exact_mean, rounded
@@ -16,6 +17,7 @@ QUARTILES = [0.25, 0.5, 0.75]
 ENOUGH_ROWS = 100
 PREVIEW_CHARS = 600
 MAX_INSIGHTS = 6
+SLICES = 10_000
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -55,39 +57,72 @@ def profile_missing(df: DataFrame) -> DataFrame:
     return counts.select(F.col("_rows").alias("rows"), F.inline(columns))
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float]) -> DataFrame:
+def quantiles(df: DataFrame, limits: dict[str, tuple[int, float, float]], points: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, for any number of rows.
 
-    Values are counted, put in order across the cluster and weighed, so no task
-    holds all the values of a column.
+    ``limits`` holds count, minimum and maximum of each column. A first pass counts
+    values per slice of the column's range, which tells in which slices the wanted
+    ranks lie. Only the values of those slices are then counted one by one and put
+    in order across the cluster, so no task holds the values of a column.
     """
-    pairs = F.array(*(F.struct(F.lit(n).alias("column_name"), _present(n).alias("v")) for n in columns))
-    counts = (
-        df.select(F.inline(pairs)).where(F.col("v").isNotNull())
-        .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ordered = weight_before(counts, ["column_name", "v"], "n", "before")
-    limits = spool(
-        ordered.groupBy("column_name").agg(F.min("before").alias("start"), F.sum("n").alias("rows")), "limits"
-    )
-    ranked = ordered.join(limits, "column_name").withColumn("rank", F.col("before") - F.col("start"))
+    spark = df.sparkSession
+    known = {c: v for c, v in limits.items() if v[0]}
+    if not known:
+        return small_table(spark, ["column_name"], [("",)]).where(F.lit(False)).select(
+            "column_name", *(F.lit(None).cast("double").alias(f"q{i}") for i in range(len(points)))
+        )
 
-    def at(position: Column) -> Column:
-        inside = (F.col("rank") <= position) & (position < F.col("rank") + F.col("n"))
-        return F.max(F.when(inside, F.col("v")))
+    def sliced(name: str) -> Column:
+        _, low, high = known[name]
+        width = high - low
+        place = F.floor((_present(name) - F.lit(low)) / F.lit(width) * SLICES) if width > 0 else F.lit(0)
+        return F.least(place, F.lit(SLICES - 1)).cast("int")
 
-    spots = [(f"q{i}", F.lit(p) * (F.col("rows") - 1)) for i, p in enumerate(points)]
-    found = ranked.groupBy("column_name").agg(
-        F.max("rows").alias("rows"),
-        *(at(F.floor(spot)).alias(f"{name}_lo") for name, spot in spots),
-        *(at(F.ceil(spot)).alias(f"{name}_hi") for name, spot in spots),
+    pairs = F.array(
+        *(F.struct(F.lit(n).alias("column_name"), sliced(n).alias("slice"), _present(n).alias("v")) for n in known)
+    )
+    values = df.select(F.inline(pairs)).where(F.col("v").isNotNull())
+    below = Window.partitionBy("column_name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (
+        values.groupBy("column_name", "slice").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
     )
-    return found.select(
+    spots = [
+        (name, f"q{i}", p * (rows - 1), math.floor(p * (rows - 1)), math.ceil(p * (rows - 1)))
+        for name, (rows, _, _) in known.items()
+        for i, p in enumerate(points)
+    ]
+    wanted = small_table(spark, ["column_name", "point", "spot", "lo", "hi"], spots)
+    ranks = wanted.select(
+        "column_name", "point", "spot", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rank"), "lo", "hi"
+    )
+    inside = (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("n"))
+    targets = spool(ranks.join(slices, "column_name").where(inside), "ranks")
+    chosen = targets.select("column_name", "slice", "below").distinct()
+    counts = (
+        values.join(chosen, ["column_name", "slice"])
+        .groupBy("column_name", "slice", "below", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+    ordered = weight_before(counts, ["column_name", "slice", "v"], "n", "before")
+    starts = ordered.groupBy("column_name", "slice").agg(F.min("before").alias("start"))
+    placed = ordered.join(starts, ["column_name", "slice"]).select(
         "column_name",
-        *(
-            (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (spot - F.floor(spot))).alias(n)
-            for n, spot in spots
-        ),
+        "slice",
+        "v",
+        (F.col("below") + F.col("before") - F.col("start")).alias("first"),
+        "n",
+    )
+    hit = (F.col("first") <= F.col("rank")) & (F.col("rank") < F.col("first") + F.col("n"))
+    found = placed.join(targets.drop("n", "below"), ["column_name", "slice"]).where(hit)
+    ends = found.groupBy("column_name", "point").agg(
+        F.max("spot").alias("spot"),
+        F.max("lo").alias("lo"),
+        F.max(F.when(F.col("rank") == F.col("lo"), F.col("v"))).alias("v_lo"),
+        F.max(F.when(F.col("rank") == F.col("hi"), F.col("v"))).alias("v_hi"),
+    )
+    value = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("spot") - F.col("lo"))
+    return ends.groupBy("column_name").agg(
+        *(F.max(F.when(F.col("point") == f"q{i}", value)).alias(f"q{i}") for i in range(len(points)))
     )
 
 
@@ -112,7 +147,9 @@ def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     )
     summary = one.select(F.inline(columns))
     if exact:
-        summary = summary.join(quantiles(df, names, QUARTILES), "column_name", "left")
+        summary = spool(summary, "summary")
+        limits = {r["column_name"]: (r["count"], r["min"], r["max"]) for r in summary.collect()}
+        summary = summary.join(quantiles(df, limits, QUARTILES), "column_name", "left")
 
     def shown(c: str) -> Column:
         return rounded(F.col(c), 3)

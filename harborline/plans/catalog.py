@@ -499,7 +499,7 @@ def profile_missing(spark, sf):
 
 @query
 def profile_numeric(spark, sf):
-    return profiling.profile_numeric(_shipments(spark, sf))
+    return profiling.profile_numeric(spool(_shipments(spark, sf), "profiled"))
 
 
 @query

@@ -37,7 +37,12 @@ def _value(df: DataFrame, field: T.StructField, names: Sequence[str]) -> Column:
     return F.coalesce(*(t.try_cast(kind) for t in texts))
 
 
-def conform(df: DataFrame, contract: T.StructType, aliases: Mapping[str, Sequence[str]] = ALIASES) -> DataFrame:
+def conform(
+    df: DataFrame,
+    contract: T.StructType,
+    aliases: Mapping[str, Sequence[str]] = ALIASES,
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """Contract columns in contract order; absent ones are NULL, unreadable values too."""
     out = []
     for field in contract.fields:
@@ -47,4 +52,4 @@ def conform(df: DataFrame, contract: T.StructType, aliases: Mapping[str, Sequenc
         if field.name == "ingested_at":
             value = F.coalesce(value, F.current_timestamp())
         out.append(value.alias(field.name))
-    return df.select(*out)
+    return df.select(*out, *keep)

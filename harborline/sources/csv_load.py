@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from harborline.session import spool
 
 CORRUPT = "_corrupt_record"
+# Where a row stood in its input: the order in which the first row of a key wins.
+ARRIVAL = ["_file", "_block", "_line"]
+FILE_BYTES = "_file_bytes"
 
 
 def load_csv(spark: SparkSession, path: str, contract: T.StructType) -> DataFrame:
     """Rows of headed CSV files, typed by the contract through the header's names.
 
     Columns the contract lacks are read as text. Unreadable rows come with their
-    text in ``_corrupt_record``.
+    text in ``_corrupt_record``; every row comes with its place in the input.
     """
     header = spark.read.option("header", True).csv(path).columns
     known = {f.name: f.dataType for f in contract.fields}
@@ -30,6 +33,13 @@ def load_csv(spark: SparkSession, path: str, contract: T.StructType) -> DataFram
         .option("nullValue", "")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
+        .select(
+            *(F.col(f"`{f.name}`") for f in fields),
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+            F.col("_metadata.file_size").alias(FILE_BYTES),
+        )
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, fu
 
 from harborline import schema
 from harborline.sources.conform import conform
-from harborline.sources.csv_load import load_csv, split_good_bad
+from harborline.sources.csv_load import ARRIVAL, FILE_BYTES, load_csv, split_good_bad
 from harborline.sources.views import small_table
 
 REPORT = [
@@ -70,22 +70,22 @@ def load_table(spark: SparkSession, path: str, table: str) -> tuple:
     """Read, stage, conform and append one CSV input; a report row."""
     begun = time.monotonic()
     contract, key = schema.CONTRACTS[table], schema.KEYS[table]
-    raw = load_csv(spark, path, contract)
-    good, bad = split_good_bad(raw, key)
-    rows = conform(good, contract)
+    good, bad = split_good_bad(load_csv(spark, path, contract), key)
+    rows = conform(good, contract, keep=[*ARRIVAL, FILE_BYTES])
     too_long = [F.length(c) > n for c, n in schema.TEXT_LIMITS[table].items()]
-    counts = rows.agg(
+    files = rows.groupBy("_file").agg(
         F.count(F.lit(1)).alias("good"),
         F.count_if(F.greatest(*(F.coalesce(c, F.lit(False)) for c in too_long))).alias("long_texts"),
-    ).first()
+        F.max(FILE_BYTES).alias("bytes"),
+    )
+    zero = F.lit(0)
+    counts = files.agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("good", "long_texts", "bytes"))).first()
     errored = bad.count()
-    order = [F.col(c).asc_nulls_last() for c in contract.names if c != "ingested_at"]
-    inserted = insert(append_new(spark.table(table), rows, key, order), table)
-    size = raw.groupBy("_metadata.file_path").agg(F.max("_metadata.file_size").alias("b")).agg(F.sum("b")).first()[0]
+    inserted = insert(append_new(spark.table(table), rows, key, ARRIVAL), table)
     status = "success" if errored == 0 else "partial"
     return (
         table, status, "csv", counts["good"] + errored, inserted, counts["good"] - inserted, errored,
-        counts["long_texts"], round(time.monotonic() - begun, 1), int(size or 0),
+        counts["long_texts"], round(time.monotonic() - begun, 1), counts["bytes"],
     )
 
 
