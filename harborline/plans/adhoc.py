@@ -48,4 +48,4 @@ def safe_select(
         found = guard.sql(f"SELECT * FROM (\n{text}\n) AS answer")
         return Answer(rows=found.limit(cap), total=found.count())
     except PySparkException as failure:
-        return Answer(error=str(failure).splitlines()[0])
+        return Answer(error=str(failure).strip().splitlines()[0])
