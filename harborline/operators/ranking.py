@@ -27,10 +27,6 @@ def _order(keys: Sequence[str], descending: bool) -> list[Column]:
     return [F.col(k).desc_nulls_first() if descending else F.col(k).asc_nulls_last() for k in keys]
 
 
-def _shuffle_width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _ordered_parts(df: DataFrame, keys: Sequence[str], descending: bool) -> DataFrame:
     """Rows in range-partitioned order, written once, with part number and slot in the part.
 
@@ -40,7 +36,7 @@ def _ordered_parts(df: DataFrame, keys: Sequence[str], descending: bool) -> Data
     order = _order(keys, descending)
     slot = F.monotonically_increasing_id()
     return spool(
-        df.repartitionByRange(_shuffle_width(df), *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.shiftright(slot, 33).cast("int"))
         .withColumn("_slot", slot.bitwiseAND(F.lit((1 << 33) - 1))),

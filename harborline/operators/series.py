@@ -12,6 +12,7 @@ from harborline import schema
 from harborline.functions.exact import exact_mean, fixed, rounded, share
 from harborline.functions.scalars import clamp, is_late
 from harborline.operators.browse import moment, since
+from harborline.session import spool
 
 WEEK = 7
 BASE_DEMAND = 1000.0
@@ -21,6 +22,20 @@ RIDGE_ALPHA = 1.0
 BAND_START, BAND_GROWTH = 0.03, 0.07
 
 
+def rescale(df: DataFrame, column: str, by: Sequence[str], lo: float, hi: float, name: str) -> DataFrame:
+    """Min-max scale of each series into [lo, hi]; a flat series maps to lo.
+
+    The limits are aggregated and joined back: a window per series would put all
+    rows of a hot series into one task.
+    """
+    limits = spool(
+        df.groupBy(*by).agg(F.min(column).alias("_low"), F.max(column).alias("_high")), "series-limits"
+    )
+    spread = F.col("_high") - F.col("_low") + F.lit(1e-9)
+    scaled = F.lit(lo) + (F.col(column) - F.col("_low")) / spread * F.lit(hi - lo)
+    return df.join(limits, list(by), "left").withColumn(name, scaled).drop("_low", "_high")
+
+
 def delay_series(shipments: DataFrame, as_of: date, days: int = 30) -> DataFrame:
     """Per created date of the last days: mean delay, count, delay rate, mean risk."""
     return (

@@ -8,6 +8,7 @@ from datetime import date, datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from harborline import schema
 from harborline.functions import scalars
@@ -214,10 +215,11 @@ def location_ids(spark, sf):
 @query
 def scaled_delay(spark, sf):
     delay = F.col("delay_added_hours")
-    return _events(spark, sf).select(
+    rows = _events(spark, sf).select("event_id", "location_name", "delay_added_hours")
+    return series.rescale(rows, "delay_added_hours", ["location_name"], 0.05, 0.65, "scaled").select(
         "event_id",
         rounded(scalars.clamp(delay / 48), 6).alias("clamped"),
-        rounded(scalars.rescale(delay, ["location_name"], 0.05, 0.65), 6).alias("scaled"),
+        rounded(F.col("scaled"), 6).alias("scaled"),
     )
 
 
@@ -247,12 +249,16 @@ def defaulted_inputs(spark, sf):
 
 @query
 def parsed_text(spark, sf):
-    """Numbers and flags read from text that is blank, unreadable or padded."""
-    text = F.split("text", r"\s+")
-    return views.table(spark, sf, "documents").select("doc_id", F.explode(text).alias("word")).groupBy("doc_id").agg(
-        F.count(scalars.num(F.col("word"))).alias("numbers"),
-        F.sum(scalars.num(F.col("word"), 0, "decimal(18,2)")).cast("double").alias("total"),
-        F.count_if(scalars.flag(F.col("word"))).alias("flags"),
+    """Numbers and flags among the words of each text, read in place."""
+    words = F.split("text", r"\s+")
+    numbers = F.filter(F.transform(words, lambda w: scalars.num(w)), lambda v: v.isNotNull())
+    money = F.transform(words, lambda w: scalars.num(w, 0, "decimal(18,2)").cast("decimal(28,2)"))
+    total = F.aggregate(money, F.lit(0).cast("decimal(28,2)"), lambda acc, v: (acc + v).cast("decimal(28,2)"))
+    return views.table(spark, sf, "documents").select(
+        "doc_id",
+        F.size(numbers).cast("bigint").alias("numbers"),
+        total.cast("double").alias("total"),
+        F.size(F.filter(words, lambda w: scalars.flag(w))).cast("bigint").alias("flags"),
     )
 
 
@@ -581,7 +587,7 @@ def _load_session(spark: SparkSession) -> tuple[SparkSession, str]:
 
 
 @query
-def pipeline_report(spark, sf):
+def load_report(spark, sf):
     """Two full runs over the same CSVs: the second one finds only duplicates."""
     session, root = _load_session(spark)
     folder = scratch_path(spark, "csv")
@@ -674,55 +680,59 @@ def source_status(spark, sf):
 STREAM_CUTS = [datetime(2024, 1, d) for d in (7, 13, 19, 25)]
 
 
-def _event_folder(spark, sf, copies: int = 1) -> tuple[str, DataFrame]:
-    """The events in five folders' worth of files, oldest first, as a stream finds them."""
-    raw, path = views.table(spark, sf, "events"), scratch_path(spark, "stream-in")
-    limits = [None, *STREAM_CUTS, None]
+def _event_pieces(spark, sf) -> list[DataFrame]:
+    """The events in five spans of time, oldest first."""
+    raw, limits = views.table(spark, sf, "events"), [None, *STREAM_CUTS, None]
+    pieces = []
     for low, high in zip(limits, limits[1:]):
-        part = raw
+        piece = raw
         if low is not None:
-            part = part.where(F.col("ts") >= F.lit(str(low)).cast("timestamp_ntz"))
+            piece = piece.where(F.col("ts") >= F.lit(str(low)).cast("timestamp_ntz"))
         if high is not None:
-            part = part.where(F.col("ts") < F.lit(str(high)).cast("timestamp_ntz"))
-        for _ in range(copies):
-            part.coalesce(1).write.mode("append").parquet(path)
-    return path, views.telemetry(streams.event_stream(spark, path, raw.schema))
+            piece = piece.where(F.col("ts") < F.lit(str(high)).cast("timestamp_ntz"))
+        pieces.append(piece)
+    return pieces
 
 
-def _run(writer, spark, label: str):
-    done = streams.start(writer, scratch_path(spark, f"{label}-checkpoint"), interval=None)
-    done.awaitTermination()
-    return done
+def _stream(spark, sf, writer_of, copies: int = 1) -> StreamingQuery:
+    """Let each span arrive in turn and resume the stream on it; the last run."""
+    path, checkpoint = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-checkpoint")
+    run = None
+    for piece in _event_pieces(spark, sf):
+        for _ in range(copies):
+            piece.write.mode("append").parquet(path)
+            arriving = views.telemetry(streams.event_stream(spark, path, piece.schema, files_per_batch=None))
+            run = streams.start(writer_of(arriving), checkpoint, interval=None)
+            run.awaitTermination()
+    return run
 
 
-def _to_table(stream: DataFrame, spark, label: str) -> DataFrame:
-    out = scratch_path(spark, label)
-    _run(stream.writeStream.format("parquet").option("path", out), spark, label)
-    return spark.read.schema(stream.schema).parquet(out)
+def _stream_table(spark, sf, transform, schema_ddl: str, copies: int = 1) -> DataFrame:
+    """What a transformed event stream appended to a table."""
+    out = scratch_path(spark, "stream-out")
+    _stream(spark, sf, lambda s: transform(s).writeStream.format("parquet").option("path", out), copies)
+    return spark.read.schema(schema_ddl).parquet(out)
 
 
 @query
 def stream_ledger(spark, sf):
-    _, stream = _event_folder(spark, sf)
     root = scratch_path(spark, "ledger")
-    _run(stream.writeStream.foreachBatch(streams.batch_payload(root)), spark, "ledger")
+    _stream(spark, sf, lambda s: s.writeStream.foreachBatch(streams.batch_payload(root)))
     return spark.read.parquet(f"{root}/ledger").select("tick", "offset", "batch_size", "processed_records")
 
 
 @query
 def stream_health(spark, sf):
-    _, stream = _event_folder(spark, sf)
     root = scratch_path(spark, "health")
-    done = _run(stream.writeStream.foreachBatch(streams.batch_payload(root)), spark, "health")
+    done = _stream(spark, sf, lambda s: s.writeStream.foreachBatch(streams.batch_payload(root)))
     return streams.stream_health(done).select("tick", "rows", "processed_records", "running")
 
 
 @query
 def stream_live_kpis(spark, sf):
-    _, stream = _event_folder(spark, sf)
     root = scratch_path(spark, "live")
     sink = live_state.live_kpis_sink(root, F.col("location_name"))
-    _run(stream.writeStream.foreachBatch(sink), spark, "live")
+    _stream(spark, sf, lambda s: s.writeStream.foreachBatch(sink))
     return streams.read_batch(spark, f"{root}/kpis", len(STREAM_CUTS)).select(
         F.col("live_key").alias("location_name"), "records", "active_shipments", "at_risk_shipments",
         "on_time_rate", "critical_alerts", "batches",
@@ -731,14 +741,16 @@ def stream_live_kpis(spark, sf):
 
 @query
 def stream_congestion(spark, sf):
-    _, stream = _event_folder(spark, sf)
-    return _to_table(windows.congestion_stream(stream), spark, "congestion")
+    return _stream_table(
+        spark, sf, windows.congestion_stream,
+        "window_start timestamp, window_end timestamp, location_name string, events bigint, congestion double",
+    )
 
 
 @query
 def stream_dedup(spark, sf):
-    _, stream = _event_folder(spark, sf, copies=2)
-    return _to_table(windows.dedup_stream(stream), spark, "dedup").groupBy("location_name").agg(
+    kept = _stream_table(spark, sf, windows.dedup_stream, "event_id string, location_name string", copies=2)
+    return kept.groupBy("location_name").agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("event_ids")
     )
 
@@ -746,7 +758,7 @@ def stream_dedup(spark, sf):
 @query
 def stream_scores(spark, sf):
     model = disruption_model(spark, sf)
-    _, stream = _event_folder(spark, sf)
-    return _to_table(windows.score_stream(model, stream), spark, "scores").select(
-        "event_id", "predicted_risk", "severity", "flagged"
+    return _stream_table(
+        spark, sf, lambda s: windows.score_stream(model, s),
+        "event_id string, predicted_risk double, severity string, flagged boolean",
     )

@@ -708,7 +708,7 @@ from (values {_values(LINEITEM_SHAPE)}) t(position, column_name, type)""",
     l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) nth from lineitem) i
 where nth = 1 and not exists (select 1 from lineitem t where t.l_shipdate < timestamp '1996-01-01'
   and t.l_orderkey = i.l_orderkey and t.l_linenumber = i.l_linenumber)""",
-        "pipeline_report": """select * from (
+        "load_report": """select * from (
   select cast(1 as bigint) run, 'shipments_master' table_name, 'success' status, count(*) rows_read, count(*) rows_inserted,
     cast(0 as bigint) rows_duplicate, cast(0 as bigint) rows_errored from orders union all
   select 2, 'shipments_master', 'success', count(*), 0, count(*), 0 from orders union all
@@ -744,8 +744,8 @@ from (values {_values(schema.SOURCE_REGISTRY)}) r(source, name, frequency, table
             "piece",
         ),
         "stream_health": _sql(
-            """select cast(5 as bigint) tick, count(*) filter (where part = 5) as rows, count(*) processed_records, false running
-from piece""",
+            """select cast(1 as bigint) tick, count(*) as rows, count(*) processed_records, false running
+from piece where part = 5""",
             "piece",
         ),
         "stream_live_kpis": _sql(

@@ -16,13 +16,13 @@ HEALTH = ["tick", "batch_id", "rows", "processed_records", "rows_per_second", "r
 
 
 def event_stream(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1, fmt: str = "parquet"
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = 1, fmt: str = "parquet"
 ) -> DataFrame:
-    """New files of a folder, a fixed number per micro-batch, oldest first."""
-    return (
-        spark.readStream.schema(schema).format(fmt)
-        .option("maxFilesPerTrigger", files_per_batch).option("latestFirst", False).load(path)
-    )
+    """New files of a folder, oldest first: a fixed number per micro-batch, or all there are."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
 
 
 def start(writer: DataStreamWriter, checkpoint: str, interval: str | None = INTERVAL) -> StreamingQuery:

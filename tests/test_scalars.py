@@ -35,14 +35,6 @@ def test_clamp_keeps_null(spark):
     assert values(spark, [-1.0, 0.4, 7.0, None], scalars.clamp) == [0.0, 0.4, 1.0, None]
 
 
-def test_rescale_flat_series(spark):
-    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "k string, c double")
-    rows = df.select("k", "c", scalars.rescale(F.col("c"), ["k"], 10.0, 20.0).alias("s")).collect()
-    scaled = {(r.k, r.c): r.s for r in rows}
-    assert math.isclose(scaled["a", 3.0], 20.0, abs_tol=1e-6)
-    assert scaled["a", 1.0] == 10.0 and scaled["b", 5.0] == 10.0
-
-
 def test_distance_and_match(spark):
     row = spark.range(1).select(
         scalars.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("half"),

@@ -110,3 +110,11 @@ def test_calendar_filter_is_pushed_down(spark, folder):
     kept = since(df.withColumn("at", F.col("ts")), "at", datetime(2024, 1, 31), 7)
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan
+
+
+def test_rescale_flat_series(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "k string, c double")
+    rows = series.rescale(df, "c", ["k"], 10.0, 20.0, "s").collect()
+    scaled = {(r.k, r.c): r.s for r in rows}
+    assert scaled["a", 3.0] == pytest.approx(20.0)
+    assert scaled["a", 1.0] == 10.0 and scaled["b", 5.0] == 10.0
