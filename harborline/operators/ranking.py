@@ -121,12 +121,18 @@ def latest(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
     needed = newest.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).where(
         F.col("_before") < n
     )
-    cut, available = needed.agg(F.min("_bucket").cast("string"), F.sum("_rows")).first()
-    recent = F.col(by).isNull()
+    cut, available, undated = needed.agg(
+        F.min("_bucket").cast("string"), F.sum("_rows"), F.count_if(F.col("_bucket").isNull())
+    ).first()
+    if available is None:
+        return df.limit(0)
+    recent = F.lit(False)
     if cut is not None:
-        recent = recent | (F.col(by) >= F.lit(cut).cast(df.schema[by].dataType))
+        recent = F.col(by) >= F.lit(cut).cast(df.schema[by].dataType)
+    if undated:
+        recent = recent | F.col(by).isNull()
     candidates = df.where(recent)
-    if (available or 0) <= n:
+    if available <= n:
         return candidates
     numbered = number_rows(candidates, order, descending=True, name="_rank")
     return numbered.rows.where(F.col("_rank") < n).drop("_rank")

@@ -680,9 +680,9 @@ def source_status(spark, sf):
 STREAM_CUTS = [datetime(2024, 1, d) for d in (7, 13, 19, 25)]
 
 
-def _event_pieces(spark, sf) -> list[DataFrame]:
-    """The events in five spans of time, oldest first."""
-    raw, limits = views.table(spark, sf, "events"), [None, *STREAM_CUTS, None]
+def _event_pieces(spark, sf, cuts) -> list[DataFrame]:
+    """The events in the spans of time between the cuts, oldest first."""
+    raw, limits = views.table(spark, sf, "events"), [None, *cuts, None]
     pieces = []
     for low, high in zip(limits, limits[1:]):
         piece = raw
@@ -694,11 +694,11 @@ def _event_pieces(spark, sf) -> list[DataFrame]:
     return pieces
 
 
-def _stream(spark, sf, writer_of, copies: int = 1) -> StreamingQuery:
+def _stream(spark, sf, writer_of, cuts=tuple(STREAM_CUTS), copies: int = 1) -> StreamingQuery:
     """Let each span arrive in turn and resume the stream on it; the last run."""
     path, checkpoint = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-checkpoint")
     run = None
-    for piece in _event_pieces(spark, sf):
+    for piece in _event_pieces(spark, sf, cuts):
         for _ in range(copies):
             piece.write.mode("append").parquet(path)
             arriving = views.telemetry(streams.event_stream(spark, path, piece.schema, files_per_batch=None))
@@ -710,7 +710,9 @@ def _stream(spark, sf, writer_of, copies: int = 1) -> StreamingQuery:
 def _stream_table(spark, sf, transform, schema_ddl: str, copies: int = 1) -> DataFrame:
     """What a transformed event stream appended to a table."""
     out = scratch_path(spark, "stream-out")
-    _stream(spark, sf, lambda s: transform(s).writeStream.format("parquet").option("path", out), copies)
+    _stream(
+        spark, sf, lambda s: transform(s).writeStream.format("parquet").option("path", out), STREAM_CUTS[1:2], copies
+    )
     return spark.read.schema(schema_ddl).parquet(out)
 
 

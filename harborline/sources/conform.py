@@ -26,15 +26,22 @@ TOKENS = ["status", "origin_port", "destination_port"]
 
 def _value(df: DataFrame, field: T.StructField, names: Sequence[str]) -> Column:
     kind = field.dataType
-    columns = [F.col(f"`{n}`") for n in names if n in df.columns]
+    values = [_converted(F.col(f"`{n}`"), df.schema[n].dataType, kind) for n in names if n in df.columns]
     if field.name == "weight_kg" and "weight_tons" in df.columns:
-        columns.append(F.col("weight_tons").try_cast("decimal(18,6)") * KG_PER_TON)
-    if not columns:
-        return F.lit(None).cast(kind)
-    if isinstance(kind, T.BooleanType):
-        return F.coalesce(*(F.when(c.isNotNull(), flag(c)) for c in columns))
-    texts = (F.nullif(F.trim(c.cast("string")), F.lit("")) for c in columns)
-    return F.coalesce(*(t.try_cast(kind) for t in texts))
+        values.append((F.col("weight_tons").try_cast("decimal(18,6)") * KG_PER_TON).try_cast(kind))
+    return F.coalesce(*values) if values else F.lit(None).cast(kind)
+
+
+def _converted(c: Column, kind: T.DataType, wanted: T.DataType) -> Column:
+    """The value in the wanted type; only text has to be trimmed and read."""
+    if isinstance(wanted, T.BooleanType):
+        return c if kind == wanted else F.when(c.isNotNull(), flag(c))
+    if kind == wanted and not isinstance(kind, T.StringType):
+        return c
+    if not isinstance(kind, T.StringType):
+        return c.try_cast(wanted)
+    text = F.nullif(F.trim(c), F.lit(""))
+    return text if isinstance(wanted, T.StringType) else text.try_cast(wanted)
 
 
 def conform(
