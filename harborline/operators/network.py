@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from harborline import schema
 from harborline.functions.exact import exact_mean, exact_sum, rounded, share
@@ -121,7 +121,7 @@ def cheapest_paths(edges: DataFrame) -> DataFrame:
         F.array("origin").alias("path"),
         F.lit(0).alias("improved"),
     )
-    done, changed = 0, 1
+    done, changed = 0, True
     while changed:
         done += 1
         longer = (
@@ -140,9 +140,8 @@ def cheapest_paths(edges: DataFrame) -> DataFrame:
         )
         least = F.min(F.struct("weight", "path", "improved")).alias("least")
         merged = best.unionByName(longer).groupBy(*PAIR).agg(least).select(*PAIR, "least.*")
-        seen = Observation()
-        best = spool(merged.observe(seen, F.count_if(F.col("improved") == done).alias("n")), "paths")
-        changed = seen.get["n"]
+        best = spool(merged, "paths")
+        changed = not best.where(F.col("improved") == done).isEmpty()
     return best.drop("improved")
 
 
