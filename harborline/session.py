@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# Folders made for local sessions that name none, by application id.
+_local_roots: dict[str, str] = {}
+
 
 def local_session(app: str = "harborline", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -33,9 +38,11 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="harborline-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="harborline-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
+    return _local_roots[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
