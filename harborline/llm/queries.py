@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harborline.llm import exact_dedup, language_id, sentence_pieces, simhash_dedup, source_mix, substring_dedup
+from harborline.llm import exact_dedup, language_id, sentence_pieces, simhash_dedup, source_mix, substring_dedup, warc_fixity
 from harborline.llm.common import table
 
 #: The piece model of the encoding query.
@@ -36,6 +36,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit a replica that is made from the pages: some records have a changed byte, some are lost."""
+    pages = table(spark, sf_dir, "pages")
+    damaged = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("?"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    replica = pages.where("page_id is null or page_id % 89 <> 7").withColumn("html", damaged)
+    original = warc_fixity.inventory(pages)
+    return warc_fixity.audit(original, warc_fixity.placed(warc_fixity.archive(replica), original))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -45,10 +54,44 @@ QUERIES = {
         op6_language_id,
         op8_sentence_pieces,
         op9_substring_dedup,
+        op10_warc_fixity,
     )
 }
 
+_RECORD = """
+    'WARC/1.1' || c || 'WARC-Type: response' || c || 'WARC-Target-URI: ' || coalesce(url, '') || c
+    || 'WARC-Record-ID: <urn:record:' || page_id || '>' || c || 'Content-Type: text/html; charset=utf-8' || c
+    || 'Content-Length: ' || strlen(html) || c || c || html || c || c
+"""
+
+
+def _tree_sql(leaves: str) -> str:
+    """Roots of files of up to 4,096 records: three levels of sixteen children."""
+    sql = f"select file, position, sha256(\"offset\" || ':' || (\"offset\" + bytes) || ':' || digest) as hash from {leaves}"
+    for _ in range(3):
+        sql = f"select file, position // 16 as position, sha256(string_agg(hash, '' order by position)) as hash from ({sql}) group by 1, 2"
+    return f"select file, hash as root from ({sql})"
+
+
+_WARC_SQL = f"""
+    with p as (select page_id, url, coalesce(html, '') as html, chr(13) || chr(10) as c from pages),
+         d as (select page_id, url, case when page_id % 97 = 5 then '?' || substr(html, 2) else html end as html, c
+               from p where page_id % 89 <> 7),
+         o as (select page_id as key, page_id // 4096 as file, {_RECORD} as record from p),
+         m as (select key, file, strlen(record) as bytes, sha256(record) as digest,
+                      row_number() over (partition by file order by key) - 1 as position,
+                      coalesce(sum(strlen(record)) over (partition by file order by key
+                               rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from o),
+         r as (select m.key, m.file, m.position, m."offset", strlen(record) as bytes, sha256(record) as digest
+               from (select page_id as key, {_RECORD} as record from d) join m using (key)),
+         a as ({_tree_sql("m")}), b as ({_tree_sql("r")})
+    select m.file, m.position, m.key, m."offset", m.bytes, m.digest, r.digest as replica_digest, a.root, b.root as replica_root,
+           case when r.key is null then 'missing' when r.digest <> m.digest then 'changed' else 'ok' end as status
+    from m left join r using (key) join a on a.file = m.file join b on b.file = m.file
+"""
+
 ORACLE_SQL = {
+    "op10_warc_fixity": _WARC_SQL,
     "op1_exact_dedup": """
         with t as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
              g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from t group by 1)
