@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harborline.llm import exact_dedup, language_id, sentence_pieces, simhash_dedup, source_mix, substring_dedup, warc_fixity
+from harborline.llm import (
+    embedding_dedup,
+    exact_dedup,
+    language_id,
+    license_scan,
+    sentence_pieces,
+    simhash_dedup,
+    source_mix,
+    substring_dedup,
+    surrogates,
+    warc_fixity,
+)
 from harborline.llm.common import table
 
 #: The piece model of the encoding query.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: The key of the surrogate query; a user brings a secret one.
+SURROGATE_KEY = "harborline"
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
@@ -19,6 +33,14 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.surrogates(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -27,6 +49,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, thousands, hundreds, id."""
+    block = [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100)]
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), *block, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.license_scan(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -50,8 +79,11 @@ QUERIES = {
     for f in (
         op1_exact_dedup,
         op2_simhash_dedup,
+        op3_surrogates,
+        op4_embedding_dedup,
         op5_source_mix,
         op6_language_id,
+        op7_license_scan,
         op8_sentence_pieces,
         op9_substring_dedup,
         op10_warc_fixity,
