@@ -36,6 +36,8 @@ class SmallWorld:
         self.row = [self._rows(nodes) for nodes, _ in layers]
         self.stamp = np.zeros(len(vectors), np.int64)
         self.now = 0
+        #: Links against their direction: where each node's begin, and their nodes.
+        self.back: tuple[np.ndarray, np.ndarray] | None = None
 
     def _rows(self, nodes: np.ndarray) -> np.ndarray:
         row = np.full(len(self.vectors), -1, np.int64)
@@ -125,7 +127,7 @@ class SmallWorld:
             ids, near, closed = ids[order], near[order], closed[order]
 
     def within(self, query: np.ndarray, least: float, width: int) -> np.ndarray:
-        """Nodes at least as alike as ``least``: a beam search, then all links of what it found."""
+        """Nodes at least as alike as ``least``: a beam search, then all links of what it found, both ways."""
         entry = np.array([0])
         for level in range(len(self.layers) - 1, 0, -1):
             entry = self.beam(query, entry, 1, level)[0]
@@ -135,13 +137,25 @@ class SmallWorld:
         fresh = found
         while len(fresh):
             new = links[fresh].ravel()
-            new = np.unique(new[new >= 0])
+            new = np.unique(np.concatenate([new[new >= 0], self._linked_from(fresh)]))
             new = new[stamp[new] != self.now]
             stamp[new] = self.now
             fresh = new[self.vectors[new] @ query >= least]
             found = np.concatenate([found, fresh])
         return found
 
+    def _linked_from(self, nodes: np.ndarray) -> np.ndarray:
+        """Nodes with a link to one of ``nodes`` on the base layer."""
+        if self.back is None:
+            links = self.layers[0][1]
+            start, end = np.nonzero(links >= 0)[0], links[links >= 0]
+            self.back = np.searchsorted(np.sort(end), np.arange(len(self.vectors) + 1)), start[np.argsort(end, kind="stable")]
+        begins, sources = self.back
+        first = begins[nodes]
+        counts = begins[nodes + 1] - first
+        skipped = np.cumsum(counts) - counts
+        return sources[np.repeat(first - skipped, counts) + np.arange(counts.sum())]
+
     def to_bytes(self) -> bytes:
         parts = {f"{kind}{k}": a.astype(np.int32) for k, layer in enumerate(self.layers) for kind, a in zip("nl", layer, strict=True)}
         out = io.BytesIO()
