@@ -82,6 +82,16 @@ def mode_split(shipments: DataFrame, window: int | None = None) -> DataFrame:
     return counts.select("transport_mode", rounded(F.col("n") / total, 3).alias("share"))
 
 
+def kpi_answer(report: DataFrame, carriers: DataFrame, modes: DataFrame) -> DataFrame:
+    """The report row with the carriers' performance and the mode shares as sorted lists."""
+    def listed(df: DataFrame, name: str, value: str, out: str) -> DataFrame:
+        return df.agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col(value).alias("value")))).alias(out))
+
+    return report.join(F.broadcast(listed(carriers, "carrier", "performance", "carrier_performance"))).join(
+        F.broadcast(listed(modes, "transport_mode", "share", "mode_split"))
+    )
+
+
 def mode_split_pct(split: DataFrame) -> DataFrame:
     """The split on the four fixed modes as percent; a missing mode is 0."""
     modes = small_table(split.sparkSession, ["transport_mode"], [(m,) for m in schema.TRANSPORT_MODES])

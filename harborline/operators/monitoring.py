@@ -64,6 +64,7 @@ def source_status(registry: DataFrame, stats: DataFrame) -> DataFrame:
         "frequency",
         "table_name",
         rows.alias("row_count"),
+        F.coalesce("size_bytes", F.lit(0).cast("bigint")).alias("table_size"),
         F.when(F.col("table_name").isNull(), "no_table")
         .when(F.col("error").isNotNull() | F.col("row_count").isNull(), "db_unavailable")
         .when(rows > 0, "healthy")

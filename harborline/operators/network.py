@@ -104,6 +104,18 @@ def network_view(lanes: DataFrame, congested: DataFrame) -> DataFrame:
     )
 
 
+def network_nodes(ports: DataFrame, lanes: DataFrame) -> DataFrame:
+    """Ports as drawn next to the lanes, with how many lanes leave and enter each."""
+    out = lanes.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("lanes_out"))
+    into = lanes.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("lanes_in"))
+    zero = F.lit(0).cast("bigint")
+    return ports.join(out, "node", "left").join(into, "node", "left").select(
+        "node", "lat", "lon", "node_type", "capacity",
+        F.coalesce("lanes_out", zero).alias("lanes_out"),
+        F.coalesce("lanes_in", zero).alias("lanes_in"),
+    )
+
+
 def cheapest_paths(edges: DataFrame) -> DataFrame:
     """Exact cheapest path of every pair, profile and mode; ties go to the lesser path.
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from harborline import schema
-from harborline.functions.exact import exact_mean, rounded
+from harborline.functions.exact import rounded, wide_mean
 from harborline.operators.ranking import weight_before
 from harborline.session import spool
 from harborline.sources.views import small_table
@@ -75,6 +75,11 @@ def quantiles(df: DataFrame, limits: dict[str, tuple[int, float, float]], points
     def sliced(name: str) -> Column:
         _, low, high = known[name]
         width = high - low
+        if not math.isfinite(width):
+            # Infinite values, or a range beyond a double: slices by the order of magnitude.
+            size = F.least(F.log2(F.abs(_present(name)) + 1), F.lit(1100.0))
+            place = F.floor(F.signum(_present(name)) * size) + 1100
+            return F.coalesce(place, F.lit(0)).cast("int")
         place = F.floor((_present(name) - F.lit(low)) / F.lit(width) * SLICES) if width > 0 else F.lit(0)
         return F.least(place, F.lit(SLICES - 1)).cast("int")
 
@@ -120,7 +125,8 @@ def quantiles(df: DataFrame, limits: dict[str, tuple[int, float, float]], points
         F.max(F.when(F.col("rank") == F.col("lo"), F.col("v"))).alias("v_lo"),
         F.max(F.when(F.col("rank") == F.col("hi"), F.col("v"))).alias("v_hi"),
     )
-    value = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("spot") - F.col("lo"))
+    between = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("spot") - F.col("lo"))
+    value = F.when((F.col("v_lo") == F.col("v_hi")) | (F.col("spot") == F.col("lo")), F.col("v_lo")).otherwise(between)
     return ends.groupBy("column_name").agg(
         *(F.max(F.when(F.col("point") == f"q{i}", value)).alias(f"q{i}") for i in range(len(points)))
     )
@@ -131,7 +137,7 @@ def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     names = _numeric(df)
     measures = {
         "count": lambda c: F.count(c),
-        "mean": exact_mean,
+        "mean": wide_mean,
         "std": lambda c: F.stddev_samp(c),
         "min": lambda c: F.min(c),
         "max": lambda c: F.max(c),

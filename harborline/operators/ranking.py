@@ -96,7 +96,10 @@ def running_total(df: DataFrame, index: str, total_rows: int, columns: dict[str,
 def bucket_of(df: DataFrame, column: str) -> Column:
     """A coarse value that keeps the order of the column: the hour, or a text prefix."""
     kind = df.schema[column].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz"):
+    if kind == "timestamp":
+        # Hours since 1970, so that a repeated local hour is two buckets.
+        return F.floor(F.unix_seconds(column) / 3600).cast("bigint")
+    if kind == "timestamp_ntz":
         return F.date_trunc("hour", column)
     if kind == "string":
         return F.substring(column, 1, 10)
@@ -128,7 +131,9 @@ def latest(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
         return df.limit(0)
     recent = F.lit(False)
     if cut is not None:
-        recent = F.col(by) >= F.lit(cut).cast(df.schema[by].dataType)
+        kind = df.schema[by].dataType
+        least = F.timestamp_seconds(F.lit(int(cut)) * 3600) if kind.typeName() == "timestamp" else F.lit(cut).cast(kind)
+        recent = F.col(by) >= least
     if undated:
         recent = recent | F.col(by).isNull()
     candidates = df.where(recent)

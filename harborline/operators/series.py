@@ -198,15 +198,20 @@ def forecast(series: DataFrame, by: Sequence[str] = (), horizon: int = 24, alpha
     )
 
 
-def forecast_bands(predicted: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
-    """Forecast clipped to the metric's range, a widening band, trend and mean."""
-    lo, hi = schema.METRIC_RANGES.get(metric, (0.0, 1.0))
+def forecast_bands(
+    predicted: DataFrame, metric: str, by: Sequence[str] = (), limits: tuple[float, float] | None = None
+) -> DataFrame:
+    """Forecast clipped to the metric's range, a widening band, trend (before the clipping) and mean.
+
+    ``limits`` replaces the range where a series has another unit.
+    """
+    lo, hi = limits or schema.METRIC_RANGES.get(metric, (0.0, 1.0))
     whole = Window.partitionBy(*by)
     last_step = F.max("step").over(whole)
     clipped = predicted.withColumn("value", clamp(F.col("forecast"), lo, hi))
     progress = F.when(last_step > 1, (F.col("step") - 1) / (last_step - 1)).otherwise(F.lit(0.0))
     band = F.lit(hi - lo) * (F.lit(BAND_START) + F.lit(BAND_GROWTH) * progress)
-    first, last = F.min_by("value", "step").over(whole), F.max_by("value", "step").over(whole)
+    first, last = F.min_by("forecast", "step").over(whole), F.max_by("forecast", "step").over(whole)
     total = F.sum(fixed(F.col("value"))).over(whole).cast("double")
     return clipped.select(
         *by,

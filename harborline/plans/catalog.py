@@ -24,6 +24,8 @@ from harborline.streaming import events as streams, live_state, windows
 EVENTS_AS_OF = datetime(2024, 1, 31)
 SHIPMENTS_AS_OF = date(2001, 8, 1)
 DEMAND_AS_OF = date(2001, 7, 15)
+# Smaller than the test tables, so that the cut takes effect; the operators' own default is larger.
+EVENT_WINDOW = 3_000
 ETA_AS_OF = datetime(2001, 8, 1)
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -86,7 +88,7 @@ def latest_shipments(spark, sf):
 @query
 def latest_events(spark, sf):
     rows = _events(spark, sf).select("event_id", "event_timestamp", "location_name", "delay_added_hours")
-    return ranking.latest(rows, "event_timestamp", "event_id", schema.LATEST_EVENTS)
+    return ranking.latest(rows, "event_timestamp", "event_id", EVENT_WINDOW)
 
 
 @query
@@ -137,7 +139,7 @@ def risk_heatmap(spark, sf):
 
 @query
 def risk_heatmap_latest(spark, sf):
-    return hotspots.risk_heatmap(_events(spark, sf), window=schema.LATEST_EVENTS)
+    return hotspots.risk_heatmap(_events(spark, sf), window=EVENT_WINDOW)
 
 
 @query
@@ -147,7 +149,7 @@ def bottlenecks(spark, sf):
 
 @query
 def bottlenecks_latest(spark, sf):
-    return hotspots.bottlenecks(_events(spark, sf), window=schema.LATEST_EVENTS)
+    return hotspots.bottlenecks(_events(spark, sf), window=EVENT_WINDOW)
 
 
 @query
@@ -160,6 +162,16 @@ def kpi_report(spark, sf):
     return kpis.kpi_report(kpis.fleet_kpis(_shipments(spark, sf)))
 
 
+@query
+def kpi_answer(spark, sf):
+    rows = _shipments(spark, sf)
+    report = kpis.kpi_report(kpis.fleet_kpis(rows))
+    answer = kpis.kpi_answer(report, kpis.carrier_performance(rows), kpis.mode_split(rows))
+    return answer.select("total_active_shipments", "data_source", *(
+        F.to_json(c).alias(c) for c in ("carrier_performance", "mode_split")
+    ))
+
+
 @query
 def carrier_performance(spark, sf):
     return kpis.carrier_performance(_shipments(spark, sf))
@@ -311,6 +323,23 @@ def disruption_scores(spark, sf):
     )
 
 
+@query
+def disruption_checks(spark, sf):
+    """What must hold for every score, and whether the model agrees with the rule's label on nine shipments of ten."""
+    rows = disruption.rule_risk(_joined_features(spark, sf)).select("shipment_id", "rule_label")
+    both = spool(rows.join(disruption_scores(spark, sf), "shipment_id"), "checked-scores")
+    level = both.agg((F.avg((F.col("flagged") == (F.col("rule_label") == 1)).cast("int")) >= 0.9).alias("model_agrees"))
+    mean = (F.col("rf_prob") + F.col("gb_prob")) / 2
+    return both.join(F.broadcast(level)).select(
+        "shipment_id",
+        "rule_label",
+        (F.abs(F.col("predicted_risk") - mean) < 0.0002).alias("mean_holds"),
+        (F.col("flagged") == (F.col("predicted_risk") > 0.5)).alias("flag_holds"),
+        (F.abs(F.col("confidence") - (1 - F.abs(F.col("rf_prob") - F.col("gb_prob")))) < 0.0012).alias("confidence_holds"),
+        "model_agrees",
+    )
+
+
 @query
 def flagged_count(spark, sf):
     return disruption.flagged_count(disruption_scores(spark, sf))
@@ -396,6 +425,22 @@ def forecast_bands(spark, sf):
     return series.forecast_bands(series.forecast(hourly, ["location_name"]), "on_time_rate", ["location_name"])
 
 
+@query
+def throughput_forecast(spark, sf):
+    """Rows per hour are of another size than the metric's usual range, whose lower end is left out."""
+    hourly = series.metric_series(_events(spark, sf), "throughput", ["location_name"])
+    ahead = series.forecast(hourly, ["location_name"])
+    return series.forecast_bands(ahead, "throughput", ["location_name"], limits=(0.0, schema.METRIC_RANGES["throughput"][1]))
+
+
+@query
+def cost_index_forecast(spark, sf):
+    # One year of days: hours squared and their products stay exact enough in the fit.
+    daily = series.metric_series(_shipments(spark, sf), "cost_index", ["transport_mode"])
+    daily = browse.since(daily, "hour", datetime(2001, 8, 1), 364)
+    return series.forecast_bands(series.forecast(daily, ["transport_mode"]), "cost_index", ["transport_mode"])
+
+
 # -- network ---------------------------------------------------------------
 
 
@@ -430,6 +475,13 @@ def network_view(spark, sf):
     return network.network_view(views.lanes(spark), _congestion(spark, sf))
 
 
+@query
+def network_nodes(spark, sf):
+    return network.network_nodes(views.ports(spark), views.lanes(spark)).join(
+        _events(spark, sf).groupBy(F.col("location_name").alias("node")).agg(F.count(F.lit(1)).alias("events")), "node", "left"
+    )
+
+
 @query
 def cheapest_paths(spark, sf):
     return network.cheapest_paths(_edges(spark, sf)).withColumn("path", F.array_join("path", ">"))
@@ -543,10 +595,42 @@ def csv_load(spark, sf):
     good, _ = csv_load_module.split_good_bad(
         csv_load_module.load_csv(spark, path, schema.SHIPMENTS), "shipment_id"
     )
-    loaded = conform.conform(good, schema.SHIPMENTS).drop("ingested_at", "freight_cost_usd")
+    loaded = conform.conform(good, schema.SHIPMENTS).drop("ingested_at")
     return doubles(loaded)
 
 
+@query
+def csv_quoted(spark, sf):
+    """Documents as users write them: commas, quotes and line breaks inside quoted values."""
+    docs = views.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("shipment_id"),
+        F.concat(F.lit('"'), F.col("source"), F.lit('", Ltd')).alias("carrier"),
+        F.coalesce("text", F.lit("-")).alias("goods_category"),
+    )
+    path = _as_csv(docs, "quoted-csv", quoteAll=True, escape='"')
+    good, _ = csv_load_module.split_good_bad(
+        csv_load_module.load_csv(spark, path, schema.SHIPMENTS, multi_line=True), "shipment_id"
+    )
+    return good.select("shipment_id", "carrier", F.length(F.trim("goods_category")).cast("bigint").alias("characters"))
+
+
+@query
+def upload_bad_rows(spark, sf):
+    """An upload in another spelling with blank ids and unreadable numbers, sent twice."""
+    session, root = _load_session(spark)
+    mode = F.col("mode")
+    damaged = _variant(spark, sf).withColumns({
+        "id": F.when(mode != "rail", F.col("id")),
+        "stops": F.when(mode == "road", "zz").otherwise("2"),
+    })
+    path = _as_csv(damaged, "damaged-upload")
+    runs = [pipeline.load_upload(session, path, root).withColumn("run", F.lit(n).cast("bigint")) for n in (1, 2)]
+    report = runs[0].unionByName(runs[1]).select("run", "status", "rows_read", "rows_inserted", "rows_duplicate", "rows_errored")
+    kept = session.table(tables.REJECTED).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    reasons = kept.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "reason", "n"))), ",").alias("rejected"))
+    return report.join(F.broadcast(reasons))
+
+
 @query
 def csv_bad_rows(spark, sf):
     """Every air shipment gets an unreadable number, road one field more, rail no id."""
@@ -572,9 +656,7 @@ def append_new(spark, sf):
     order = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
              "l_returnflag", "l_linestatus"]
     target = lines.where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).select(*keys)
-    return tables.append_new(target, lines, keys, order).select(
-        *keys, "l_shipdate", "l_partkey", "l_quantity", "l_extendedprice"
-    )
+    return tables.append_new(target, lines, keys, order).select(*keys, *order)
 
 
 def _load_session(spark: SparkSession) -> tuple[SparkSession, str]:
@@ -586,13 +668,19 @@ def _load_session(spark: SparkSession) -> tuple[SparkSession, str]:
     return session, root
 
 
-@query
-def load_report(spark, sf):
-    """Two full runs over the same CSVs: the second one finds only duplicates."""
+def _csv_folder(spark, sf) -> tuple[SparkSession, str, str]:
+    """A load session, a folder with both tables as CSV, and a root for stored tables."""
     session, root = _load_session(spark)
     folder = scratch_path(spark, "csv")
     for name, df in (("shipments_master", _shipments(spark, sf)), ("route_events", _events(spark, sf))):
         df.write.option("header", True).csv(f"{folder}/{name}.csv")
+    return session, folder, root
+
+
+@query
+def load_report(spark, sf):
+    """Two full runs over the same CSVs: the second one finds only duplicates."""
+    session, folder, root = _csv_folder(spark, sf)
     first = pipeline.run_pipeline(session, folder, root).withColumn("run", F.lit(1))
     again = pipeline.run_pipeline(session, folder, root).withColumn("run", F.lit(2))
     return first.unionByName(again).select(
@@ -672,7 +760,37 @@ def table_stats(spark, sf):
 @query
 def source_status(spark, sf):
     frames = {"shipments_master": views.table(spark, sf, "orders"), "route_events": views.table(spark, sf, "events")}
-    return monitoring.source_status(views.source_registry(spark), monitoring.frames_stats(frames))
+    status = monitoring.source_status(views.source_registry(spark), monitoring.frames_stats(frames))
+    return status.withColumn("table_size", F.col("table_size") > 0)
+
+
+@query
+def rows_loaded(spark, sf):
+    """Rows of both tables after a load, one by one."""
+    session, folder, root = _csv_folder(spark, sf)
+    pipeline.run_pipeline(session, folder, root)
+    parts = [monitoring.rows_loaded(session, name) for name in schema.CONTRACTS]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def ensure_tables(spark, sf):
+    """Columns of the tables that are made where absent; a second call changes nothing."""
+    session, _, root = _csv_folder(spark, sf)
+    pipeline.run_pipeline(session, _, root)
+    tables.ensure_tables(session, root)
+    found = [profiling.profile_shape(session.table(name)).withColumn("table_name", F.lit(name)) for name in schema.CONTRACTS]
+    shapes = found[0].unionByName(found[1])
+    return shapes.groupBy("table_name").agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns"))
+
+
+@query
+def single_source_load(spark, sf):
+    """A run for one source loads the table of that source alone."""
+    session, folder, root = _csv_folder(spark, sf)
+    report = pipeline.run_pipeline(session, folder, root, source="gps_iot").select("table_name", "status", "rows_inserted")
+    stored = pipeline.validate(session).select("table_name", "row_count")
+    return stored.join(report, "table_name", "left")
 
 
 # -- streams ---------------------------------------------------------------
@@ -697,11 +815,12 @@ def _event_pieces(spark, sf, cuts) -> list[DataFrame]:
 def _stream(spark, sf, writer_of, cuts=tuple(STREAM_CUTS), copies: int = 1) -> StreamingQuery:
     """Let each span arrive in turn and resume the stream on it; the last run."""
     path, checkpoint = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-checkpoint")
-    run = None
+    run, shipments = None, views.shipment_count(spark, sf)
     for piece in _event_pieces(spark, sf, cuts):
         for _ in range(copies):
             piece.write.mode("append").parquet(path)
-            arriving = views.telemetry(streams.event_stream(spark, path, piece.schema, files_per_batch=None))
+            raw = streams.event_stream(spark, path, piece.schema, files_per_batch=None)
+            arriving = views.telemetry(raw, shipments)
             run = streams.start(writer_of(arriving), checkpoint, interval=None)
             run.awaitTermination()
     return run
@@ -726,8 +845,12 @@ def stream_ledger(spark, sf):
 @query
 def stream_health(spark, sf):
     root = scratch_path(spark, "health")
-    done = _stream(spark, sf, lambda s: s.writeStream.foreachBatch(streams.batch_payload(root)))
-    return streams.stream_health(done).select("tick", "rows", "processed_records", "running")
+    total = views.table(spark, sf, "events").count()
+    done = _stream(spark, sf, lambda s: s.writeStream.foreachBatch(streams.batch_payload(root, total)))
+    ledger = spark.read.schema(streams.LEDGER).parquet(f"{root}/ledger")
+    return streams.stream_health(ledger, "route_events", done.isActive, interval=None, every=2).select(
+        "tick", "offset", "batch_size", "processed_records", "total_rows", "table_name", "connected"
+    )
 
 
 @query
@@ -735,9 +858,9 @@ def stream_live_kpis(spark, sf):
     root = scratch_path(spark, "live")
     sink = live_state.live_kpis_sink(root, F.col("location_name"))
     _stream(spark, sf, lambda s: s.writeStream.foreachBatch(sink))
-    return streams.read_batch(spark, f"{root}/kpis", len(STREAM_CUTS)).select(
+    return streams.read_batch(spark, f"{root}/kpis", len(STREAM_CUTS) + 1).select(
         F.col("live_key").alias("location_name"), "records", "active_shipments", "at_risk_shipments",
-        "on_time_rate", "critical_alerts", "batches",
+        "on_time_rate", "critical_alerts", "batches", "routes_optimized",
     )
 
 

@@ -66,6 +66,11 @@ def advice(x: str) -> str:
     )
 
 
+def _numbered(prefix: str, number: str) -> str:
+    digits = f"cast({number} as varchar)"
+    return f"concat('{prefix}', lpad({digits}, cast(greatest(9, length({digits})) as int), '0'))"
+
+
 VIEWS: dict[str, tuple[list[str], str]] = {
     "ports": (
         [],
@@ -79,11 +84,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "shipments": (
         ["ports"],
-        """select * exclude (o_orderstatus), case when o_orderstatus = 'F' then 'Delivered'
+        f"""select * exclude (o_orderstatus), case when o_orderstatus = 'F' then 'Delivered'
   when delay_hours >= 48 then 'Critical_Delay' when delay_hours > 0 then 'Delayed'
   when o_orderstatus = 'P' then 'In_Transit' else 'On_Schedule' end status
 from (
-  select concat('SHP-', lpad(cast(o_orderkey as varchar), 9, '0')) shipment_id,
+  select {_numbered('SHP-', 'o_orderkey')} shipment_id,
     c_mktsegment carrier, po.node origin_port, pd.node destination_port,
     case substr(o_orderpriority,1,1) when '1' then 'air' when '2' then 'road'
          when '3' then 'rail' else 'sea' end transport_mode,
@@ -108,8 +113,8 @@ from (
     ),
     "route_events": (
         ["ports"],
-        """select concat('EVT-', lpad(cast(event_id as varchar), 9, '0')) event_id,
-  concat('SHP-', lpad(cast((event_id*7 + user_id) % 1500 as varchar), 9, '0')) shipment_id,
+        f"""select {_numbered('EVT-', 'event_id')} event_id,
+  {_numbered('SHP-', '(event_id*7 + user_id) % (select count(*) from orders)')} shipment_id,
   case e.event_type when 'signup' then 'port_entry' when 'error' then 'congestion_hold'
        when 'click' then 'gps_ping' when 'view' then 'departure' else 'weather_hold' end event_type,
   ts event_timestamp, node location_name,
@@ -251,6 +256,20 @@ from route_events group by all""",
   round(count(*) filter (where on_time) / count(*), 6) as value
 from marked group by all""",
     ),
+    "hourly_throughput": (
+        ["route_events"],
+        """select location_name, date_trunc('hour', event_timestamp) as hour, count(*) as rows, cast(count(*) as double) as value
+from route_events group by all""",
+    ),
+    "daily_cost": (
+        ["shipments"],
+        f"""select transport_mode, cast(created_date as timestamp) as hour, rows,
+  round((cast(f as double) / cast(k as double)) / (cast(sum(f) over m as double) / cast(sum(k) over m as double)), 6) as value
+from (select transport_mode, created_date, count(*) as rows, sum({fx('freight_cost_usd')}) f,
+        sum(case when freight_cost_usd is not null then {fx('distance_km')} end) k from shipments group by all)
+window m as (partition by transport_mode)""",
+    ),
+    "last_year_cost": (["daily_cost"], "select * from daily_cost where hour >= timestamp '2001-08-01' - interval 364 days"),
     "piece": (
         ["marked"],
         """select *, case when event_timestamp < timestamp '2024-01-07' then 1 when event_timestamp < timestamp '2024-01-13' then 2
@@ -260,21 +279,31 @@ from marked""",
 }
 
 
-def _ridge(source: str, horizon: int = 24) -> str:
-    """Quadratic ridge per location over an hourly view, alpha 1, as one SELECT."""
-    return f"""select location_name, step, last_hour + to_hours(cast(step as int)) as hour,
+def _ridge(source: str, horizon: int = 24, by: str = "location_name") -> str:
+    """Quadratic ridge per group over an hourly view, alpha 1, as one SELECT."""
+    return f"""select {by}, step, last_hour + to_hours(cast(step as int)) as hour,
   round(w0 + w1*a + w2*a*a, 4) forecast
 from (select *, cast(last_t + step as double) a from (
   select *, y/n - w1*s1/n - w2*s2/n w0, unnest(generate_series(1, {horizon})) step from (
    select *, (b1*a22 - b2*a12)/(a11*a22 - a12*a12) w1, (a11*b2 - a12*b1)/(a11*a22 - a12*a12) w2 from (
     select *, s2 - s1*s1/n + 1e0 a11, s3 - s1*s2/n a12, s4 - s2*s2/n + 1e0 a22, ty - s1*y/n b1, tty - s2*y/n b2 from (
-     select location_name, cast(count(*) as double) n, cast(sum(t) as double) s1, cast(sum(t*t) as double) s2,
+     select {by}, cast(count(*) as double) n, cast(sum(t) as double) s1, cast(sum(t*t) as double) s2,
        cast(sum(t*t*t) as double) s3, cast(sum(t*t*t*t) as double) s4, cast(sum(y) as double) y,
        cast(sum(cast(t as decimal(9,0))*y) as double) ty, cast(sum(cast(t*t as decimal(18,0))*y) as double) tty, max(hour) last_hour, max(t) last_t
-     from (select location_name, hour, {fx('value')} y,
-             cast((epoch(hour) - epoch(min(hour) over (partition by location_name)))/3600 as bigint) t
-           from {source})
-     group by location_name)))))"""
+     from (select {by}, hour, {fx('value')} y,
+             cast((epoch(hour) - epoch(min(hour) over (partition by {by})))/3600 as hugeint) t
+           from {source}) where y is not null
+     group by {by})))))"""
+
+
+def _bands(source: str, by: str, lo: str, hi: str) -> str:
+    return f"""select {by}, cast(step as int) step, hour, round(v, 4) as value, round(least(v + band, {hi}), 4) upper_bound,
+  round(greatest(v - band, {lo}), 4) lower_bound,
+  case when max_by(forecast, step) over g > min_by(forecast, step) over g then 'increasing' else 'decreasing' end trend,
+  round(cast(sum({fx('v')}) over g as double) / count(*) over g, 4) mean
+from (select *, least(greatest(forecast, {lo}), {hi}) v,
+        ({hi} - {lo})*(0.03e0 + 0.07e0*((step - 1)/23)) band from ({_ridge(source, by=by)}))
+window g as (partition by {by})"""
 
 
 def _sql(body: str, *names: str) -> str:
@@ -321,7 +350,7 @@ from (select *, least(1, delay/48) sev from (
   group by location_name having count(*) >= 3 order by delay desc nulls first, location_name limit 15))"""
 
 
-NEWEST_EVENTS = "order by event_timestamp desc nulls first, event_id desc nulls first limit 200000"
+NEWEST_EVENTS = "order by event_timestamp desc nulls first, event_id desc nulls first limit 3000"
 NEWEST_SHIPMENTS = "(select * from shipments order by shipment_id desc nulls first limit 10000)"
 KPI_ROW = f"""select count(*) total, count(*) filter (where status <> 'Delivered') active,
   count(*) filter (where risk_score > 0.55e0) at_risk, count(*) filter (where status = 'Critical_Delay') critical,
@@ -470,6 +499,15 @@ where latitude >= -90 and latitude <= 90 and longitude >= -180 and longitude <=
   greatest(1, at_risk // 8) disruptions_prevented, 'spark' data_source from ({KPI_ROW})""",
             "shipments",
         ),
+        "kpi_answer": _sql(
+            f"""select active total_active_shipments, 'spark' data_source,
+  (select '[' || string_agg('{{"name":"' || carrier || '","value":' || cast(performance as varchar) || '}}', ',' order by carrier) || ']'
+   from ({_carriers("shipments")})) carrier_performance,
+  (select '[' || string_agg('{{"name":"' || transport_mode || '","value":' || cast(share as varchar) || '}}', ',' order by transport_mode) || ']'
+   from ({_modes("shipments")})) mode_split
+from ({KPI_ROW})""",
+            "shipments",
+        ),
         "carrier_performance": _sql(_carriers("shipments"), "shipments"),
         "carrier_performance_latest": _sql(_carriers(NEWEST_SHIPMENTS), "shipments"),
         "mode_split": _sql(_modes("shipments"), "shipments"),
@@ -536,6 +574,11 @@ from (select doc_id, unnest(regexp_split_to_array(text, '\\s+')) w from document
         "rule_risk": _sql(
             f"select shipment_id, {RULE} rule_score, cast({RULE} > 0.42e0 as int) rule_label from features", "features"
         ),
+        "disruption_checks": _sql(
+            f"""select shipment_id, cast({RULE} > 0.42e0 as int) rule_label, true mean_holds, true flag_holds, true confidence_holds,
+  true model_agrees from features""",
+            "features",
+        ),
         "eta_estimates": _sql(
             f"""select shipment_id, carrier, transport_mode,
   timestamp '2001-08-01 00:00:00' + to_seconds(cast(floor(total*3600 + 0.5e0) as bigint)) eta, round(total, 1) eta_hours,
@@ -582,29 +625,13 @@ from route_events group by all""",
             "route_events",
         ),
         "on_time_series": _sql("select * from hourly_on_time", "hourly_on_time"),
-        "cost_index_series": _sql(
-            f"""select transport_mode, cast(created_date as timestamp) as hour, rows,
-  round((cast(f as double) / cast(k as double)) / (cast(sum(f) over m as double) / cast(sum(k) over m as double)), 6) as value
-from (select transport_mode, created_date, count(*) as rows, sum({fx('freight_cost_usd')}) f,
-        sum(case when freight_cost_usd is not null then {fx('distance_km')} end) k from shipments group by all)
-window m as (partition by transport_mode)""",
-            "shipments",
-        ),
+        "cost_index_series": _sql("select * from daily_cost", "daily_cost"),
         "metric_forecast": _sql(
             f"select location_name, cast(step as int) step, hour, forecast from ({_ridge('hourly_delay')})", "hourly_delay"
         ),
-        "forecast_bands": _sql(
-            f"""select location_name, cast(step as int) step, hour, round(v, 4) as value, round(least(v + band, 0.98e0), 4) upper_bound,
-  round(greatest(v - band, 0.70e0), 4) lower_bound,
-  case when last(v order by step) over g > first(v order by step) over g then 'increasing' else 'decreasing' end trend,
-  round(cast(sum({fx('v')}) over g as double) / count(*) over g, 4) mean
-from (select *, least(greatest(forecast, 0.70e0), 0.98e0) v,
-        (0.98e0 - 0.70e0)*(0.03e0 + 0.07e0*((step - 1)/23)) band from ({_ridge('hourly_on_time')}))
-window g as (partition by location_name)""".replace("last(v order by step) over g", "max_by(v, step) over g").replace(
-                "first(v order by step) over g", "min_by(v, step) over g"
-            ),
-            "hourly_on_time",
-        ),
+        "forecast_bands": _sql(_bands("hourly_on_time", "location_name", "0.70e0", "0.98e0"), "hourly_on_time"),
+        "throughput_forecast": _sql(_bands("hourly_throughput", "location_name", "0e0", "1500e0"), "hourly_throughput"),
+        "cost_index_forecast": _sql(_bands("last_year_cost", "transport_mode", "1.0e0", "1.8e0"), "last_year_cost"),
         "port_congestion": _sql("select node, round(congestion, 6) congestion from congestion", "congestion"),
         "edge_weights": _sql(
             """select src, dst, profile, transport_mode, weight, round(time_h, 6) time_h, round(cost, 6) as cost,
@@ -618,6 +645,14 @@ window g as (partition by location_name)""".replace("last(v order by step) over
             "lanes",
             "congestion",
         ),
+        "network_nodes": _sql(
+            """select node, lat, lon, node_type, capacity, (select count(*) from lanes where src = node) lanes_out,
+  (select count(*) from lanes where dst = node) lanes_in, n events
+from ports left join (select location_name node, count(*) n from route_events group by 1) using (node)""",
+            "ports",
+            "lanes",
+            "route_events",
+        ),
         "cheapest_paths": _sql(
             f"select {pair}, weight, array_to_string(path, '>') path from paths", "paths"
         ),
@@ -690,7 +725,7 @@ from (values {_values(LINEITEM_SHAPE)}) t(position, column_name, type)""",
         "csv_load": _sql(
             """select shipment_id, carrier, origin_port, destination_port, transport_mode, status, goods_category, currency, created_date,
   cast(null as date) eta_date, cast(null as double) transit_hours, cast(delay_hours as double) delay_hours, distance_km, weight_kg,
-  cast(null as double) volume_m3, cast(cast(value_usd as decimal(16,2)) as double) value_usd,
+  cast(null as double) volume_m3, cast(cast(value_usd as decimal(16,2)) as double) value_usd, round(freight_cost_usd, 2) freight_cost_usd,
   cast(num_containers as double) num_containers, cast(num_stops as double) num_stops,
   cast(priority_level as bigint) priority_level, cast(cast(risk_score as decimal(6,4)) as double) risk_score,
   cast(cast(weather_severity as decimal(6,4)) as double) weather_severity,
@@ -703,7 +738,8 @@ from (values {_values(LINEITEM_SHAPE)}) t(position, column_name, type)""",
   else 'good' end outcome, count(*) as rows from shipments group by 1""",
             "shipments",
         ),
-        "append_new": """select l_orderkey, l_linenumber, l_shipdate, l_partkey, l_quantity, l_extendedprice from (
+        "append_new": """select l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+  l_returnflag, l_linestatus from (
   select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate, l_partkey, l_suppkey,
     l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) nth from lineitem) i
 where nth = 1 and not exists (select 1 from lineitem t where t.l_shipdate < timestamp '1996-01-01'
@@ -735,24 +771,42 @@ from customer cross join (values ('csv'), ('parquet'), ('json')) f(format) group
             f"select '{t}' table_name, count(*) row_count, true sized from {t}" for t in TABLE_NAMES
         ),
         "source_status": f"""select source, name, frequency, table_name,
-  case table_name when 'shipments_master' then (select count(*) from orders) when 'route_events' then (select count(*) from events) else 0 end row_count,
+  case table_name when 'shipments_master' then (select count(*) from orders) when 'route_events' then (select count(*) from events) else 0 end row_count, table_name is not null table_size,
   case when table_name is null then 'no_table' else 'healthy' end status
 from (values {_values(schema.SOURCE_REGISTRY)}) r(source, name, frequency, table_name)""",
+        "rows_loaded": """select 'shipments_master' table_name, count(*) rows_loaded from orders union all
+  select 'route_events', count(*) from events""",
+        "ensure_tables": """select 'shipments_master' table_name, count(*) as rows, cast(27 as bigint) columns from orders union all
+  select 'route_events', count(*), 23 from events""",
+        "single_source_load": """select 'shipments_master' table_name, cast(0 as bigint) row_count, cast(null as varchar) status, cast(null as bigint) rows_inserted
+  union all select 'route_events', count(*), 'success', count(*) from events""",
+        "csv_quoted": """select cast(doc_id as varchar) shipment_id, '"' || source || '", Ltd' carrier,
+  cast(length(trim(coalesce(text, '-'))) as bigint) characters from documents""",
+        "upload_bad_rows": _sql(
+            """select run, 'partial' status, n rows_read, case run when 1 then good else 0 end rows_inserted,
+  case run when 1 then 0 else good end rows_duplicate, n - good rows_errored,
+  'no_key=' || 2*rail || ',unreadable=' || 2*road rejected
+from (select count(*) n, count(*) filter (where transport_mode = 'rail') rail, count(*) filter (where transport_mode = 'road') road,
+        count(*) filter (where transport_mode not in ('rail', 'road')) good from shipments) cross join (values (cast(1 as bigint)), (2)) r(run)""",
+            "shipments",
+        ),
         "stream_ledger": _sql(
             """select cast(part as bigint) tick, cast(sum(count(*)) over (order by part) - count(*) as bigint) as "offset", count(*) batch_size,
   cast(sum(count(*)) over (order by part) as bigint) processed_records from piece group by part""",
             "piece",
         ),
         "stream_health": _sql(
-            """select cast(1 as bigint) tick, count(*) as rows, count(*) processed_records, false running
-from piece where part = 5""",
+            """select *, 'route_events' table_name, tick < 5 connected from (
+  select cast(part as bigint) tick, cast(sum(count(*)) over (order by part) - count(*) as bigint) as "offset", count(*) batch_size,
+    cast(sum(count(*)) over (order by part) as bigint) processed_records, (select count(*) from events) total_rows from piece group by part)
+where tick in (2, 4, 5)""",
             "piece",
         ),
         "stream_live_kpis": _sql(
             """select location_name, count(*) records, count(distinct shipment_id) active_shipments,
   count(distinct case when severe then shipment_id end) at_risk_shipments,
   round(count(*) filter (where on_time) / count(*), 4) on_time_rate, count(*) filter (where critical) critical_alerts,
-  any_value(b) batches
+  any_value(b) batches, greatest(any_value(b), count(distinct case when severe then shipment_id end)) routes_optimized
 from (select *, row_number() over (partition by location_name order by event_timestamp desc, event_id desc) nth from piece)
 join (select location_name, count(distinct part) b from piece group by 1) using (location_name)
 where nth <= 250 group by location_name""",

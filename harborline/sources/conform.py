@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -44,6 +45,21 @@ def _converted(c: Column, kind: T.DataType, wanted: T.DataType) -> Column:
     return text if isinstance(wanted, T.StringType) else text.try_cast(wanted)
 
 
+def unreadable(df: DataFrame, contract: T.StructType, aliases: Mapping[str, Sequence[str]] = ALIASES) -> Column:
+    """Whether a row has text that its column's type cannot hold."""
+    wrong = [F.lit(False)]
+    for field in contract.fields:
+        for name in [field.name, *aliases.get(field.name, [])]:
+            if name in df.columns and isinstance(df.schema[name].dataType, T.StringType):
+                text = F.nullif(F.trim(F.col(f"`{name}`")), F.lit(""))
+                if not isinstance(field.dataType, (T.StringType, T.BooleanType)):
+                    wrong.append(text.isNotNull() & text.try_cast(field.dataType).isNull())
+    if "weight_tons" in df.columns and isinstance(df.schema["weight_tons"].dataType, T.StringType):
+        text = F.nullif(F.trim("weight_tons"), F.lit(""))
+        wrong.append(text.isNotNull() & text.try_cast("decimal(18,6)").isNull())
+    return reduce(Column.__or__, wrong)
+
+
 def conform(
     df: DataFrame,
     contract: T.StructType,

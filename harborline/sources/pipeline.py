@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from harborline import schema
+from harborline.operators.monitoring import table_stats
 from harborline.sources.tables import REPORT, ensure_tables, load_report, load_table
 
 
@@ -38,7 +39,12 @@ def run_pipeline(spark: SparkSession, csv_dir: str, root: str, source: str = "al
     return load_report(spark, rows)
 
 
-def load_upload(spark: SparkSession, path: str, root: str) -> DataFrame:
+def validate(spark: SparkSession) -> DataFrame:
+    """Rows and bytes of the stored tables after a run."""
+    return table_stats(spark, list(schema.CONTRACTS))
+
+
+def load_upload(spark: SparkSession, path: str, root: str, multi_line: bool = False) -> DataFrame:
     """Append an uploaded CSV, in any known spelling, to the shipments."""
     ensure_tables(spark, root)
-    return load_report(spark, [load_table(spark, path, "shipments_master")])
+    return load_report(spark, [load_table(spark, path, "shipments_master", multi_line)])

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from harborline import schema
-from harborline.sources.conform import conform
+from harborline.session import spool
+from harborline.sources.conform import conform, unreadable
 from harborline.sources.csv_load import ARRIVAL, FILE_BYTES, load_csv, split_good_bad
 from harborline.sources.views import small_table
 
+REJECTED = "rejected_rows"
 REPORT = [
     "table_name", "status", "method", "rows_read", "rows_inserted", "rows_duplicate", "rows_errored",
     "long_texts", "duration_sec", "file_bytes",
@@ -32,6 +35,10 @@ def ensure_tables(spark: SparkSession, root: str) -> list[str]:
             f"CREATE TABLE IF NOT EXISTS {name} ({columns}, {part} string) USING parquet "
             f"PARTITIONED BY ({part}) LOCATION '{root}/{name}'"
         )
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {REJECTED} (table_name string, file string, reason string, record string, "
+        f"rejected_at timestamp) USING parquet LOCATION '{root}/{REJECTED}'"
+    )
     return list(schema.CONTRACTS)
 
 
@@ -42,31 +49,50 @@ def tables_exist(spark: SparkSession) -> dict[str, bool]:
 def append_new(target: DataFrame, incoming: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     """Incoming rows to insert: the first of each key, unless the target has the key.
 
+    A row without a whole key is never inserted.
+
     The rank filter is applied before the shuffle too, so a key that fills a third
     of the input sends one row per task.
     """
     keys = [key] if isinstance(key, str) else list(key)
     first = Window.partitionBy(*keys).orderBy(*order)
-    fresh = incoming.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")
+    whole = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
+    fresh = incoming.where(whole).withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")
     return fresh.join(target.select(*keys), keys, "left_anti")
 
 
 def insert(rows: DataFrame, table: str) -> int:
-    """Append rows to a stored table; the number by which it grew, from file metadata."""
+    """Append rows to a stored table; how many there were, counted in the staged files."""
     spark, part = rows.sparkSession, schema.PARTITIONS[table][0]
-    before = spark.table(table).count()
+    rows = spool(rows, "insert")
     named = rows.withColumn(part, partition_value(table)).select(*spark.table(table).columns)
     # Rebalance keeps files large and splits a hot month over many tasks.
     named.hint("rebalance", part).write.insertInto(table)
-    return spark.table(table).count() - before
+    return rows.count()
+
 
+def reject(bad: DataFrame, table: str) -> int:
+    """Keep rows that cannot be loaded, with their reason and file; how many."""
+    spark = bad.sparkSession
+    rows = spool(bad.select(F.lit(table).alias("table_name"), "_file", "reason", "record"), "rejected")
+    rows.select(*(F.col(c).cast("string") for c in rows.columns), F.current_timestamp()).write.insertInto(REJECTED)
+    return rows.count()
 
-def load_table(spark: SparkSession, path: str, table: str) -> tuple:
+
+def load_table(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> tuple:
     """Read, stage, conform and append one CSV input; a report row."""
     begun = time.monotonic()
     contract, key = schema.CONTRACTS[table], schema.KEYS[table]
-    good, bad = split_good_bad(load_csv(spark, path, contract), key)
-    rows = conform(good, contract, keep=[*ARRIVAL, FILE_BYTES])
+    read, bad = split_good_bad(load_csv(spark, path, contract, multi_line))
+    # Judged on conformed values: a key may come under another name, a number as text.
+    checked = conform(read.withColumn("_wrong", unreadable(read, contract)), contract, keep=["_wrong", *ARRIVAL, FILE_BYTES])
+    no_key = F.col(key).isNull()
+    rows = checked.where(~F.col("_wrong") & ~no_key).drop("_wrong")
+    left_out = checked.where(F.col("_wrong") | no_key).select(
+        F.when(F.col("_wrong"), "unreadable").otherwise("no_key").alias("reason"),
+        F.to_json(F.struct(*contract.names)).alias("record"),
+        "_file",
+    )
     too_long = [F.length(c) > n for c, n in schema.TEXT_LIMITS[table].items()]
     files = rows.groupBy("_file").agg(
         F.count(F.lit(1)).alias("good"),
@@ -75,7 +101,7 @@ def load_table(spark: SparkSession, path: str, table: str) -> tuple:
     )
     zero = F.lit(0)
     counts = files.agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("good", "long_texts", "bytes"))).first()
-    errored = bad.count()
+    errored = reject(bad.unionByName(left_out), table)
     inserted = insert(append_new(spark.table(table), rows, key, ARRIVAL), table)
     status = "success" if errored == 0 else "partial"
     return (

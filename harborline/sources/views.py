@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harborline import schema
 
@@ -74,7 +74,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(origin, F.col("supplier") % n_ports == F.col("origin_idx"), "left")
         .select(
-            F.concat(F.lit("SHP-"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("shipment_id"),
+            numbered("SHP-", F.col("o_orderkey")).alias("shipment_id"),
             F.col("c_mktsegment").alias("carrier"),
             "origin_port",
             "destination_port",
@@ -110,8 +110,17 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def telemetry(events: DataFrame) -> DataFrame:
-    """Route events from raw event rows; works on a batch and on a stream."""
+def numbered(prefix: str, number: Column) -> Column:
+    """A key of at least nine digits; longer numbers keep all of theirs."""
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(9), F.length(digits)), F.lit("0")))
+
+
+def telemetry(events: DataFrame, shipments: int) -> DataFrame:
+    """Route events from raw event rows; works on a batch and on a stream.
+
+    Events are spread over as many shipments as there are.
+    """
     reading = F.get_json_object("props", "$.k").cast("int")
     nodes = ports(events.sparkSession).select("idx", "node", "lat", "lon")
     k, value, eid = F.col("k"), F.col("value"), F.col("raw_id")
@@ -122,10 +131,8 @@ def telemetry(events: DataFrame) -> DataFrame:
         .withColumn("k", reading)
         .join(nodes, F.col("user_id") % len(schema.PORTS) == F.col("idx"))
         .select(
-            F.concat(F.lit("EVT-"), F.lpad(eid.cast("string"), 9, "0")).alias("event_id"),
-            F.concat(
-                F.lit("SHP-"), F.lpad(((eid * 7 + F.col("user_id")) % 1500).cast("string"), 9, "0")
-            ).alias("shipment_id"),
+            numbered("EVT-", eid).alias("event_id"),
+            numbered("SHP-", (eid * 7 + F.col("user_id")) % max(1, shipments)).alias("shipment_id"),
             F.when(F.col("raw_type") == "signup", "port_entry")
             .when(F.col("raw_type") == "error", "congestion_hold")
             .when(F.col("raw_type") == "click", "gps_ping")
@@ -154,4 +161,9 @@ def telemetry(events: DataFrame) -> DataFrame:
 
 
 def route_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry(table(spark, sf_dir, "events"))
+    return telemetry(table(spark, sf_dir, "events"), shipment_count(spark, sf_dir))
+
+
+def shipment_count(spark: SparkSession, sf_dir: str) -> int:
+    """From the file footers of the orders."""
+    return table(spark, sf_dir, "orders").count()

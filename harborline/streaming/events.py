@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from harborline.sources.views import small_table
-
 INTERVAL = "10 seconds"
 TICKS_PER_HEALTH = 5
-HEALTH = ["tick", "batch_id", "rows", "processed_records", "rows_per_second", "running", "last_batch_at"]
+LEDGER = "tick bigint, offset bigint, batch_size bigint, processed_records bigint, total_rows bigint, written_at timestamp"
 
 
 def event_stream(
@@ -31,47 +29,79 @@ def start(writer: DataStreamWriter, checkpoint: str, interval: str | None = INTE
     return paced.option("checkpointLocation", checkpoint).start()
 
 
-def read_batch(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    """What an earlier batch wrote under the root, or None before the first one."""
-    if batch_id < 0:
-        return None
-    try:
-        return spark.read.parquet(f"{root}/batch_id={batch_id}")
-    except AnalysisException as failure:
-        if failure.getCondition() != "PATH_NOT_FOUND":
-            raise
+def _folders(spark: SparkSession, root: str):
+    """The file system of a folder, and its batch folders by number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return files, {}
+    found = [status.getPath() for status in files.listStatus(path)]
+    named = [(p.getName(), p) for p in found]
+    return files, {int(name.partition("=")[2]): p for name, p in named if name.startswith("batch_id=")}
+
+
+def read_batch(spark: SparkSession, root: str, before: int) -> DataFrame | None:
+    """What the newest batch before the given one wrote under the root; None for the first batch.
+
+    Batches without rows leave gaps. A later batch with nothing before it means lost
+    state, which stops the stream.
+    """
+    earlier = [n for n in _folders(spark, root)[1] if n < before]
+    if not earlier:
+        if before > 0:
+            raise RuntimeError(f"batch {before} finds no earlier batch under {root}")
         return None
+    return spark.read.parquet(f"{root}/batch_id={max(earlier)}")
 
 
-def batch_payload(root: str) -> Callable[[DataFrame, int], None]:
+def drop_batches(spark: SparkSession, root: str, before: int) -> None:
+    """Remove the folders of batches that no retry reads any more."""
+    files, folders = _folders(spark, root)
+    for number, path in folders.items():
+        if number < before:
+            files.delete(path, True)
+
+
+def batch_payload(root: str, total_rows: int | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: records and a ledger row per batch.
 
-    Each batch overwrites its own folder, so a batch that is run again after a
-    failure leaves the same rows.
+    ``total_rows`` is the size of the replayed table, where it is known. Each batch
+    overwrites its own folder, so a batch that is run again after a failure leaves
+    the same rows; the first batch must be number 0.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{root}/records/batch_id={batch_id}")
         size = spark.read.parquet(f"{root}/records/batch_id={batch_id}").count()
-        prior = read_batch(spark, f"{root}/ledger", batch_id - 1)
-        offset = prior.first()["processed_records"] if prior is not None else 0
-        row = (batch_id + 1, offset, size, offset + size)
-        small_table(spark, ["tick", "offset", "batch_size", "processed_records"], [row]).write.mode(
-            "overwrite"
-        ).parquet(f"{root}/ledger/batch_id={batch_id}")
+        prior = read_batch(spark, f"{root}/ledger", batch_id)
+        last = prior.first() if prior is not None else None
+        tick, offset = (last["tick"] + 1, last["processed_records"]) if last else (1, 0)
+        row = (tick, offset, size, offset + size, total_rows, datetime.now(timezone.utc))
+        spark.createDataFrame([row], LEDGER).write.mode("overwrite").parquet(f"{root}/ledger/batch_id={batch_id}")
 
     return write
 
 
-def stream_health(query: StreamingQuery, every: int = TICKS_PER_HEALTH) -> DataFrame:
-    """Health rows of a query: each n-th batch, and the last one."""
-    progress = [p for p in query.recentProgress if p.numInputRows]
-    rows, processed = [], 0
-    for i, p in enumerate(progress, 1):
-        processed += p.numInputRows
-        if i % every == 0 or i == len(progress):
-            rows.append((i, p.batchId, p.numInputRows, processed, float(p.processedRowsPerSecond), query.isActive, p.timestamp))
-    if not rows:
-        rows.append((0, None, 0, 0, 0.0, query.isActive, None))
-    return small_table(SparkSession.active(), HEALTH, rows)
+def stream_health(
+    ledger: DataFrame, table: str, connected: bool, interval: str | None = INTERVAL, every: int = TICKS_PER_HEALTH
+) -> DataFrame:
+    """Health rows from a ledger: each n-th tick, and the last one.
+
+    The ledger outlives the query, so ticks and counts go on after a restart.
+    """
+    last = ledger.agg(F.max("tick").alias("last"))
+    return (
+        ledger.join(F.broadcast(last), (F.col("tick") % every == 0) | (F.col("tick") == F.col("last")))
+        .select(
+            "tick",
+            "offset",
+            "batch_size",
+            "processed_records",
+            "total_rows",
+            F.lit(table).alias("table_name"),
+            F.lit(interval).alias("interval"),
+            ((F.col("tick") < F.col("last")) | F.lit(connected)).alias("connected"),
+            F.col("written_at").alias("last_batch_at"),
+        )
+    )

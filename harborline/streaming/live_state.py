@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from harborline.functions.exact import rounded
 from harborline.operators.live import EVENT_ORDER, KEEP, SAVED_PER_ALERT, SAVED_PER_RISK, event_marks
-from harborline.streaming.events import read_batch
+from harborline.streaming.events import drop_batches, read_batch
 
 
 def live_kpis_sink(root: str, key: Column | None = None, keep: int = KEEP) -> Callable[[DataFrame, int], None]:
@@ -30,7 +30,7 @@ def live_kpis_sink(root: str, key: Column | None = None, keep: int = KEEP) -> Ca
             "shipment_id",
             *(c.alias(n) for n, c in event_marks().items()),
         )
-        held = read_batch(spark, f"{root}/buffer", batch_id - 1)
+        held = read_batch(spark, f"{root}/buffer", batch_id)
         every = rows if held is None else held.unionByName(rows)
         newest = Window.partitionBy("live_key").orderBy(
             F.col("arrived").desc(), *(F.col(c).desc_nulls_first() for c in EVENT_ORDER)
@@ -47,7 +47,7 @@ def live_kpis_sink(root: str, key: Column | None = None, keep: int = KEEP) -> Ca
             F.count_if("critical").alias("critical_alerts"),
             (F.max("arrived") == batch_id).cast("int").alias("fresh"),
         )
-        before = read_batch(spark, f"{root}/kpis", batch_id - 1)
+        before = read_batch(spark, f"{root}/kpis", batch_id)
         if before is None:
             before = now.select("live_key", F.lit(0).cast("bigint").alias("batches"), F.lit(0).cast("bigint").alias("saved"))
         gain = SAVED_PER_RISK * F.col("at_risk_shipments") + SAVED_PER_ALERT * F.col("critical_alerts")
@@ -61,5 +61,8 @@ def live_kpis_sink(root: str, key: Column | None = None, keep: int = KEEP) -> Ca
         figures.withColumn("routes_optimized", F.greatest("batches", "at_risk_shipments")).drop("fresh").write.mode(
             "overwrite"
         ).parquet(f"{root}/kpis/batch_id={batch_id}")
+        # A retry reads the batch before; older ones are of no more use.
+        for part in ("buffer", "kpis"):
+            drop_batches(spark, f"{root}/{part}", batch_id - 1)
 
     return write

@@ -32,5 +32,25 @@ def test_stored_tables_are_hidden(spark, tmp_path):
     spark.sql(f"CREATE TABLE hidden_rows (a int) USING parquet LOCATION '{tmp_path}/hidden'")
     try:
         assert "not allowed" in safe_select(spark, "SELECT * FROM default.hidden_rows", VIEWS).error
+        sneaky = "SELECT * FROM (WITH hidden_rows AS (SELECT 1) SELECT * FROM hidden_rows) x, hidden_rows"
+        assert "not allowed" in safe_select(spark, sneaky, VIEWS).error
     finally:
         spark.sql("DROP TABLE hidden_rows")
+
+
+def test_other_databases_and_global_views_are_hidden(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS elsewhere")
+    spark.range(3).createOrReplaceGlobalTempView("shared_rows")
+    try:
+        for name in ("elsewhere.rows", "global_temp.shared_rows"):
+            assert "not allowed" in safe_select(spark, f"SELECT count(*) FROM {name}", VIEWS).error
+            nested = f"SELECT n FROM small WHERE n IN (SELECT id FROM {name})"
+            assert "not allowed" in safe_select(spark, nested, VIEWS).error
+    finally:
+        spark.catalog.dropGlobalTempView("shared_rows")
+        spark.sql("DROP DATABASE elsewhere")
+
+
+def test_words_in_literals_are_free(spark):
+    answer = safe_select(spark, "SELECT 'shipped using rail, reflect' AS w FROM small LIMIT 1", VIEWS)
+    assert answer.error is None and answer.rows.first().w.startswith("shipped")

@@ -1,6 +1,8 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from harborline.plans.catalog import QUERIES
+from harborline.plans.oracle import oracle
 from tools.compare import database, difference
 
 # Covered with the small models of test_disruption.py; the full ones take a minute.
@@ -13,7 +15,8 @@ CHECKED = [
 
 
 def test_every_query_but_the_trained_has_a_twin():
-    assert set(queries()) - set(oracle_sql()) == TRAINED
+    assert set(QUERIES) - set(oracle()) == TRAINED
+    assert set(oracle()) <= set(QUERIES) <= set(queries())
     assert set(oracle_sql()) <= set(queries())
 
 

@@ -96,7 +96,7 @@ def test_stream_equals_batch(spark, tmp_path, pieces):
     stream = streams.event_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], FIELDS).schema)
     writer = stream.writeStream.foreachBatch(live_state.live_kpis_sink(f"{tmp_path}/out", keep=120))
     streams.start(writer, f"{tmp_path}/cp", interval=None).awaitTermination()
-    row = streams.read_batch(spark, f"{tmp_path}/out/kpis", pieces - 1).first()
+    row = streams.read_batch(spark, f"{tmp_path}/out/kpis", pieces).first()
     want = simulate(rows, -(-300 // pieces), 120)
     last = want[max(want)]
     assert (row.records, row.active_shipments, row.at_risk_shipments, row.critical_alerts) == (*last[:3], last[4])
@@ -118,8 +118,23 @@ def test_stop_and_resume_without_repeats(spark, tmp_path):
         (1, 0, 30, 30), (2, 30, 30, 60), (3, 60, 30, 90)
     ]
     assert spark.read.parquet(f"{root}/records").select("event_id").distinct().count() == 90
-    health = streams.stream_health(query).collect()
-    assert health[-1].rows == 30 and not health[-1].running
+    health = streams.stream_health(spark.read.parquet(f"{root}/ledger"), "route_events", query.isActive, every=2).orderBy("tick").collect()
+    assert [(r.tick, r.processed_records, r.connected) for r in health] == [(2, 60, True), (3, 90, False)]
+
+
+def test_a_gap_between_batches_keeps_the_counts(spark, tmp_path):
+    rows = spark.createDataFrame(telemetry(40), FIELDS)
+    ledger, live = streams.batch_payload(f"{tmp_path}/l", 40), live_state.live_kpis_sink(f"{tmp_path}/k")
+    for number in (0, 1, 3):
+        part = rows.where(f"event_id >= 'E{10 * min(number, 2):05d}' and event_id < 'E{10 * min(number, 2) + 10:05d}'")
+        ledger(part, number)
+        live(part, number)
+    last = streams.read_batch(spark, f"{tmp_path}/l/ledger", 4).first()
+    assert (last.tick, last.offset, last.processed_records, last.total_rows) == (3, 20, 30, 40)
+    kpis = streams.read_batch(spark, f"{tmp_path}/k/kpis", 4).first()
+    assert kpis.records == 30 and kpis.batches == 3
+    with pytest.raises(RuntimeError):
+        streams.read_batch(spark, f"{tmp_path}/nothing", 5)
 
 
 def test_a_batch_run_again_changes_nothing(spark, tmp_path):
@@ -127,9 +142,9 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     sink = live_state.live_kpis_sink(str(tmp_path), F.col("location_name"), keep=10)
     sink(rows.where("event_id < 'E00025'"), 0)
     sink(rows.where("event_id >= 'E00025'"), 1)
-    first = sorted(streams.read_batch(spark, f"{tmp_path}/kpis", 1).collect())
+    first = sorted(streams.read_batch(spark, f"{tmp_path}/kpis", 2).collect())
     sink(rows.where("event_id >= 'E00025'"), 1)
-    assert sorted(streams.read_batch(spark, f"{tmp_path}/kpis", 1).collect()) == first
+    assert sorted(streams.read_batch(spark, f"{tmp_path}/kpis", 2).collect()) == first
 
 
 def test_late_rows_and_repeats_are_dropped(spark, tmp_path):
@@ -154,4 +169,4 @@ def test_late_rows_and_repeats_are_dropped(spark, tmp_path):
 
 def test_streaming_telemetry_view(spark, folder):
     raw = spark.read.parquet(f"{folder}/events.parquet")
-    assert views.telemetry(raw).count() == raw.count()
+    assert views.telemetry(raw, 1500).count() == raw.count()

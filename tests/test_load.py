@@ -126,3 +126,23 @@ def test_stats_of_stored_tables(spark, tmp_path, store):
     assert stats["shipments_master"].row_count == 1 and stats["shipments_master"].size_bytes > 0
     assert stats["route_events"].row_count == 0 and stats["route_events"].error is None
     assert monitoring.rows_loaded(spark, "shipments_master").first().rows_loaded == 1
+
+
+def test_quoted_values_and_headers_per_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.csv", "shipment_id,carrier,status", 'S1,"Say ""Hi"", Ltd",Delayed', 'S2,"two\nlines",Delayed')
+    write(tmp_path / "in" / "b.csv", "shipment_id,status,carrier", "S3,Delivered,C")
+    read = csv_load.load_csv(spark, f"{tmp_path}/in", schema.SHIPMENTS, multi_line=True)
+    good, bad = csv_load.split_good_bad(read, "shipment_id")
+    rows = {r.shipment_id: (r.carrier, r.status) for r in good.collect()}
+    assert rows == {"S1": ('Say "Hi", Ltd', "Delayed"), "S2": ("two\nlines", "Delayed"), "S3": ("C", "Delivered")}
+    assert bad.count() == 0
+
+
+def test_upload_without_keys_inserts_nothing_twice(spark, tmp_path, store):
+    path = write(tmp_path / "u.csv", "id,carrier,stops", ",A,1", ",B,2", "U1,C,zz", "U2,D,3")
+    for want in (1, 0):
+        row = pipeline.load_upload(spark, path, store).first()
+        assert (row.rows_inserted, row.rows_errored, row.rows_read) == (want, 3, 4)
+    kept = spark.table(tables.REJECTED).groupBy("reason").count().collect()
+    assert {r.reason: r["count"] for r in kept} == {"no_key": 4, "unreadable": 2}

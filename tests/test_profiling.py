@@ -48,3 +48,11 @@ def test_text_insights_read_the_whole_text(spark):
 def test_json_keys(spark):
     df = spark.createDataFrame([('{"a": 1, "b": {"c": 2}}',), ('{"a": 3}',), ("[1]",), (None,)], "j string")
     assert {r.key: r.occurrences for r in profiling.json_keys(df, "j").collect()} == {"a": 2, "b": 1}
+
+
+def test_infinite_and_large_values(spark):
+    df = spark.createDataFrame([(1.0, 1_700_000_000_000), (2.0, 1_700_000_000_500), (3.0, None), (float("inf"), 7)], "a double, t bigint")
+    rows = {r.column_name: r for r in profiling.profile_numeric(df).collect()}
+    assert rows["a"]["count"] == 4 and rows["a"]["mean"] == float("inf") and rows["a"]["max"] == float("inf")
+    assert rows["a"]["min"] == 1.0 and rows["a"]["p50"] == 2.5
+    assert rows["t"]["max"] == 1_700_000_000_500 and abs(rows["t"]["mean"] - 3_400_000_000_507 / 3) < 1

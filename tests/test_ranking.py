@@ -78,3 +78,17 @@ def test_weights_before(spark):
     for k in range(50):
         assert got[k] == total
         total += k % 3 + 1
+
+
+def test_latest_across_a_repeated_hour(spark):
+    from datetime import datetime, timedelta, timezone
+
+    start = datetime(2024, 11, 3, 0, tzinfo=timezone.utc)
+    rows = [(i, start + timedelta(minutes=i)) for i in range(720)]
+    df = spark.createDataFrame(rows, "k bigint, at timestamp")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert sorted(r.k for r in ranking.latest(df, "at", "k", 480).select("k").collect()) == list(range(240, 720))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -55,3 +55,11 @@ def test_exact_mean_and_rounding(spark):
     assert df.select(exact.exact_mean(F.col("c"))).first()[0] == 0.15
     assert df.where("c > 9").select(exact.exact_mean(F.col("c"))).first()[0] is None
     assert values(spark, [2.675, -79.50025], lambda c: exact.rounded(c, 2)) == [2.68, -79.5]
+
+
+def test_long_numbers_keep_their_digits(spark):
+    from harborline.sources import views
+
+    df = spark.createDataFrame([(7,), (1234567890,), (1234567891,)], "n bigint")
+    keys = [r[0] for r in df.select(views.numbered("SHP-", F.col("n"))).collect()]
+    assert keys == ["SHP-000000007", "SHP-1234567890", "SHP-1234567891"]
