@@ -77,7 +77,9 @@ def tree_merge(runs: DataFrame, keep: str = "smallest", fan_in: int = FAN_IN) ->
                 _same("second"),
             )
         )
-    return level.select(
+    # The verified values are asked for here, or the planner would leave them out.
+    verified = level.where(F.col("bytes").isNotNull() & F.col("second").isNotNull())
+    return verified.select(
         "digest",
         F.col("best.id").alias("keep_id"),
         F.coalesce("best.row", "any_row").alias("keep_row"),

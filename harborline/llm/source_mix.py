@@ -50,42 +50,42 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
     return sources.select("source", "source_size", F.least(cap.cast("double"), F.lit(share) * F.col("weight")).alias("target"))
 
 
-def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int, total: int) -> list[int]:
+def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int, total: int, passes: int = 1) -> list[int]:
     """How many documents of each size to take so that their sizes add up to near the budget.
 
     First the same share of every size, rounded down; then one more of a size, the
     largest first, while the rest of the budget is beyond ``PROGRAM_WORDS``; then a
-    bounded-knapsack dynamic program over what is left, whose best sum is taken.
+    bounded-knapsack dynamic program over what is left, whose best sum is taken. A
+    document counts again, up to ``passes`` times, only where taking each once leaves
+    a rest.
     """
     take = [n * budget // total if total else 0 for n in counts]
     left = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
     order = sorted((k for k, s in enumerate(sizes) if s > 0), key=lambda k: -sizes[k])
-    for k in order:
-        if left <= PROGRAM_WORDS:
-            break
-        if sizes[k] <= left and take[k] < counts[k]:
-            take[k] += 1
-            left -= sizes[k]
-    if left > PROGRAM_WORDS:
-        # One more of each was not enough: fill up with whole runs of a size.
+    for limit in range(1, passes + 1):
+        for k in order:
+            if left > PROGRAM_WORDS and sizes[k] <= left and take[k] < counts[k] * limit:
+                take[k] += 1
+                left -= sizes[k]
         for k in order:
-            more = min(counts[k] - take[k], max(0, left - PROGRAM_WORDS + sizes[k] - 1) // sizes[k], left // sizes[k])
+            # One more of each was not enough: whole runs of a size.
+            wanted = max(0, left - PROGRAM_WORDS + sizes[k] - 1) // sizes[k]
+            more = min(max(0, counts[k] * limit - take[k]), wanted, left // sizes[k])
             take[k] += more
             left -= more * sizes[k]
-    left = min(left, PROGRAM_WORDS) if left > 0 else 0
+    left = min(left, PROGRAM_WORDS)
     # Sums that can be reached, as bits; each step offers 2^j documents of one size.
     reached, steps, full = 1, [], (1 << (left + 1)) - 1
-    for k in reversed(order):
-        spare = min(counts[k] - take[k], left // sizes[k])
-        lot = 1
-        while spare > 0 and not reached >> left & 1:
-            n = min(lot, spare)
-            steps.append((k, n, reached))
-            reached |= (reached << (n * sizes[k])) & full
-            spare -= n
-            lot *= 2
-        if reached >> left & 1:
-            break
+    for limit in range(1, passes + 1):
+        for k in reversed(order):
+            held = max(take[k], counts[k] * (limit - 1))
+            spare, lot = min(max(0, counts[k] * limit - held), left // sizes[k]), 1
+            while spare > 0 and not reached >> left & 1:
+                n = min(lot, spare)
+                steps.append((k, n, reached))
+                reached |= (reached << (n * sizes[k])) & full
+                spare -= n
+                lot *= 2
     at = reached.bit_length() - 1
     for k, n, before in reversed(steps):
         if not before >> at & 1:
@@ -95,7 +95,7 @@ def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int, total:
 
 
 def size_takes(histogram: DataFrame, most: int = MAX_REPEATS) -> DataFrame:
-    """(source, size, times, extra): whole passes over the source, and documents of a size taken once more.
+    """(source, size, times, extra): how often all documents of a size are taken, and how many once more.
 
     ``histogram`` has source, size, n, source_size and target: one row for each
     length that occurs in a source, however many documents there are.
@@ -106,8 +106,10 @@ def size_takes(histogram: DataFrame, most: int = MAX_REPEATS) -> DataFrame:
         times = min(most, int(target // total)) if total else 0
         budget = 0 if times == most else min(total, round(target - times * total))
         group = group.sort_values("size")
-        extra = fit_budget(group["size"].tolist(), group["n"].tolist(), budget, total)
-        return group[["source", "size"]].assign(times=times, extra=extra)
+        counts = group["n"].tolist()
+        more = fit_budget(group["size"].tolist(), counts, budget, total, passes=max(1, most - times))
+        whole = [times + m // n for m, n in zip(more, counts, strict=True)]
+        return group[["source", "size"]].assign(times=whole, extra=[m % n for m, n in zip(more, counts, strict=True)])
 
     return histogram.groupBy("source").applyInPandas(fit, "source string, size bigint, times bigint, extra bigint")
 
