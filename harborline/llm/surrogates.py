@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from harborline.session import spool
 
 # Forms of personal data.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IPV4 = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
-IPV6 = r"(?<![:0-9A-Za-z])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:0-9A-Za-z])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
-SECRET = r"(?<![0-9A-Za-z_-])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[bp])[-_][0-9A-Za-z_-]{16,})(?![0-9A-Za-z_-])"
+IPV6 = r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:0-9A-Za-z])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+SECRET = r"(?<![_-])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[bp])[-_][0-9A-Za-z_-]{16,})(?![0-9A-Za-z_-])"
 PHONE = (
     r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
@@ -36,6 +38,8 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": {"m": "o", "f": "a"}, "cyrillic": {"m": "р", "f": "а"}, "greek": {"m": "ος", "f": "α"}}
 
+#: Capitals of the scripts of the names; a cheap test before the names are tried one by one.
+_CAPITAL = "(?=[A-Z\u00c0-\u00de\u0391-\u03a9\u0410-\u042f])"
 _CAPITALISED = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join(t for names in TITLES.values() for t in names)
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
@@ -43,14 +47,23 @@ NAME = (
     rf"(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_CAPITALISED}(?: {_CAPITALISED}){{0,2}}"
     rf"|(?<!\p{{L}})(?:{_GIVEN})(?: {_CAPITALISED}){{1,2}}"
 )
-PATTERN = "|".join([EMAIL, IPV4, IPV6, IBAN, SECRET, PHONE, SSN, CARD, NAME])
+# Grouped by what can begin a find, so that most characters fail one short test.
+PATTERN = (
+    rf"(?<![0-9A-Za-z])(?:{EMAIL}|{IPV6}|{IBAN}|{SECRET})"
+    rf"|(?=[0-9(+])(?:{IPV4}|{PHONE}|{SSN}|{CARD})|{_CAPITAL}(?:{NAME})"
+)
 #: Every find holds one of these, so other texts are left alone at once.
-HINT = rf"[@+0-9]|{_TITLE}|{_GIVEN}"
+HINT = rf"[@0-9]|{_CAPITAL}(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})(?!\p{{L}})"
 NAME_KINDS = "surname|given_m|given_f"
 #: From this attempt on a surrogate gets longer, or a given name is made up.
 LONGER = 2
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _matches(value: Column, pattern: str) -> Column:
     return value.rlike(f"^(?:{pattern})$")
 
@@ -80,8 +93,6 @@ def tokens_of(entity: Column) -> Column:
     """
     male = _named([n for (_, g), names in GIVEN.items() if g == "m" for n in names])
     female = _named([n for (_, g), names in GIVEN.items() if g == "f" for n in names])
-    kind = kind_of(entity)
-
     def token(kind: Column | str, value: Column) -> Column:
         return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("value"))
 
@@ -89,13 +100,13 @@ def tokens_of(entity: Column) -> Column:
         return token(F.when(word.rlike(male), "given_m").when(word.rlike(female), "given_f").otherwise("surname"), word)
 
     digits = F.regexp_replace(entity, "[^0-9]", "")
-    return (
+    return _let(kind_of(entity), lambda kind: (
         F.when(kind == "email", F.array(token("email", F.lower(entity)), token("domain", F.lower(F.substring_index(entity, "@", -1)))))
         .when(kind.isin("phone", "card", "ssn"), F.array(token(kind, digits)))
         .when(kind == "iban", F.array(token("iban", F.regexp_replace(entity, " ", ""))))
         .when(kind == "name", F.transform(F.split(entity, " "), name))
         .otherwise(F.array(token(kind, entity)))
-    )
+    ))
 
 
 def _bytes(seed: Column, size: Column) -> Column:
@@ -116,7 +127,9 @@ def _alike(value: Column, stream: Column, hexadecimal: Column) -> Column:
     """Digits for digits, letters for letters in their case, all else as it is."""
 
     def one(place: Column) -> Column:
-        c, byte = F.substring(value, place, F.lit(1)), _byte(stream, place)
+        return _let(F.substring(value, place, F.lit(1)), lambda c: _let(_byte(stream, place), lambda byte: like(c, byte)))
+
+    def like(c: Column, byte: Column) -> Column:
         hex_digit = F.lower(F.hex(byte % 16))
         return (
             F.when(hexadecimal & c.rlike("[0-9a-f]"), hex_digit)
@@ -165,8 +178,18 @@ def _given(stream: Column, script: Column, gender: str, attempt: Column) -> Colu
 def surrogate_of(kind: Column, value: Column, attempt: Column, key: Column) -> Column:
     """The surrogate of a token, in the spelling of tokens."""
     seed = F.concat_ws("|", key, kind, value, attempt.cast("string"))
-    stream = _bytes(seed, F.length(value) + 8)
-    alike = _alike(value, stream, kind.isin("secret", "ipv6") & value.rlike("^(?:[0-9a-f:]+|[0-9A-F:]+)$"))
+
+    def made(stream: Column) -> Column:
+        hexadecimal = kind.isin("secret", "ipv6") & value.rlike("^(?:[0-9a-f:]+|[0-9A-F:]+)$")
+        alike = _alike(value, stream, hexadecimal)
+        return F.when(kind.isin("email", "domain", "ipv4", "surname", "given_m", "given_f"), _token(kind, value, attempt, seed, stream, alike)).otherwise(
+            _let(alike, lambda same: _token(kind, value, attempt, seed, stream, same))
+        )
+
+    return _let(_bytes(seed, F.length(value) + 8), made)
+
+
+def _token(kind: Column, value: Column, attempt: Column, seed: Column, stream: Column, alike: Column) -> Column:
     more = F.when(attempt >= LONGER, F.lower(F.substring(F.sha2(seed, 256), 1, 6))).otherwise("")
     local = F.substring_index(value, "@", 1)
     octets = F.concat_ws(".", *[_byte(stream, F.lit(k)).cast("string") for k in range(1, 5)])
@@ -195,21 +218,26 @@ def _byte_word(stream: Column, script: Column) -> Column:
 
 def replacement(entity: Column, surrogates: Column) -> Column:
     """A find rewritten with the surrogates of its tokens, in its own format and case."""
-    kind, first = kind_of(entity), F.element_at(surrogates, 1)
 
-    def digit(place: Column) -> Column:
-        c = F.substring(entity, place, F.lit(1))
-        before = F.length(F.regexp_replace(F.substring(entity, F.lit(1), place), "[^0-9A-Z]" , ""))
-        return F.when(c.rlike("[0-9A-Z]"), F.substring(first, before, F.lit(1))).otherwise(c)
+    def formatted(first: Column) -> Column:
+        def digit(place: Column) -> Column:
+            c = F.substring(entity, place, F.lit(1))
+            before = F.length(F.regexp_replace(F.substring(entity, F.lit(1), place), "[^0-9A-Z]", ""))
+            return F.when(c.rlike("[0-9A-Z]"), F.substring(first, before, F.lit(1))).otherwise(c)
 
-    formatted = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(entity))), digit), "")
-    mail = F.concat(first, F.lit("@"), F.element_at(surrogates, 2))
-    return (
-        F.when(kind == "email", F.when(entity == F.upper(entity), F.upper(mail)).otherwise(mail))
-        .when(kind.isin("phone", "card", "ssn", "iban"), formatted)
-        .when(kind == "name", F.array_join(surrogates, " "))
-        .otherwise(first)
-    )
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(entity))), digit), "")
+
+    def rewritten(new: Column) -> Column:
+        first = F.element_at(new, 1)
+        mail = F.concat(first, F.lit("@"), F.element_at(new, 2))
+        return _let(kind_of(entity), lambda kind: (
+            F.when(kind == "email", F.when(entity == F.upper(entity), F.upper(mail)).otherwise(mail))
+            .when(kind.isin("phone", "card", "ssn", "iban"), _let(first, formatted))
+            .when(kind == "name", F.array_join(new, " "))
+            .otherwise(first)
+        ))
+
+    return _let(surrogates, rewritten)
 
 
 def _finds(text: Column) -> Column:
@@ -251,8 +279,8 @@ def attempts_needed(tokens: DataFrame, key: str) -> DataFrame:
 def surrogates(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, text with surrogates, n_replaced, spans.
 
-    ``spans`` has (kind, start, length, new_length) of every find, by characters of the
-    old text from 0. Found are mail addresses, IP addresses, IBANs, keys and digests,
+    ``spans`` has (kind, gap, length, new_length) of every find in order: characters
+    since the find before, of the find and of its surrogate. Found are mail addresses, IP addresses, IBANs, keys and digests,
     phone, social security and card numbers, and names after a title or of a known
     given name. Equal values get equal surrogates everywhere and under one ``key``
     also in later runs; different values get different ones, and none but a name is
@@ -291,23 +319,19 @@ def surrogates(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text"
     rows = (
         base.join(changed, base["id"].eqNullSafe(changed["id"]), "left")
         .select(base["id"], "text", "attempts")
-        .withColumn("finds", _finds(F.col("text")))
-        .withColumn("made", F.transform(finds, new))
-        .withColumn("gaps", F.when(F.size(finds) > 0, F.split("text", PATTERN, -1)).otherwise(F.array("text")))
     )
+    # Each step is a generator of one row: later steps use its result and do not repeat it.
+    rows = rows.select("*", F.inline(F.array(F.struct(_finds(F.col("text")).alias("finds")))))
+    gaps = F.when(F.size(finds) > 0, F.split("text", PATTERN, -1)).otherwise(F.array("text"))
+    rows = rows.select("*", F.inline(F.array(F.struct(F.transform(finds, new).alias("made"), gaps.alias("gaps")))))
     pieces = F.zip_with(F.col("gaps"), F.col("made"), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    lengths = F.zip_with(F.slice("gaps", 1, F.size(finds)), finds, lambda g, e: F.struct(F.length(g).alias("gap"), F.length(e).alias("size")))
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size(finds)),
-        lambda k: F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(0), lambda a, x: a + x["gap"] + x["size"]) - F.length(F.element_at(finds, k)),
-    )
     spans = F.transform(
-        F.arrays_zip(finds.alias("e"), F.col("made").alias("m"), starts.alias("s")),
+        F.arrays_zip(finds.alias("e"), F.col("made").alias("m"), F.slice("gaps", 1, F.size(finds)).alias("g")),
         lambda x: F.struct(
-            kind_of(x["e"]).alias("kind"), x["s"].alias("start"), F.length(x["e"]).alias("length"), F.length(x["m"]).alias("new_length")
+            kind_of(x["e"]).alias("kind"), F.length(x["g"]).alias("gap"), F.length(x["e"]).alias("length"), F.length(x["m"]).alias("new_length")
         ),
     )
-    empty = F.array().cast("array<struct<kind:string,start:int,length:int,new_length:int>>")
+    empty = F.array().cast("array<struct<kind:string,gap:int,length:int,new_length:int>>")
     return rows.select(
         F.col("id").alias(id),
         F.when(F.col("text").isNotNull(), F.array_join(pieces, "")).alias(text),
