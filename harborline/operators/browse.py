@@ -8,6 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from harborline import schema
 from harborline.functions.exact import rounded
 
 SEARCHED = ["shipment_id", "carrier", "origin_port", "destination_port", "status"]
@@ -42,8 +43,16 @@ def moment(at: date) -> Column:
 
 
 def since(df: DataFrame, column: str, as_of: date, days: int) -> DataFrame:
-    """Rows from the last days before ``as_of``; a literal comparison, so it prunes."""
-    return df.where(F.col(column) >= moment(as_of - timedelta(days=days)))
+    """Rows from the last days before ``as_of``; a literal comparison, so it prunes.
+
+    On a stored table the bound holds for the partition column as well.
+    """
+    start = moment(as_of - timedelta(days=days))
+    recent = F.col(column) >= start
+    for part, source, pattern in schema.PARTITIONS.values():
+        if source == column and part in df.columns:
+            recent = recent & (F.col(part) >= F.date_format(start, pattern))
+    return df.where(recent)
 
 
 def event_log(events: DataFrame) -> DataFrame:

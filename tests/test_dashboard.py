@@ -110,3 +110,24 @@ def test_event_line(spark):
         "shipment_id", F.lit("S1")
     )
     assert browse.event_log(df).first().line == "E1 @ New York Bay Δrisk: -0.050 ⚠"
+
+
+def test_order_queries_do_not_read_the_lines(spark, folder):
+    from harborline.plans.catalog import QUERIES
+
+    for name in ("mode_split", "last_month_shipments", "carrier_performance"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        read = "l_orderkey" in plan
+        assert read == (name == "carrier_performance"), name
+
+
+def test_since_bounds_the_partitions(spark, tmp_path):
+    from datetime import date
+
+    from harborline.operators import browse
+
+    rows = spark.createDataFrame([(date(2001, m, 3), f"2001-{m:02d}") for m in range(1, 9)], "created_date date, created_month string")
+    rows.write.partitionBy("created_month").parquet(f"{tmp_path}/t")
+    recent = browse.since(spark.read.parquet(f"{tmp_path}/t"), "created_date", date(2001, 8, 1), 40)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_month" in plan and recent.count() == 2
