@@ -16,10 +16,10 @@ from harborline.session import spool
 SHARD_ROWS = 8_192
 #: Queries that one task sends through one graph, about.
 QUERY_ROWS = 16_384
-#: Links kept by a node on upper layers; twice as many on the base layer.
+#: Links a node chooses when it comes in, and as many that later nodes may put in.
 LINKS = 16
 BUILD_BEAM = 64
-FIRST_BEAM = 64
+FIRST_BEAM = 32
 #: Beam nodes opened at once.
 OPENED = 4
 #: Queries of a task that are checked against all vectors of the shard, and the recall they must reach.
@@ -54,9 +54,9 @@ class SmallWorld:
         layers = []
         for level in range(heights.max() + 1):
             nodes = np.flatnonzero(heights >= level)
-            layers.append((nodes, np.full((len(nodes), LINKS * (1 if level else 2)), -1, np.int64)))
+            layers.append((nodes, np.full((len(nodes), 2 * LINKS), -1, np.int64)))
         graph = cls(vectors, layers)
-        likeness = [np.full(links.shape, -np.inf) for _, links in layers]
+        likeness = [np.full((len(nodes), LINKS), -np.inf) for nodes, _ in layers]
         for node in range(1, n):
             graph._insert(node, int(heights[node]), likeness)
         return graph
@@ -72,14 +72,13 @@ class SmallWorld:
             keep = self._spread(found, near)
             found, near = found[keep], near[keep]
             links, row = self.layers[level][1], self.row[level]
-            own = row[node]
-            links[own, : len(found)] = found
-            likeness[level][own, : len(found)] = near
+            # A node's own choice stays, so that no dense group closes itself off.
+            links[row[node], : len(found)] = found
             # The other way: a free place, or that of the least alike.
             theirs = row[found]
             worst = likeness[level][theirs].argmin(axis=1)
             better = near > likeness[level][theirs, worst]
-            links[theirs[better], worst[better]] = node
+            links[theirs[better], LINKS + worst[better]] = node
             likeness[level][theirs[better], worst[better]] = near[better]
 
     def _spread(self, found: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -98,7 +97,9 @@ class SmallWorld:
             kept += [k for k in range(len(found)) if k not in taken][: LINKS - len(kept)]
         return np.array(kept)
 
-    def beam(self, query: np.ndarray, entry: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    def beam(
+        self, query: np.ndarray, entry: np.ndarray, width: int, level: int, both_ways: bool = False
+    ) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` most alike nodes that a beam search from ``entry`` meets, best first."""
         links, row, stamp = self.layers[level][1], self.row[level], self.stamp
         self.now += 1
@@ -115,6 +116,8 @@ class SmallWorld:
             closed[opened] = True
             new = links[row[ids[opened]]].ravel()
             new = new[new >= 0]
+            if both_ways:
+                new = np.concatenate([new, self._linked_from(ids[opened])])
             new = new[stamp[new] != self.now]
             if not len(new):
                 continue
@@ -131,9 +134,12 @@ class SmallWorld:
         entry = np.array([0])
         for level in range(len(self.layers) - 1, 0, -1):
             entry = self.beam(query, entry, 1, level)[0]
-        ids, near = self.beam(query, entry, width, 0)
+        ids, near = self.beam(query, entry, width, 0, both_ways=True)
         found = ids[near >= least]
+        # The beam has let go of nodes that it met, so the marks begin anew.
         links, stamp = self.layers[0][1], self.stamp
+        self.now += 1
+        stamp[found] = self.now
         fresh = found
         while len(fresh):
             new = links[fresh].ravel()
