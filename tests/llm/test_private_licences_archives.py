@@ -92,8 +92,8 @@ def plain_scan(files):
     idf = {t: math.log((len(files) + 1) / (held[t] + 1)) + 1 for t in vocabulary}
     out = {}
     for i, _, text in files:
-        best = 0.0
-        for line in re.split(r"\r?\n", text or ""):
+        best, text = 0.0, text or ""
+        for line in re.split(r"\r?\n", text):
             for passage in [line, *re.split(r"(?<=[.!?])[ \t]+", line), *re.split(r"\r?\n[ \t]*\r?\n", text)]:
                 if re.search(license_scan.CUE, passage):
                     c = Counter(terms(passage))
