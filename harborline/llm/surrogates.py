@@ -12,7 +12,14 @@ from harborline.session import spool
 EMAIL = r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IPV4 = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
-IPV6 = r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:0-9A-Za-z])"
+GROUP = "[0-9A-Fa-f]{1,4}"
+# Forms with "::" by the groups before and after it; the last ones end in an IPv4 address.
+_SHORT = [rf"(?:{GROUP}:){{1,7}}:", *(rf"(?:{GROUP}:){{1,{7 - k}}}(?::{GROUP}){{1,{k}}}" for k in range(1, 7)), rf":(?::{GROUP}){{1,7}}"]
+_MIXED = [rf"(?:{GROUP}:){{6}}", rf"(?:{GROUP}:){{1,5}}:(?:{GROUP}:){{0,4}}", rf"::(?:{GROUP}:){{0,5}}"]
+IPV6 = (
+    rf"(?=[0-9A-Fa-f]{{0,4}}:)(?<!:)(?:(?:{GROUP}:){{7}}{GROUP}(?![:0-9A-Za-z])"
+    rf"|(?:{'|'.join(_SHORT)})(?![:0-9A-Za-z]|\.[0-9])|(?:{'|'.join(_MIXED)})(?:{OCTET}\.){{3}}{OCTET}(?![:0-9A-Za-z]|\.[0-9]))"
+)
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 SECRET = r"(?<![_-])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[bp])[-_][0-9A-Za-z_-]{16,})(?![0-9A-Za-z_-])"
 PHONE = (
@@ -38,8 +45,8 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": {"m": "o", "f": "a"}, "cyrillic": {"m": "р", "f": "а"}, "greek": {"m": "ος", "f": "α"}}
 
-#: Capitals of the scripts of the names; a cheap test before the names are tried one by one.
-_CAPITAL = "(?=[A-Z\u00c0-\u00de\u0391-\u03a9\u0410-\u042f])"
+#: A cheap test before the names are tried one by one.
+_CAPITAL = r"(?=\p{Lu})"
 _CAPITALISED = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join(t for names in TITLES.values() for t in names)
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
@@ -53,7 +60,7 @@ PATTERN = (
     rf"|(?=[0-9(+])(?:{IPV4}|{PHONE}|{SSN}|{CARD})|{_CAPITAL}(?:{NAME})"
 )
 #: Every find holds one of these, so other texts are left alone at once.
-HINT = rf"[@0-9]|{_CAPITAL}(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})(?!\p{{L}})"
+HINT = rf"[@0-9]|::|AKIA|ASIA|(?:sk|pk|ghp|gho|xox[bp])[-_]|[a-f]{{32}}|[A-F]{{32}}|{_CAPITAL}(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})(?!\p{{L}})"
 NAME_KINDS = "surname|given_m|given_f"
 #: From this attempt on a surrogate gets longer, or a given name is made up.
 LONGER = 2
@@ -180,7 +187,7 @@ def surrogate_of(kind: Column, value: Column, attempt: Column, key: Column) -> C
     seed = F.concat_ws("|", key, kind, value, attempt.cast("string"))
 
     def made(stream: Column) -> Column:
-        hexadecimal = kind.isin("secret", "ipv6") & value.rlike("^(?:[0-9a-f:]+|[0-9A-F:]+)$")
+        hexadecimal = kind.isin("secret", "ipv6") & ((kind == "ipv6") | value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
         alike = _alike(value, stream, hexadecimal)
         return F.when(kind.isin("email", "domain", "ipv4", "surname", "given_m", "given_f"), _token(kind, value, attempt, seed, stream, alike)).otherwise(
             _let(alike, lambda same: _token(kind, value, attempt, seed, stream, same))
@@ -197,11 +204,16 @@ def _token(kind: Column, value: Column, attempt: Column, seed: Column, stream: C
     country = F.when(value.rlike("^[17]"), 1).otherwise(2)
     card = F.concat(F.substring(value, 1, 1), F.substring(alike, F.lit(2), F.length(value) - 2))
     check = (F.lit(10) - _luhn(F.concat(card, F.lit("0")))) % 10
+    # Short addresses have few surrogates of their own form.
+    full = F.regexp_replace(F.substring(stream, 1, 32), "(.{4})(?=.)", "$1:")
+    head = F.regexp_extract(value, "^(.*:)", 1)
     wrong = F.when(_luhn(value) == 0, 0).otherwise(1 + _byte(stream, F.length(value)) % 9)
     return (
         F.when(kind == "email", F.concat(_alike(local, stream, F.lit(False)), more))
         .when(kind == "domain", F.concat(_alike(F.regexp_extract(value, r"^(.*)\.", 1), stream, F.lit(False)), more, F.regexp_extract(value, r"(\.[^.]*)$", 1)))
         .when(kind == "ipv4", octets)
+        .when((kind == "ipv6") & (attempt >= LONGER), full)
+        .when((kind == "ipv6") & value.contains("."), F.concat(_alike(head, stream, F.lit(True)), octets))
         .when(kind == "phone", F.concat(F.substring(value, F.lit(1), country), F.substring(alike, country + 1, F.length(value))))
         .when(kind == "card", F.concat(card, ((check + wrong) % 10).cast("string")))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.substring(alike, F.lit(3), F.length(value))))
