@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harborline.session import spool
@@ -22,29 +25,38 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
         " as published by the Free Software Foundation, either version 3 of the License",
+        "GNU General Public License Version 3, 29 June 2007",
     ],
     "GPL-2.0": [
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
         " as published by the Free Software Foundation; either version 2 of the License",
+        "GNU General Public License Version 2, June 1991",
     ],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License Version 3, 29 June 2007"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License Version 3, 19 November 2007"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
     "BSD-3-Clause": [
         "Use of this source code is governed by a BSD-style license.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted under this license",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    ],
+    "ISC": [
+        "Licensed under the ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+        " provided that the above copyright notice and this permission notice appear in all copies.",
     ],
-    "ISC": ["Licensed under the ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
-    "Unlicense": ["This is free and unencumbered software released into the public domain, without license or copyright"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-#: Every template holds one of these, so passages without any are not compared.
-CUE = r"(?i)licen[cs]e|permission"
+#: Every term of a template holds one of these, so passages without any are not compared.
+CUE = r"[A-Za-z0-9]"
 #: Names of files that speak for their directory; so do files that are mostly licence.
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.-][^/]*)?$"
 LEAST = 0.7
@@ -63,45 +75,73 @@ def template_terms(spark: SparkSession) -> DataFrame:
     return exploded.groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def passages(text: Column) -> Column:
-    """Sentences, lines and paragraphs that hold a cue, each once."""
+def can_reach(held: Column, squares: dict[str, dict[str, float]], least: float) -> Column:
+    """Whether a passage of these terms can reach the cosine ``least`` to a template.
+
+    ``squares`` are the squared parts of a template's unit vector by term. A cosine is at
+    most the root of their sum over the terms that the passage holds.
+    """
+    # A constant, folded once.
+    templates = F.from_json(F.lit(json.dumps(list(squares.values()))), "array<map<string,double>>")
+
+    def total(parts: Column) -> Column:
+        return F.aggregate(held, F.lit(0.0), lambda so_far, term: so_far + F.coalesce(F.element_at(parts, term), F.lit(0.0)))
+
+    return F.exists(templates, lambda parts: total(parts) >= least * least - 1e-6)
+
+
+def passages(text: Column, fits: Callable[[Column], Column]) -> Column:
+    """Sentences, lines and paragraphs that fit, each once."""
     lines, blocks = F.split(text, r"\r?\n"), F.split(text, r"\r?\n[ \t]*\r?\n")
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])[ \t]+")))
-    found = F.filter(F.concat(sentences, lines, blocks), lambda p: p.rlike(CUE))
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(CUE), F.array_distinct(found)).otherwise(none)
+    return F.filter(F.array_distinct(F.concat(sentences, lines, blocks)), lambda p: p.rlike(CUE) & fits(p))
 
 
-def scan(files: DataFrame) -> DataFrame:
+def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """(row, id, path, n_terms, licence, score, share) for every file of (id, path, text).
 
     Weights are tf times idf; idf counts, over all files, those that hold a term of
     the templates, and other terms weigh one. The best passage of a file decides;
-    ties go to the first template by name. ``share`` is its part of all terms.
+    ties go to the first template by name. ``share`` is its part of all terms. Only
+    passages whose terms can reach ``least`` are compared; other files score zero.
     """
     spark = files.sparkSession
     wanted = spool(template_terms(spark), "templates")
     vocabulary = sorted(r[0] for r in wanted.select("term").distinct().collect())  # of the fixed templates
     words = terms(F.coalesce(F.col("text"), F.lit("")))
     known = F.array(*[F.lit(t) for t in vocabulary])
-    read = spool(
-        files.withColumn("words", words).select(
-            F.monotonically_increasing_id().alias("row"),
-            "id",
-            "path",
-            F.size("words").alias("n_terms"),
-            F.array_intersect("words", known).alias("held"),
-            F.coalesce(passages(F.col("text")), F.array().cast("array<string>")).alias("passages"),
-        ),
-        "files",
+    seen = files.select(F.array_intersect(words, known).alias("held"))
+    # The document count comes with the others, under a term that no text has.
+    counts = spool(
+        seen.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term-files"
     )
-    total = read.count()
-    holders = read.select(F.explode("held").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = (counts.where("term = ''").first() or (None, 0))[1]
+    holders = counts.where("term <> ''")
     weight = F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     idf = spool(wanted.select("term").distinct().join(holders, "term", "left").select("term", weight.alias("idf")), "idf")
     weighed = wanted.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     model = spool(weighed.join(norms, "template").select("template", "licence", "term", (F.col("w") / F.col("t_norm")).alias("tw")), "template-model")
+    squares: dict[str, dict[str, float]] = {}
+    for r in model.select("template", "term", "tw").collect():  # of the fixed templates
+        squares.setdefault(r["template"], {})[r["term"]] = r["tw"] ** 2
+
+    def fits(passage: Column) -> Column:
+        # A lambda's value is computed once.
+        one = F.transform(F.array(F.array_intersect(terms(passage), known)), lambda held: can_reach(held, squares, least))
+        return F.element_at(one, 1)
+
+    # A passage holds no more terms than its file.
+    some = F.when(can_reach(F.col("held"), squares, least), passages(F.col("text"), fits))
+    read = spool(
+        files.withColumn("words", words)
+        .select("id", "path", "text", F.size("words").alias("n_terms"), F.array_intersect("words", known).alias("held"))
+        .select(
+            F.monotonically_increasing_id().alias("row"), "id", "path", "n_terms",
+            F.coalesce(some, F.array().cast("array<string>")).alias("passages"),
+        ),
+        "files",
+    )
 
     place = ["row", "passage"]
     counted = (
@@ -144,7 +184,7 @@ def license_scan(files: DataFrame, key: str = "doc_id", path: str = "path", text
     """
     base = files.select(F.col(key).alias("id"), F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
     above = F.when(F.col("path").isNotNull(), F.regexp_replace("path", r"/?[^/]*$", ""))
-    found = spool(scan(base).withColumn("dir", above).withColumn("own", F.col("score") >= least), "licences")
+    found = spool(scan(base, least).withColumn("dir", above).withColumn("own", F.col("score") >= least), "licences")
     speaks = F.col("own") & (F.col("path").rlike(FILE_NAME) | (F.col("share") >= MOSTLY))
     first = F.transform(F.split("licence", ""), lambda c: -F.ascii(c))
     held = spool(

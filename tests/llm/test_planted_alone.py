@@ -1,4 +1,4 @@
-"""Each form of personal data in a text that holds nothing else; real openings of licences."""
+"""Each form of personal data in a text that holds nothing else."""
 
 import ipaddress
 
