@@ -15,6 +15,7 @@ from harborline.llm import (
     substring_dedup,
     surrogates,
     warc_fixity,
+    whitening,
 )
 from harborline.llm.common import table
 
@@ -74,6 +75,10 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(original, warc_fixity.placed(warc_fixity.archive(replica), original))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +92,7 @@ QUERIES = {
         op8_sentence_pieces,
         op9_substring_dedup,
         op10_warc_fixity,
+        op11_embedding_whitening,
     )
 }
 
