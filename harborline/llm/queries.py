@@ -9,6 +9,7 @@ from harborline.llm import (
     exact_dedup,
     language_id,
     license_scan,
+    run_detection,
     sentence_pieces,
     simhash_dedup,
     source_mix,
@@ -79,6 +80,33 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """The documents, a tenth of them (by crc32 of the id) with the words from some place on repeating a first period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # Word lists are columns of their own, or each use would split the text again.
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, split).alias("words"))
+    n = F.size("words")
+    docs = docs.select("doc_id", "text", "words", n.alias("n"), "g", F.when(n > 0, F.col("g") % n).alias("a"))
+    rest = F.col("n") - F.col("a")
+    docs = docs.withColumn("p", (1 + F.floor(rest / (3 + F.col("g") % 8))).cast("int")).withColumn("a", F.col("a").cast("int"))
+    cycle = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    new = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(cycle, F.lit(1), rest.cast("int"))), " ")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), new).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_detection.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    best = run_detection.highest(F.col("runs"))
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +121,7 @@ QUERIES = {
         op9_substring_dedup,
         op10_warc_fixity,
         op11_embedding_whitening,
+        op12_periodic_runs,
     )
 }
 
