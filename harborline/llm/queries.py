@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harborline.llm import (
+    block_labeller,
     embedding_dedup,
     exact_dedup,
     language_id,
@@ -107,6 +108,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_labeller.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -122,6 +127,7 @@ QUERIES = {
         op10_warc_fixity,
         op11_embedding_whitening,
         op12_periodic_runs,
+        op13_main_text,
     )
 }
 
