@@ -61,3 +61,15 @@ def spool(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of spooled tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        inside = f"{scratch_root(spark)}/harborline/"
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            # Only tables of the scratch area, never a user's.
+            if inside.split(":", 1)[-1].lstrip("/") in folder:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
