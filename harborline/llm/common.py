@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from harborline.session import spool
+from harborline.session import release, spool
 
 #: Rows turned into Python objects at once, so that very long texts never pile up.
 SLICE_ROWS = 256
@@ -147,7 +147,8 @@ def components(edges: DataFrame, label: str, block: int = 400_000) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a")
         linked = small.select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
-        stars = spool(linked.where("a <> b").distinct(), label)
+        old, stars = stars, spool(linked.where("a <> b").distinct(), label)
+        release(old)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return stars.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from harborline.session import spool
 
@@ -107,21 +107,23 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each text.
+    """The rows of ``docs`` that stay, one for each text, with the columns of ``docs``.
 
-    What goes is a narrow list of (id, digest), so whole texts are shuffled only if
-    that list is too large to be broadcast. Of rows that repeat id and text one stays.
+    Of rows that repeat id and text one stays; a text that only null ids have keeps one
+    row. The rows that go are a narrow list of (id, digest) which grows with the
+    documents, so it is never broadcast: whole texts are shuffled once, repeats of a row
+    leave before that. An empty table gives no rows; columns of any name are carried.
     """
     found = exact_dedup(docs, key, text, keep)
-    marks = spool(
-        found.groupBy(F.col(key).alias("_id"), F.col("text_sha256").alias("_digest"))
-        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-        .where("not _kept or _rows > 1"),
-        "copies",
+    gone = spool(
+        found.groupBy(F.col(key).alias("id"), F.col("text_sha256").alias("digest")).agg(F.max("kept").alias("kept")).where("not kept"), "copies"
     )
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    same = docs[key].cast("bigint").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
-    single = docs.join(marks, same, "left_anti")
-    again = marks.where("_kept").select("_id", "_digest")
-    repeated = docs.join(again, same, "left_semi").dropDuplicates([key, text])
-    return single.unionByName(repeated)
+    # One struct holds the row, so that no column of it can clash with those of the join.
+    whole = F.coalesce(docs[text], F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].cast("bigint").alias("id"), F.sha2(whole, 256).alias("digest"))
+    once = Window.partitionBy("id", "digest").orderBy(F.lit(1))
+    single = rows.withColumn("place", F.row_number().over(once)).where("place = 1")
+    marks = gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).hint("merge")
+    # The digest leads the join; a null id equals a null id.
+    kept = single.join(marks, (F.col("digest") == F.col("gone_digest")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return kept.select("row.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,15 +15,16 @@ from harborline.session import spool
 WEIGHTS = (5, 2, 1)
 #: Most times a source, and so a document, may be taken.
 MAX_REPEATS = 3
-#: Words of a remaining budget that the dynamic program settles exactly.
-PROGRAM_WORDS = 8_192
+#: Cells of the dynamic program; a larger budget is settled in units of so many parts first, then what is left of it.
+PROGRAM_CELLS = 1 << 22
 #: Parts of the documents of one source and size, so that no window holds a hot group.
 PARTS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def words(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+def words(text: str | Column) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
@@ -50,47 +52,61 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
     return sources.select("source", "source_size", F.least(cap.cast("double"), F.lit(share) * F.col("weight")).alias("target"))
 
 
+def _program(sizes: Sequence[int], room: Sequence[int], budget: int) -> list[int]:
+    """How many of each size to add so that the sum comes nearest to the budget from below.
+
+    Bounded knapsack over all sums up to the budget: documents of a size are offered in
+    lots of 1, 2, 4, ...; ``first`` holds the lot with which a sum was reached first, whose
+    rest was reached by an earlier lot, so the way back needs nothing else.
+    """
+    reached = np.zeros(budget + 1, bool)
+    reached[0] = True
+    first = np.full(budget + 1, -1, np.int32)
+    lots: list[tuple[int, int]] = []
+    top = 0  # the largest sum that is reached
+    for k in sorted((k for k, s in enumerate(sizes) if 0 < s <= budget and room[k]), key=lambda k: -sizes[k]):
+        spare, lot = min(room[k], budget // sizes[k]), 1
+        while spare > 0 and not reached[budget]:
+            n = min(lot, spare)
+            step = n * sizes[k]
+            if step <= budget:
+                high = min(top, budget - step)
+                fresh = step + np.flatnonzero(reached[: high + 1] & ~reached[step : step + high + 1])
+                reached[fresh] = True
+                first[fresh] = len(lots)
+                lots.append((k, n))
+                top = min(budget, max(top, high + step))
+            spare -= n
+            lot *= 2
+    out = [0] * len(sizes)
+    at = int(np.flatnonzero(reached)[-1])
+    while at:
+        k, n = lots[first[at]]
+        out[k] += n
+        at -= n * sizes[k]
+    return out
+
+
 def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int, total: int, passes: int = 1) -> list[int]:
-    """How many documents of each size to take so that their sizes add up to near the budget.
+    """How many documents of each size to take so that their sizes add up to the budget, or the nearest sum below it.
 
-    First the same share of every size, rounded down; then one more of a size, the
-    largest first, while the rest of the budget is beyond ``PROGRAM_WORDS``; then a
-    bounded-knapsack dynamic program over what is left, whose best sum is taken. A
-    document counts again, up to ``passes`` times, only where taking each once leaves
-    a rest.
+    First the same share of every size, rounded down; then a bounded-knapsack program over
+    all of the budget that is left. Where that is beyond ``PROGRAM_CELLS``, sizes count in
+    larger units, rounded up, and the program runs again over what the units left. A
+    document counts again, up to ``passes`` times, only where taking each once leaves a
+    rest.
     """
     take = [n * budget // total if total else 0 for n in counts]
     left = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
-    order = sorted((k for k, s in enumerate(sizes) if s > 0), key=lambda k: -sizes[k])
     for limit in range(1, passes + 1):
-        for k in order:
-            if left > PROGRAM_WORDS and sizes[k] <= left and take[k] < counts[k] * limit:
-                take[k] += 1
-                left -= sizes[k]
-        for k in order:
-            # One more of each was not enough: whole runs of a size.
-            wanted = max(0, left - PROGRAM_WORDS + sizes[k] - 1) // sizes[k]
-            more = min(max(0, counts[k] * limit - take[k]), wanted, left // sizes[k])
-            take[k] += more
-            left -= more * sizes[k]
-    left = min(left, PROGRAM_WORDS)
-    # Sums that can be reached, as bits; each step offers 2^j documents of one size.
-    reached, steps, full = 1, [], (1 << (left + 1)) - 1
-    for limit in range(1, passes + 1):
-        for k in reversed(order):
-            held = max(take[k], counts[k] * (limit - 1))
-            spare, lot = min(max(0, counts[k] * limit - held), left // sizes[k]), 1
-            while spare > 0 and not reached >> left & 1:
-                n = min(lot, spare)
-                steps.append((k, n, reached))
-                reached |= (reached << (n * sizes[k])) & full
-                spare -= n
-                lot *= 2
-    at = reached.bit_length() - 1
-    for k, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[k] += n
-            at -= n * sizes[k]
+        while left > 0:
+            unit = -(-left // PROGRAM_CELLS)
+            room = [max(0, n * limit - t) for n, t in zip(counts, take, strict=True)]
+            more = _program([-(-s // unit) for s in sizes], room, left // unit)
+            take = [t + m for t, m in zip(take, more, strict=True)]
+            left -= sum(s * m for s, m in zip(sizes, more, strict=True))
+            if unit == 1 or not any(more):
+                break
     return take
 
 
@@ -178,11 +194,20 @@ def mix_sources(
 
 
 def repeat_to_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them; rows with a null key or no word go."""
+    """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
+
+    Rows with a null key or without words go. Rows that repeat a key and a size are each
+    taken as often as the most taken of them. An empty table gives no rows; columns of any
+    name are carried.
+    """
     mixed = mix_sources(docs, key, text, **settings).where("taken > 0")
     times = spool(
-        mixed.groupBy(F.col(key).alias("_id"), F.col("size").alias("_size")).agg(F.max(F.expr("taken div size")).cast("int").alias("_times")),
+        mixed.groupBy(F.col(key).alias("mix_id"), F.col("size").alias("mix_size")).agg(F.max(F.expr("taken div size")).cast("int").alias("times")),
         "mix",
     )
-    same = (docs[key] == F.col("_id")) & (words(text) == F.col("_size"))
-    return docs.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    rows = docs.where(docs[key].isNotNull()).select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].alias("id"), words(docs[text]).alias("size")
+    )
+    # The list grows with the documents, so it is never broadcast.
+    taken = rows.join(times.hint("merge"), (F.col("id") == F.col("mix_id")) & (F.col("size") == F.col("mix_size")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

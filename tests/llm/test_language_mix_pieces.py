@@ -147,3 +147,44 @@ def test_ids_decode_with_the_library(pieces):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     text = "The quick brown fox, naïve 日本."
     assert model.decode(sentence_pieces.Encoder(pieces, 1).encode(text)[0][1]) == text
+
+
+def test_fit_budget_of_few_long_documents():
+    """Budgets far above any one document: the program settles them whole."""
+    take = source_mix.fit_budget((16748, 17650, 18198, 18419), (3, 2, 1, 2), 87_235, 140_580)
+    assert sum(s * t for s, t in zip((16748, 17650, 18198, 18419), take)) == 87_215
+    rng = random.Random(8)
+    for _ in range(150):
+        sizes = rng.sample(range(1, 30_000), rng.randrange(1, 6))
+        counts = [rng.randrange(1, 4) for _ in sizes]
+        total = sum(s * n for s, n in zip(sizes, counts))
+        budget = rng.randrange(0, total + 1)
+        fixed = [n * budget // total for n in counts]
+        sums = {0}
+        for s, n, f in zip(sizes, counts, fixed):
+            sums = {x + s * k for x in sums for k in range(f, n + 1)}
+        take = source_mix.fit_budget(sizes, counts, budget, total)
+        assert all(f <= t <= n for f, t, n in zip(fixed, take, counts))
+        assert sum(s * t for s, t in zip(sizes, take)) == max(x for x in sums if x <= budget)
+
+
+def test_fit_budget_in_units(monkeypatch):
+    """A budget beyond the cells of the program: near it, never above."""
+    monkeypatch.setattr(source_mix, "PROGRAM_CELLS", 5_000)
+    rng = random.Random(9)
+    sizes = rng.sample(range(1, 20_000), 400)
+    counts = [rng.randrange(1, 30) for _ in sizes]
+    total = sum(s * n for s, n in zip(sizes, counts))
+    for budget in (total // 3, total // 2 + 17):
+        got = sum(s * t for s, t in zip(sizes, source_mix.fit_budget(sizes, counts, budget, total)))
+        assert 0 <= budget - got <= 10
+
+
+def test_repeat_to_mix_carries_columns_of_any_name(spark):
+    rows = [(i, "a b c " * (1 + i % 3), "s", i, "mine", [1], "x") for i in range(20)] + [(None, "a", "s", 0, "mine", [1], "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _copy int, _times string, row array<int>, size string")
+    out = source_mix.repeat_to_mix(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert got and {repr(tuple(r)) for r in got} <= set(map(repr, rows)) and all(r["_copy"] == r["doc_id"] for r in got)
+    assert source_mix.repeat_to_mix(df.limit(0)).count() == 0

@@ -74,3 +74,23 @@ def test_near_dedup_odd_rows(spark):
     got = near_copies.drop_near_copies(frame(spark, rows)).collect()
     assert sorted(str(r.doc_id) for r in got) == ["4", "4", "4", "8", "None", "None"]
     assert near_copies.drop_near_copies(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    from harborline.llm import exact_dedup
+
+    text = "one two three four five six seven eight"
+    rows = [(i, t, "en", 1, "g", "n", "i", "d") for i, t in [(1, text), (2, text), (2, text), (3, text + " Nine"), (None, "x"), (None, "x"), (4, "x")]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, id string, _id int, gone string, node string, row string, digest string")
+    exact = exact_dedup.drop_copies(df, keep="largest")
+    assert exact.columns == df.columns
+    assert sorted(r["doc_id"] for r in exact.collect()) == [2, 3, 4]
+    near = near_copies.drop_near_copies(df)
+    assert near.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in near.collect()) == ["1", "4", "None", "None"]  # 3 shares four of five shingles
+
+
+def test_many_copies_of_one_row(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text)] * 400 + [(2, text + " more")] * 400 + [(3, "other " * 9)]
+    assert {(r.doc_id) for r in near_copies.drop_near_copies(frame(spark, rows)).collect()} == {1, 3}
