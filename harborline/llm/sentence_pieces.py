@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import itertools
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from harborline.llm.common import map_rows
+from harborline.llm.common import SLICE_ROWS
 
 SPACE = "▁"
-#: Chunks whose lattices a worker remembers.
-REMEMBERED = 400_000
+#: Segmentations of a text.
+N_BEST = 4
+#: Chunks, and ids of theirs, that a worker remembers before it starts anew.
+REMEMBERED, REMEMBERED_IDS = 300_000, 3_000_000
+#: Longest chunk whose n best segmentations are remembered.
 REMEMBERED_CHARS = 64
 
 
 class Pieces:
     """The vocabulary of a model: scores, byte fallback, and where texts may be cut."""
 
-    def __init__(self, path: str) -> None:
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, model: str | bytes) -> None:
+        """From a model file, by path or content."""
+        source = {"model_file": model} if isinstance(model, str) else {"model_proto": model}
+        model = sentencepiece.SentencePieceProcessor(**source)
         self.ids: dict[str, tuple[int, float]] = {}
         self.bytes: dict[int, int] = {}
         self.out: list[bytes] = []
@@ -166,57 +176,114 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes whole texts, remembering the lattices of frequent chunks."""
+    """Encodes whole texts, remembering the lattices of frequent chunks.
+
+    Every known chunk has a number; a batch of texts becomes one array of numbers, and
+    scores and ids are gathered from flat tables.
+    """
 
     def __init__(self, pieces: Pieces, n: int) -> None:
         self.pieces, self.n = pieces, n
-        #: Chunk: ids, score, loss of the second best segmentation, chunk.
-        self.seen: dict[str, tuple[tuple[int, ...], float, float, str]] = {}
-        literal = tuple(pieces.bytes[b] for b in SPACE.encode())
-        self.literal = literal, 3 * pieces.fallback, float("inf"), SPACE
-
-    def chunk(self, chunk: str) -> tuple:
-        score, ids, loss = self.pieces.viterbi(chunk)
-        value = ids, score, loss, chunk
-        if len(chunk) <= REMEMBERED_CHARS:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[chunk] = value
-        return value
-
-    def encode(self, text: str) -> list[tuple[float, list[int]]]:
-        """The n best (score, ids) of a text; no piece spans chunks, so their lattices are independent."""
-        if not text:
-            return [(0.0, [])]
-        parts: list[tuple] = []
-        get, chunk = self.seen.get, self.chunk
-        # A space mark that stands in the text itself is spelt in bytes.
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        #: By number: ids from a start on, their count, score, loss of the second best segmentation.
+        self.ids, self.starts, self.counts = array("i"), array("q"), array("q")
+        self.scores, self.losses = array("d"), array("d")
+        self.options: dict[int, list[tuple[float, np.ndarray]]] = {}
+        # No chunk is empty: the empty name is a space mark that stands in the text itself, spelt in bytes.
+        self._add("", 3 * self.pieces.fallback, tuple(self.pieces.bytes[b] for b in SPACE.encode()), float("inf"))
+
+    def _add(self, name: str, score: float, ids: tuple[int, ...], loss: float) -> int:
+        at = self.number[name] = len(self.names)
+        self.names.append(name)
+        self.starts.append(len(self.ids))
+        self.counts.append(len(ids))
+        self.ids.extend(ids)
+        self.scores.append(score)
+        self.losses.append(loss)
+        return at
+
+    def _chunk(self, name: str) -> int:
+        score, ids, loss = self.pieces.viterbi(name)
+        return self._add(name, score, ids, loss)
+
+    def _numbers(self, text: str) -> list[int | None]:
+        find, get = self.pieces.chunks.findall, self.number.get
+        names: list[str] = []
         for k, plain in enumerate(f" {text}".split(SPACE)):
             if k:
-                parts.append(self.literal)
-            parts += [get(c) or chunk(c) for c in self.pieces.chunks.findall(plain.replace(" ", SPACE))]
-        score = sum([p[1] for p in parts])
-        ids = [i for p in parts for i in p[0]]
-        out = [(score, ids)]
-        if self.n > 1:
-            # Only the n - 1 chunks that lose least can differ in the n best texts.
-            losses = zip([p[2] for p in parts], range(len(parts)), strict=True)
-            places = sorted(k for loss, k in heapq.nsmallest(self.n - 1, losses) if loss < float("inf"))
-            choices = [[(parts[k][1] - s, x) for s, x in self.pieces.n_best(parts[k][3], self.n)] for k in places]
-            for loss, picks in self._combined(choices):
-                other: list[int] = []
-                last = at = begin = 0
-                for k, pick, options in zip(places, picks, choices, strict=True):
-                    begin += sum([len(p[0]) for p in parts[at:k]])
-                    at = k
-                    if pick:
-                        other += ids[last:begin]
-                        other += options[pick][1]
-                        last = begin + len(parts[k][0])
-                out.append((score - loss, other + ids[last:]))
+                names.append("")
+            names += find(plain.replace(" ", SPACE))
+        numbers = list(map(get, names))
+        if None in numbers:
+            for k, x in enumerate(numbers):
+                if x is None:
+                    # A chunk that comes twice in the text is known the second time.
+                    found = get(names[k])
+                    numbers[k] = self._chunk(names[k]) if found is None else found
+        return numbers
+
+    def batch(self, texts: list[str | None]) -> list[list[tuple[float, np.ndarray]]]:
+        """For every text the n best (score, ids); no piece spans chunks, so their lattices are independent."""
+        if len(self.names) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
+            self.clear()
+        numbers = [self._numbers(t) if t else [] for t in texts]
+        sizes = np.array([len(x) for x in numbers], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(numbers), np.int64, int(sizes.sum()))
+        ends = np.cumsum(sizes)
+        # Copies, as the tables grow again with the next batch.
+        ids, starts, counts = np.array(self.ids, np.int32), np.array(self.starts)[flat], np.array(self.counts)[flat]
+        scores, losses = np.array(self.scores)[flat], np.array(self.losses)[flat]
+        places = np.cumsum(counts) - counts  # of each chunk's ids among those of the batch
+        taken = ids[np.repeat(starts - places, counts) + np.arange(counts.sum())]
+        out = []
+        for text, size, end in zip(texts, sizes.tolist(), ends.tolist(), strict=True):
+            if text is None or not size:
+                out.append([(0.0, taken[:0])])
+                continue
+            a = end - size
+            low, high = int(places[a]), int(places[end - 1] + counts[end - 1])
+            best = float(scores[a:end].sum())
+            found = [(best, taken[low:high])]
+            if self.n > 1:
+                found += self._others(flat[a:end], losses[a:end], scores[a:end], places[a:end] - low, counts[a:end], *found[0])
+            out.append(found)
         return out
 
-    def _combined(self, choices: list[list[tuple[float, tuple[int, ...]]]]) -> list[tuple[float, tuple[int, ...]]]:
+    def encode(self, text: str) -> list[tuple[float, list[int]]]:
+        return [(s, x.tolist()) for s, x in self.batch([text])[0]]
+
+    def _others(
+        self, numbers: np.ndarray, losses: np.ndarray, scores: np.ndarray, places: np.ndarray, counts: np.ndarray, best: float, ids: np.ndarray
+    ) -> list[tuple[float, np.ndarray]]:
+        """The second to n-th best: only the n - 1 chunks that lose least (ties: the first) can differ in them."""
+        some = min(self.n - 1, len(losses))
+        least = np.partition(losses, some - 1)[some - 1]
+        near = np.flatnonzero((losses <= least) & (losses < np.inf))
+        near = np.sort(near[np.argsort(losses[near], kind="stable")][:some])
+        choices = [[(scores[k] - s, x) for s, x in self._n_best(int(numbers[k]))] for k in near]
+        out = []
+        for loss, picks in self._combined(choices):
+            parts, last = [], 0
+            for k, pick, options in zip(near, picks, choices, strict=True):
+                if pick:
+                    parts += [ids[last : places[k]], options[pick][1]]
+                    last = places[k] + counts[k]
+            out.append((best - float(loss), np.concatenate([*parts, ids[last:]])))
+        return out
+
+    def _n_best(self, number: int) -> list[tuple[float, np.ndarray]]:
+        found = self.options.get(number)
+        if found is None:
+            found = [(s, np.array(x, np.int32)) for s, x in self.pieces.n_best(self.names[number], self.n)]
+            if len(self.names[number]) <= REMEMBERED_CHARS:
+                self.options[number] = found
+        return found
+
+    def _combined(self, choices: list[list[tuple[float, np.ndarray]]]) -> list[tuple[float, tuple[int, ...]]]:
         """The 2nd to n-th best combinations of options: loss, and the option taken of each."""
         states: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for options in choices:
@@ -225,68 +292,140 @@ class Encoder:
         return states[1:]
 
 
-@cache
-def _pieces(path: str) -> Pieces:
-    return Pieces(path)
+class Decoder:
+    """Bytes of pieces in one flat table."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.flat = np.frombuffer(b"".join(pieces.out), np.uint8)
+        self.counts = np.array([len(p) for p in pieces.out], np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of consecutive stretches of ids, each up to its end; what is no UTF-8 gives U+FFFD."""
+        counts = self.counts[ids]
+        done = np.cumsum(counts)
+        whole = self.flat[np.repeat(self.starts[ids] - done + counts, counts) + np.arange(counts.sum())].tobytes()
+        cuts = np.append(0, done)[np.append(0, ends)].tolist()
+        return [whole[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in itertools.pairwise(cuts)]
+
+
+#: Models of a worker by digest of their file.
+_models: dict[str, Pieces] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
+_decoders: dict[str, Decoder] = {}
 
 
-@cache
-def _encoder(path: str, n: int) -> Encoder:
-    return Encoder(_pieces(path), n)
+class Model:
+    """A model file, read by the driver and sent to the tasks that use it."""
 
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        with open(path, "rb") as file:
+            content = file.read()
+        self.digest = hashlib.sha256(content).hexdigest()
+        self.content = spark.sparkContext.broadcast(content)
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n_best: int = 2) -> DataFrame:
-    """(key, segmentations): the ``n_best`` best (score, ids) of every whole text, best first.
+    def pieces(self) -> Pieces:
+        if self.digest not in _models:
+            _models[self.digest] = Pieces(self.content.value)
+        return _models[self.digest]
+
+    def encoder(self, n: int) -> Encoder:
+        key = self.digest, n
+        if key not in _encoders:
+            _encoders[key] = Encoder(self.pieces(), n)
+        return _encoders[key]
+
+    def decoder(self) -> Decoder:
+        if self.digest not in _decoders:
+            _decoders[self.digest] = Decoder(self.pieces())
+        return _decoders[self.digest]
+
+
+def _lists(values: pa.Array, ends: np.ndarray, null: np.ndarray | None = None) -> pa.ListArray:
+    """Lists of consecutive values, each up to its end."""
+    offsets = pa.array(np.append(0, ends).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, values, mask=None if null is None else pa.array(null))
+
+
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n_best: int = N_BEST, carry: bool = False) -> DataFrame:
+    """(key, segmentations): the ``n_best`` best (score, ids) of every whole text, best first; with ``carry`` the text too.
 
     Piece scores are those of the model file; characters outside the vocabulary are
     spelt in bytes. A space is put before the text. A null text has null
     segmentations; an empty one has one segmentation without pieces. Fewer are given
     where a text has fewer. Ties are ordered alike in every run. Rows with repeated or null keys
-    are each encoded; further columns are not looked at.
+    are each encoded; an empty table gives no rows; further columns are not looked at.
     """
+    shipped = Model(docs.sparkSession, model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shipped.encoder(n_best)
+        for part in _parts(batches):
+            texts = part.column(1).to_pylist()
+            null = np.array([t is None for t in texts], bool)
+            found = [() if t is None else f for t, f in zip(texts, encoder.batch(texts), strict=True)]
+            flat = [s for f in found for s in f]
+            ids = pa.array(np.concatenate([x for _, x in flat] or [np.empty(0, np.int32)]))
+            each = _lists(ids, np.cumsum([len(x) for _, x in flat]))
+            both = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), each], ["score", "ids"])
+            columns = [part.column(0), _lists(both, np.cumsum([len(f) for f in found]), null)]
+            yield pa.RecordBatch.from_arrays([*columns, part.column(1)][: 2 + carry], ["key", "segmentations", "text"][: 2 + carry])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    schema = f"key {dict(rows.dtypes)['key']}, segmentations array<struct<score:double,ids:array<int>>>{', text string' * carry}"
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
-    def rows(ids: list, texts: list) -> Iterable[tuple]:
-        encoder = _encoder(model, n_best)
-        for i, t in zip(ids, texts, strict=True):
-            yield i, None if t is None else [{"score": s, "ids": x} for s, x in encoder.encode(t)]
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(key, text), rows, f"`{key}` {kind}, segmentations array<struct<score:double,ids:array<int>>>")
+def decode(encoded: DataFrame, model: str, keys: list[str], ids: str = "ids") -> DataFrame:
+    """(keys, text): texts from piece ids; ids that are no UTF-8 together give U+FFFD.
 
+    Where ``ids`` holds lists of lists, ``text`` is the list of their texts. Null ids
+    have a null text, an empty list the empty one.
+    """
+    shipped = Model(encoded.sparkSession, model)
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = encoded.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(ids).alias("ids"))
+    many = dict(rows.dtypes)["ids"] == "array<array<int>>"
 
-def decode(encoded: DataFrame, model: str, keys: list[str], ids: str = "ids") -> DataFrame:
-    """(keys, text): texts from piece ids; ids that are no UTF-8 together give U+FFFD."""
+    def ends(lists: pa.ListArray) -> np.ndarray:
+        return np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = shipped.decoder()
+        for part in _parts(batches):
+            column = part.column(len(names))
+            null = column.is_null().to_numpy(zero_copy_only=False)
+            each = column.flatten() if many else column
+            texts = pa.array(decoder.texts(each.flatten().to_numpy(zero_copy_only=False), ends(each)), pa.string())
+            out = _lists(texts, ends(column), null) if many else pc.if_else(pa.array(null), pa.scalar(None, pa.string()), texts)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], out], [*names, "text"])
 
-    def rows(*columns: list) -> Iterable[tuple]:
-        out = _pieces(model).out
-        for *own, x in zip(*columns, strict=True):
-            yield *own, None if x is None else b"".join([out[i] for i in x]).removeprefix(b" ").decode("utf-8", "replace")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + f", text {'array<string>' if many else 'string'}"
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "text")
 
-    kinds = ", ".join(f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keys)
-    return map_rows(encoded.select(*keys, ids), rows, f"{kinds}, text string")
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def best(name: str) -> Column:
     return F.col("segmentations")[0][name]
 
 
-def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n_best: int = 2) -> DataFrame:
-    """(key, ids, n_pieces, scores, exact): encode every text and decode each of its segmentations.
+def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n_best: int = N_BEST) -> DataFrame:
+    """(key, ids, n_pieces, segmentations, exact): encode every text, decode each of its segmentations.
 
-    ``exact`` tells whether all of them give back the text (true for a null text).
+    ``ids`` are those of the best; ``exact`` tells whether all give back the text (true for a
+    null text). Nulls, repeats and empty tables are as in ``encode``.
     """
-
-    def rows(ids: list, texts: list) -> Iterable[tuple]:
-        encoder, out = _encoder(model, n_best), _pieces(model).out
-        for i, t in zip(ids, texts, strict=True):
-            if t is None:
-                yield i, None, None, None, True
-                continue
-            found = encoder.encode(t)
-            whole = t.encode("utf-8", "surrogatepass")
-            same = all(b"".join([out[j] for j in x]).removeprefix(b" ") == whole for _, x in found)
-            yield i, found[0][1], len(found[0][1]), [s for s, _ in found], same
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, ids array<int>, n_pieces bigint, scores array<double>, exact boolean"
-    return map_rows(docs.select(key, text), rows, schema)
+    encoded = encode(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), model, "id", "text", n_best, carry=True)
+    whole = encoded.select("id", "text", "segmentations", F.col("segmentations.ids").alias("all"))
+    back = decode(whole.withColumnRenamed("text", "own"), model, ["id", "own", "segmentations"], "all")
+    exact = F.col("own").isNull() | F.forall("text", lambda t: t == F.col("own"))
+    return back.select(
+        F.col("id").alias(key), best("ids").alias("ids"), F.size(best("ids")).cast("bigint").alias("n_pieces"), "segmentations", exact.alias("exact")
+    )
