@@ -40,6 +40,11 @@ def _folders(spark: SparkSession, root: str):
     return files, {int(name.partition("=")[2]): p for name, p in named if name.startswith("batch_id=")}
 
 
+def batch_folders(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the batches that have a folder under the root."""
+    return sorted(_folders(spark, root)[1])
+
+
 def read_batch(spark: SparkSession, root: str, before: int) -> DataFrame | None:
     """What the newest batch before the given one wrote under the root; None for the first batch.
 
