@@ -22,9 +22,9 @@ SPACE = "▁"
 #: Segmentations of a text.
 N_BEST = 4
 #: Chunks, and ids of theirs, that a worker remembers before it starts anew.
-REMEMBERED, REMEMBERED_IDS = 300_000, 3_000_000
-#: Longest chunk whose n best segmentations are remembered.
-REMEMBERED_CHARS = 64
+REMEMBERED, REMEMBERED_IDS = 200_000, 2_000_000
+#: Longest chunk whose n best segmentations are remembered, and of how many.
+REMEMBERED_CHARS, REMEMBERED_OPTIONS = 64, 20_000
 
 
 class Pieces:
@@ -279,7 +279,7 @@ class Encoder:
         found = self.options.get(number)
         if found is None:
             found = [(s, np.array(x, np.int32)) for s, x in self.pieces.n_best(self.names[number], self.n)]
-            if len(self.names[number]) <= REMEMBERED_CHARS:
+            if len(self.names[number]) <= REMEMBERED_CHARS and len(self.options) < REMEMBERED_OPTIONS:
                 self.options[number] = found
         return found
 
