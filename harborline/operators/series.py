@@ -147,48 +147,45 @@ def forecast(series: DataFrame, by: Sequence[str] = (), horizon: int = 24, alpha
     """Next hours of each series from a quadratic ridge fit, all series at once.
 
     Power sums per series feed the closed solution of the centred 2x2 system, so
-    the fit is an aggregation and some arithmetic, with no per-group Python.
+    the fit is an aggregation and some arithmetic, with no per-group Python. Hours and
+    millionths of the value are whole numbers, and the centred moments n * sum(xy) -
+    sum(x) * sum(y) are taken off as such, so a series of decades loses no digit.
     """
     whole = Window.partitionBy(*by)
     second = F.unix_timestamp("hour")
-    t = ((second - F.min(second).over(whole)) / 3600).cast("bigint")
+    integer = "decimal(38,0)"
+    hours = ((second - F.min(second).over(whole)) / 3600).cast("bigint").cast(integer)
     points = series.where(F.col("value").isNotNull()).select(
-        *by,
-        "hour",
-        t.cast("decimal(9,0)").alias("t"),
-        (t * t).cast("decimal(18,0)").alias("tt"),
-        fixed(F.col("value")).alias("y"),
+        *by, "hour", hours.alias("t"), (fixed(F.col("value")) * 1_000_000).cast(integer).alias("y")
     )
-
-    def power(c: Column) -> Column:
-        return F.sum(c).cast("double")
-
+    t, y = F.col("t"), F.col("y")
+    powers = {"s1": t, "s2": t * t, "s3": t * t * t, "s4": t * t * (t * t), "y": y, "ty": t * y, "tty": t * t * y}
     sums = points.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        power(F.col("t")).alias("s1"),
-        power(F.col("tt")).alias("s2"),
-        power(F.col("t") * F.col("tt")).alias("s3"),
-        power(F.col("tt") * F.col("tt")).alias("s4"),
-        power(F.col("y")).alias("y"),
-        power(F.col("t") * F.col("y")).alias("ty"),
-        power(F.col("tt") * F.col("y")).alias("tty"),
+        F.count(F.lit(1)).cast(integer).alias("n"),
+        *(F.sum(c.cast(integer)).cast(integer).alias(name) for name, c in powers.items()),
         F.max("hour").alias("last_hour"),
         F.max("t").cast("bigint").alias("last_t"),
     )
     n, s1, s2, s3, s4, y, ty, tty = (F.col(c) for c in ("n", "s1", "s2", "s3", "s4", "y", "ty", "tty"))
+
+    def moment_of(both: Column, one: Column, other: Column) -> Column:
+        return (n * both - one * other).cast("double") / n.cast("double")
+
     system = sums.where(n > 0).select(
-        *by, "n", "s1", "s2", "y", "last_hour", "last_t",
-        (s2 - s1 * s1 / n + F.lit(alpha)).alias("a11"),
-        (s3 - s1 * s2 / n).alias("a12"),
-        (s4 - s2 * s2 / n + F.lit(alpha)).alias("a22"),
-        (ty - s1 * y / n).alias("b1"),
-        (tty - s2 * y / n).alias("b2"),
+        *by, "last_hour", "last_t",
+        (moment_of(s2, s1, s1) + F.lit(alpha)).alias("a11"),
+        moment_of(s3, s1, s2).alias("a12"),
+        (moment_of(s4, s2, s2) + F.lit(alpha)).alias("a22"),
+        (moment_of(ty, s1, y) / 1e6).alias("b1"),
+        (moment_of(tty, s2, y) / 1e6).alias("b2"),
+        *((c.cast("double") / n.cast("double")).alias(name) for name, c in (("m1", s1), ("m2", s2))),
+        (y.cast("double") / n.cast("double") / 1e6).alias("my"),
     )
     a11, a12, a22, b1, b2 = (F.col(c) for c in ("a11", "a12", "a22", "b1", "b2"))
     det = a11 * a22 - a12 * a12
     fitted = system.withColumns(
         {"w1": (b1 * a22 - b2 * a12) / det, "w2": (a11 * b2 - a12 * b1) / det}
-    ).withColumn("w0", y / n - F.col("w1") * s1 / n - F.col("w2") * s2 / n)
+    ).withColumn("w0", F.col("my") - F.col("w1") * F.col("m1") - F.col("w2") * F.col("m2"))
     ahead = (F.col("last_t") + F.col("step")).cast("double")
     return fitted.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).select(
         *by,

@@ -19,7 +19,7 @@ from harborline.operators import (
 from harborline.plans.adhoc import safe_select
 from harborline.session import scratch_path, spool
 from harborline.sources import conform, csv_load as csv_load_module, pipeline, readers, sinks, tables, views
-from harborline.streaming import events as streams, live_state, windows
+from harborline.streaming import events as streams, live_figures, windows
 
 EVENTS_AS_OF = datetime(2024, 1, 31)
 SHIPMENTS_AS_OF = date(2001, 8, 1)
@@ -167,9 +167,7 @@ def kpi_answer(spark, sf):
     rows = _shipments(spark, sf)
     report = kpis.kpi_report(kpis.fleet_kpis(rows))
     answer = kpis.kpi_answer(report, kpis.carrier_performance(rows), kpis.mode_split(rows))
-    return answer.select("total_active_shipments", "data_source", *(
-        F.to_json(c).alias(c) for c in ("carrier_performance", "mode_split")
-    ))
+    return answer.withColumns({c: F.to_json(c) for c in ("carrier_performance", "mode_split")})
 
 
 @query
@@ -435,9 +433,7 @@ def throughput_forecast(spark, sf):
 
 @query
 def cost_index_forecast(spark, sf):
-    # One year of days: hours squared and their products stay exact enough in the fit.
     daily = series.metric_series(_shipments(spark, sf), "cost_index", ["transport_mode"])
-    daily = browse.since(daily, "hour", datetime(2001, 8, 1), 364)
     return series.forecast_bands(series.forecast(daily, ["transport_mode"]), "cost_index", ["transport_mode"])
 
 
@@ -611,7 +607,7 @@ def csv_quoted(spark, sf):
     good, _ = csv_load_module.split_good_bad(
         csv_load_module.load_csv(spark, path, schema.SHIPMENTS, multi_line=True), "shipment_id"
     )
-    return good.select("shipment_id", "carrier", F.length(F.trim("goods_category")).cast("bigint").alias("characters"))
+    return good.select("shipment_id", "carrier", "goods_category")
 
 
 @query
@@ -694,7 +690,8 @@ def upload_append(spark, sf):
     """The shipments as an upload in another spelling, appended and read back."""
     session, root = _load_session(spark)
     pipeline.load_upload(session, _as_csv(_variant(spark, sf), "upload-csv"), root)
-    return doubles(session.table("shipments_master").select("shipment_id", "origin_port", "status", "created_month"))
+    stored = session.table("shipments_master")
+    return doubles(stored.withColumn("ingested_at", F.col("ingested_at").isNotNull()).withColumnRenamed("ingested_at", "stamped"))
 
 
 def _variant(spark, sf):
@@ -738,8 +735,8 @@ def read_formats(spark, sf):
             arrays = chunks.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
             arrays.write.partitionBy("chunk").text(path)
         back = readers.read_any(spark, path, fmt)
-        parts.append(back.agg(F.count(F.lit(1)).alias("rows"), F.sum("c_custkey").cast("bigint").alias("keys"))
-                     .select(F.lit(fmt).alias("format"), "*"))
+        kinds = dict(rows.dtypes)
+        parts.append(doubles(back.select(F.lit(fmt).alias("format"), *(F.col(c).cast(kinds[c]).alias(c) for c in rows.columns))))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -853,14 +850,35 @@ def stream_health(spark, sf):
     )
 
 
+@query
+def stream_paced(spark, sf):
+    """Files that came while the stream was down, one a batch; stopped between two batches and started again."""
+    root, path, checkpoint = (scratch_path(spark, x) for x in ("paced", "stream-in", "stream-checkpoint"))
+    pieces = _event_pieces(spark, sf, STREAM_CUTS)
+    for come in (pieces[:2], pieces[2:]):
+        for piece in come:
+            # One file for each span; its time of writing is its place in the order.
+            piece.coalesce(1).write.mode("append").parquet(path)
+        arriving = streams.event_stream(spark, path, pieces[0].schema, files_per_batch=1)
+        writer = arriving.writeStream.foreachBatch(streams.batch_payload(root))
+        streams.drain(streams.start(writer, checkpoint, interval="100 milliseconds"))
+    return spark.read.parquet(f"{root}/ledger").select("tick", "offset", "batch_size", "processed_records")
+
+
 @query
 def stream_live_kpis(spark, sf):
     root = scratch_path(spark, "live")
-    sink = live_state.live_kpis_sink(root, F.col("location_name"))
-    _stream(spark, sf, lambda s: s.writeStream.foreachBatch(sink))
-    return streams.read_batch(spark, f"{root}/kpis", len(STREAM_CUTS) + 1).select(
+    sink = live_figures.figures_sink(root)
+
+    def writer_of(stream):
+        return live_figures.live_figures(stream, F.col("location_name")).writeStream.outputMode("update").foreachBatch(sink)
+
+    with live_figures.rocksdb(spark):
+        _stream(spark, sf, writer_of)
+    return live_figures.current_figures(spark, root).select(
         F.col("live_key").alias("location_name"), "records", "active_shipments", "at_risk_shipments",
-        "on_time_rate", "critical_alerts", "batches", "routes_optimized",
+        rounded(F.col("on_time_events") / F.col("records"), 4).alias("on_time_rate"),
+        "critical_alerts", "batches", "saved", "routes_optimized",
     )
 
 

@@ -269,7 +269,6 @@ from (select transport_mode, created_date, count(*) as rows, sum({fx('freight_co
         sum(case when freight_cost_usd is not null then {fx('distance_km')} end) k from shipments group by all)
 window m as (partition by transport_mode)""",
     ),
-    "last_year_cost": (["daily_cost"], "select * from daily_cost where hour >= timestamp '2001-08-01' - interval 364 days"),
     "piece": (
         ["marked"],
         """select *, case when event_timestamp < timestamp '2024-01-07' then 1 when event_timestamp < timestamp '2024-01-13' then 2
@@ -279,18 +278,30 @@ from marked""",
 }
 
 
+KPI_FIGURES = """active total_active_shipments, at_risk at_risk_shipments, critical critical_alerts,
+  round(on_schedule / greatest(1, active), 3) on_time_rate, round(coalesce(avg_delay, 0), 1) avg_delay_hours,
+  round(coalesce(total_freight, 0), 0) total_freight_usd, round(coalesce(avg_risk, 0), 3) avg_risk_score,
+  cast(round(total*12.5e0, 0) as double) cost_savings_today_usd, greatest(1, total // 150) routes_optimized_today,
+  greatest(1, at_risk // 8) disruptions_prevented, 'spark' data_source"""
+
+
 def _ridge(source: str, horizon: int = 24, by: str = "location_name") -> str:
-    """Quadratic ridge per group over an hourly view, alpha 1, as one SELECT."""
+    """Quadratic ridge per group over an hourly view, alpha 1, as one SELECT; moments as whole numbers."""
+
+    def d(whole: str) -> str:
+        return f"cast({whole} as double)"
+
     return f"""select {by}, step, last_hour + to_hours(cast(step as int)) as hour,
   round(w0 + w1*a + w2*a*a, 4) forecast
 from (select *, cast(last_t + step as double) a from (
-  select *, y/n - w1*s1/n - w2*s2/n w0, unnest(generate_series(1, {horizon})) step from (
+  select *, my - w1*m1 - w2*m2 w0, unnest(generate_series(1, {horizon})) step from (
    select *, (b1*a22 - b2*a12)/(a11*a22 - a12*a12) w1, (a11*b2 - a12*b1)/(a11*a22 - a12*a12) w2 from (
-    select *, s2 - s1*s1/n + 1e0 a11, s3 - s1*s2/n a12, s4 - s2*s2/n + 1e0 a22, ty - s1*y/n b1, tty - s2*y/n b2 from (
-     select {by}, cast(count(*) as double) n, cast(sum(t) as double) s1, cast(sum(t*t) as double) s2,
-       cast(sum(t*t*t) as double) s3, cast(sum(t*t*t*t) as double) s4, cast(sum(y) as double) y,
-       cast(sum(cast(t as decimal(9,0))*y) as double) ty, cast(sum(cast(t*t as decimal(18,0))*y) as double) tty, max(hour) last_hour, max(t) last_t
-     from (select {by}, hour, {fx('value')} y,
+    select {by}, last_hour, last_t, {d('n*s2 - s1*s1')}/{d('n')} + 1e0 a11, {d('n*s3 - s1*s2')}/{d('n')} a12,
+      {d('n*s4 - s2*s2')}/{d('n')} + 1e0 a22, {d('n*ty - s1*y')}/{d('n')}/1e6 b1, {d('n*tty - s2*y')}/{d('n')}/1e6 b2,
+      {d('s1')}/{d('n')} m1, {d('s2')}/{d('n')} m2, {d('y')}/{d('n')}/1e6 my from (
+     select {by}, cast(count(*) as hugeint) n, sum(t) s1, sum(t*t) s2, sum(t*t*t) s3, sum(t*t*t*t) s4, sum(y) y,
+       sum(t*y) ty, sum(t*t*y) tty, max(hour) last_hour, max(t) last_t
+     from (select {by}, hour, cast({fx('value')} * 1000000 as hugeint) y,
              cast((epoch(hour) - epoch(min(hour) over (partition by {by})))/3600 as hugeint) t
            from {source}) where y is not null
      group by {by})))))"""
@@ -491,16 +502,9 @@ where latitude >= -90 and latitude <= 90 and longitude >= -180 and longitude <=
         "bottlenecks": _sql(_bottlenecks(""), "route_events"),
         "bottlenecks_latest": _sql(_bottlenecks(NEWEST_EVENTS), "route_events"),
         "fleet_kpis": _sql(KPI_ROW, "shipments"),
-        "kpi_report": _sql(
-            f"""select active total_active_shipments, at_risk at_risk_shipments, critical critical_alerts,
-  round(on_schedule / greatest(1, active), 3) on_time_rate, round(coalesce(avg_delay, 0), 1) avg_delay_hours,
-  round(coalesce(total_freight, 0), 0) total_freight_usd, round(coalesce(avg_risk, 0), 3) avg_risk_score,
-  cast(round(total*12.5e0, 0) as double) cost_savings_today_usd, greatest(1, total // 150) routes_optimized_today,
-  greatest(1, at_risk // 8) disruptions_prevented, 'spark' data_source from ({KPI_ROW})""",
-            "shipments",
-        ),
+        "kpi_report": _sql(f"select {KPI_FIGURES} from ({KPI_ROW})", "shipments"),
         "kpi_answer": _sql(
-            f"""select active total_active_shipments, 'spark' data_source,
+            f"""select {KPI_FIGURES},
   (select '[' || string_agg('{{"name":"' || carrier || '","value":' || cast(performance as varchar) || '}}', ',' order by carrier) || ']'
    from ({_carriers("shipments")})) carrier_performance,
   (select '[' || string_agg('{{"name":"' || transport_mode || '","value":' || cast(share as varchar) || '}}', ',' order by transport_mode) || ']'
@@ -631,7 +635,7 @@ from route_events group by all""",
         ),
         "forecast_bands": _sql(_bands("hourly_on_time", "location_name", "0.70e0", "0.98e0"), "hourly_on_time"),
         "throughput_forecast": _sql(_bands("hourly_throughput", "location_name", "0e0", "1500e0"), "hourly_throughput"),
-        "cost_index_forecast": _sql(_bands("last_year_cost", "transport_mode", "1.0e0", "1.8e0"), "last_year_cost"),
+        "cost_index_forecast": _sql(_bands("daily_cost", "transport_mode", "1.0e0", "1.8e0"), "daily_cost"),
         "port_congestion": _sql("select node, round(congestion, 6) congestion from congestion", "congestion"),
         "edge_weights": _sql(
             """select src, dst, profile, transport_mode, weight, round(time_h, 6) time_h, round(cost, 6) as cost,
@@ -751,15 +755,21 @@ where nth = 1 and not exists (select 1 from lineitem t where t.l_shipdate < time
   select 1, 'route_events', 'success', count(*), count(*), 0, 0 from events union all
   select 2, 'route_events', 'success', count(*), 0, count(*), 0 from events)""",
         "upload_append": _sql(
-            "select shipment_id, origin_port, status, strftime(created_date, '%Y-%m') created_month from shipments", "shipments"
+            """select shipment_id, carrier, origin_port, destination_port, transport_mode, status, created_date, weight_kg,
+  cast(delay_hours as double) delay_hours, insurance_required, true stamped, strftime(created_date, '%Y-%m') created_month,
+  cast(null as varchar) goods_category, cast(null as varchar) currency, cast(null as date) eta_date, cast(null as double) transit_hours,
+  cast(null as double) distance_km, cast(null as double) volume_m3, cast(null as double) value_usd, cast(null as double) freight_cost_usd,
+  cast(null as double) num_containers, cast(null as double) num_stops, cast(null as bigint) priority_level, cast(null as double) risk_score,
+  cast(null as double) weather_severity, cast(null as double) port_congestion, cast(null as double) temperature_c from shipments""",
+            "shipments",
         ),
         "conform_variant": _sql(
             """select shipment_id, origin_port, destination_port, transport_mode, status, created_date, weight_kg,
   cast(delay_hours as double) delay_hours, insurance_required, cast(null as double) num_stops, true stamped from shipments""",
             "shipments",
         ),
-        "read_formats": """select format, count(*) as rows, cast(sum(c_custkey) as bigint) keys
-from customer cross join (values ('csv'), ('parquet'), ('json')) f(format) group by format""",
+        "read_formats": """select format, c_custkey, c_name, cast(c_nationkey as bigint) c_nationkey, c_acctbal, c_mktsegment
+from customer cross join (values ('csv'), ('parquet'), ('json')) f(format)""",
         "json_rows": _sql(
             """select concat('{"shipment_id":"', shipment_id, '","origin_port":', coalesce('"' || origin_port || '"', 'null'),
   ',"created_date":"', strftime(created_date, '%Y-%m-%d'), '","num_stops":', coalesce(cast(num_stops as varchar), 'null'),
@@ -781,7 +791,7 @@ from (values {_values(schema.SOURCE_REGISTRY)}) r(source, name, frequency, table
         "single_source_load": """select 'shipments_master' table_name, cast(0 as bigint) row_count, cast(null as varchar) status, cast(null as bigint) rows_inserted
   union all select 'route_events', count(*), 'success', count(*) from events""",
         "csv_quoted": """select cast(doc_id as varchar) shipment_id, '"' || source || '", Ltd' carrier,
-  cast(length(trim(coalesce(text, '-'))) as bigint) characters from documents""",
+  coalesce(text, '-') goods_category from documents""",
         "upload_bad_rows": _sql(
             """select run, 'partial' status, n rows_read, case run when 1 then good else 0 end rows_inserted,
   case run when 1 then 0 else good end rows_duplicate, n - good rows_errored,
@@ -802,14 +812,22 @@ from (select count(*) n, count(*) filter (where transport_mode = 'rail') rail, c
 where tick in (2, 4, 5)""",
             "piece",
         ),
+        "stream_paced": _sql(
+            """select cast(part as bigint) tick, cast(sum(count(*)) over (order by part) - count(*) as bigint) as "offset", count(*) batch_size,
+  cast(sum(count(*)) over (order by part) as bigint) processed_records from piece group by part""",
+            "piece",
+        ),
+        # After each batch that holds a location, over the location's newest 250 rows so far; the last of them, and all savings.
         "stream_live_kpis": _sql(
-            """select location_name, count(*) records, count(distinct shipment_id) active_shipments,
-  count(distinct case when severe then shipment_id end) at_risk_shipments,
-  round(count(*) filter (where on_time) / count(*), 4) on_time_rate, count(*) filter (where critical) critical_alerts,
-  any_value(b) batches, greatest(any_value(b), count(distinct case when severe then shipment_id end)) routes_optimized
-from (select *, row_number() over (partition by location_name order by event_timestamp desc, event_id desc) nth from piece)
-join (select location_name, count(distinct part) b from piece group by 1) using (location_name)
-where nth <= 250 group by location_name""",
+            """select location_name, max_by(records, p) records, max_by(active, p) active_shipments, max_by(risky, p) at_risk_shipments,
+  max_by(on_time_rate, p) on_time_rate, max_by(critical, p) critical_alerts, count(*) batches, cast(sum(120*risky + 40*critical) as bigint) saved,
+  greatest(count(*), max_by(risky, p)) routes_optimized
+from (select location_name, p, count(*) records, count(distinct shipment_id) active, count(distinct case when severe then shipment_id end) risky,
+        round(count(*) filter (where on_time) / count(*), 4) on_time_rate, count(*) filter (where critical) critical
+      from (select b.p, x.*, row_number() over (partition by b.location_name, b.p order by event_timestamp desc, event_id desc) nth
+            from (select distinct location_name, part p from piece) b join piece x on x.location_name = b.location_name and x.part <= b.p)
+      where nth <= 250 group by location_name, p)
+group by location_name""",
             "piece",
         ),
         "stream_congestion": _sql(

@@ -29,6 +29,13 @@ def start(writer: DataStreamWriter, checkpoint: str, interval: str | None = INTE
     return paced.option("checkpointLocation", checkpoint).start()
 
 
+def drain(query: StreamingQuery) -> StreamingQuery:
+    """Let a paced query do all that has come, then stop it between two batches."""
+    query.processAllAvailable()
+    query.stop()
+    return query
+
+
 def _folders(spark: SparkSession, root: str):
     """The file system of a folder, and its batch folders by number."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

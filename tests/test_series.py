@@ -1,6 +1,7 @@
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,28 @@ def test_rescale_flat_series(spark):
     scaled = {(r.k, r.c): r.s for r in rows}
     assert scaled["a", 3.0] == pytest.approx(20.0)
     assert scaled["a", 1.0] == 10.0 and scaled["b", 5.0] == 10.0
+
+
+def test_forecast_of_ten_years_of_hours(spark):
+    """The whole history counts: equal to a solve in exact fractions, to four places."""
+    from fractions import Fraction
+
+    hours = 87_600
+    rng = np.random.default_rng(11)
+    values = np.round(1.2 + 1e-6 * np.arange(hours) + 0.1 * rng.normal(size=hours), 6)
+    start = datetime(2014, 1, 1)
+    frame = pd.DataFrame({"hour": pd.date_range(start, periods=hours, freq="h"), "value": values, "rows": 1})
+    got = {r.step: r.forecast for r in series.forecast(spark.createDataFrame(frame), horizon=24).collect()}
+    t = range(hours)
+    y = [Fraction(round(v * 1_000_000), 1_000_000) for v in values.tolist()]
+    n, s1, s2 = hours, sum(t), sum(x * x for x in t)
+    s3, s4, sy = sum(x**3 for x in t), sum(x**4 for x in t), sum(y)
+    ty, tty = sum(x * v for x, v in zip(t, y)), sum(x * x * v for x, v in zip(t, y))
+    a11, a12, a22 = s2 - Fraction(s1 * s1, n) + 1, s3 - Fraction(s1 * s2, n), s4 - Fraction(s2 * s2, n) + 1
+    b1, b2 = ty - s1 * sy / n, tty - s2 * sy / n
+    det = a11 * a22 - a12 * a12
+    w1, w2 = (b1 * a22 - b2 * a12) / det, (a11 * b2 - a12 * b1) / det
+    w0 = sy / n - w1 * s1 / n - w2 * s2 / n
+    for step in range(1, 25):
+        x = hours - 1 + step
+        assert got[step] == pytest.approx(float(w0 + w1 * x + w2 * x * x), abs=5.1e-5)
