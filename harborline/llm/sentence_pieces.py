@@ -347,8 +347,21 @@ def _lists(values: pa.Array, ends: np.ndarray, null: np.ndarray | None = None) -
     return pa.ListArray.from_arrays(offsets, values, mask=None if null is None else pa.array(null))
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n_best: int = N_BEST, carry: bool = False) -> DataFrame:
-    """(key, segmentations): the ``n_best`` best (score, ids) of every whole text, best first; with ``carry`` the text too.
+def _segmented(encoder: Encoder, texts: list[str | None]) -> tuple[pa.ListArray, list[list[tuple[float, np.ndarray]]]]:
+    """The segmentations of texts as a column, and as they are."""
+    found = [[] if t is None else f for t, f in zip(texts, encoder.batch(texts), strict=True)]
+    flat = [s for f in found for s in f]
+    ids = pa.array(np.concatenate([x for _, x in flat] or [np.empty(0, np.int32)]))
+    each = _lists(ids, np.cumsum([len(x) for _, x in flat]))
+    both = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), each], ["score", "ids"])
+    return _lists(both, np.cumsum([len(f) for f in found]), np.array([t is None for t in texts], bool)), found
+
+
+SEGMENTATIONS = "segmentations array<struct<score:double,ids:array<int>>>"
+
+
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n_best: int = N_BEST) -> DataFrame:
+    """(key, segmentations): the ``n_best`` best (score, ids) of every whole text, best first.
 
     Piece scores are those of the model file; characters outside the vocabulary are
     spelt in bytes. A space is put before the text. A null text has null
@@ -361,48 +374,34 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shipped.encoder(n_best)
         for part in _parts(batches):
-            texts = part.column(1).to_pylist()
-            null = np.array([t is None for t in texts], bool)
-            found = [() if t is None else f for t, f in zip(texts, encoder.batch(texts), strict=True)]
-            flat = [s for f in found for s in f]
-            ids = pa.array(np.concatenate([x for _, x in flat] or [np.empty(0, np.int32)]))
-            each = _lists(ids, np.cumsum([len(x) for _, x in flat]))
-            both = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), each], ["score", "ids"])
-            columns = [part.column(0), _lists(both, np.cumsum([len(f) for f in found]), null)]
-            yield pa.RecordBatch.from_arrays([*columns, part.column(1)][: 2 + carry], ["key", "segmentations", "text"][: 2 + carry])
+            column, _ = _segmented(encoder, part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), column], ["key", "segmentations"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    schema = f"key {dict(rows.dtypes)['key']}, segmentations array<struct<score:double,ids:array<int>>>{', text string' * carry}"
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, {SEGMENTATIONS}").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, model: str, keys: list[str], ids: str = "ids") -> DataFrame:
     """(keys, text): texts from piece ids; ids that are no UTF-8 together give U+FFFD.
 
-    Where ``ids`` holds lists of lists, ``text`` is the list of their texts. Null ids
-    have a null text, an empty list the empty one.
+    Null ids have a null text, an empty list the empty one.
     """
     shipped = Model(encoded.sparkSession, model)
     names = [f"k{i}" for i in range(len(keys))]
     rows = encoded.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(ids).alias("ids"))
-    many = dict(rows.dtypes)["ids"] == "array<array<int>>"
-
-    def ends(lists: pa.ListArray) -> np.ndarray:
-        return np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = shipped.decoder()
         for part in _parts(batches):
             column = part.column(len(names))
             null = column.is_null().to_numpy(zero_copy_only=False)
-            each = column.flatten() if many else column
-            texts = pa.array(decoder.texts(each.flatten().to_numpy(zero_copy_only=False), ends(each)), pa.string())
-            out = _lists(texts, ends(column), null) if many else pc.if_else(pa.array(null), pa.scalar(None, pa.string()), texts)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            texts = decoder.texts(column.flatten().to_numpy(zero_copy_only=False), ends)
+            out = pa.array([None if x else t for x, t in zip(null, texts, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], out], [*names, "text"])
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + f", text {'array<string>' if many else 'string'}"
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", text string")
     return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "text")
 
 
@@ -419,13 +418,25 @@ def best(name: str) -> Column:
 def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n_best: int = N_BEST) -> DataFrame:
     """(key, ids, n_pieces, segmentations, exact): encode every text, decode each of its segmentations.
 
-    ``ids`` are those of the best; ``exact`` tells whether all give back the text (true for a
-    null text). Nulls, repeats and empty tables are as in ``encode``.
+    One pass does both, so that a text and its segmentations meet without travelling. ``ids``
+    are those of the best; ``exact`` tells whether all give back the text (true for a null
+    text). Nulls, repeats and empty tables are as in ``encode``.
     """
-    encoded = encode(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), model, "id", "text", n_best, carry=True)
-    whole = encoded.select("id", "text", "segmentations", F.col("segmentations.ids").alias("all"))
-    back = decode(whole.withColumnRenamed("text", "own"), model, ["id", "own", "segmentations"], "all")
-    exact = F.col("own").isNull() | F.forall("text", lambda t: t == F.col("own"))
-    return back.select(
-        F.col("id").alias(key), best("ids").alias("ids"), F.size(best("ids")).cast("bigint").alias("n_pieces"), "segmentations", exact.alias("exact")
+    shipped = Model(docs.sparkSession, model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = shipped.encoder(n_best), shipped.decoder()
+        for part in _parts(batches):
+            texts = part.column(1).to_pylist()
+            column, found = _segmented(encoder, texts)
+            exact = []
+            for t, f in zip(texts, found, strict=True):
+                ids = np.concatenate([x for _, x in f] or [np.empty(0, np.int32)])
+                exact.append(all(back == t for back in decoder.texts(ids, np.cumsum([len(x) for _, x in f]).astype(np.int64))))
+            yield pa.RecordBatch.from_arrays([part.column(0), column, pa.array(exact)], ["key", "segmentations", "exact"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    out = rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, {SEGMENTATIONS}, exact boolean")
+    return out.select(
+        F.col("key").alias(key), best("ids").alias("ids"), F.size(best("ids")).cast("bigint").alias("n_pieces"), "segmentations", "exact"
     )
