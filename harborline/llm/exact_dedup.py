@@ -118,12 +118,15 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     gone = spool(
         found.groupBy(F.col(key).alias("id"), F.col("text_sha256").alias("digest")).agg(F.max("kept").alias("kept")).where("not kept"), "copies"
     )
-    # One struct holds the row, so that no column of it can clash with those of the join.
-    whole = F.coalesce(docs[text], F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].cast("bigint").alias("id"), F.sha2(whole, 256).alias("digest"))
-    once = Window.partitionBy("id", "digest").orderBy(F.lit(1))
-    single = rows.withColumn("place", F.row_number().over(once)).where("place = 1")
-    marks = gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).hint("merge")
-    # The digest leads the join; a null id equals a null id.
-    kept = single.join(marks, (F.col("digest") == F.col("gone_digest")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
-    return kept.select("row.*")
+
+    def place(id: Column, digest: Column) -> Column:
+        return F.concat_ws(":", digest, id.cast("string"))
+
+    # One struct holds the row, so that no column of it can clash with those of the join. One
+    # place of id and digest leads both the ranking and the join, so they share the shuffle.
+    digest = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), place(docs[key].cast("bigint"), digest).alias("place"))
+    once = Window.partitionBy("place").orderBy(F.lit(1))
+    single = rows.withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    marks = gone.select(place(F.col("id"), F.col("digest")).alias("place")).hint("merge")
+    return single.join(marks, "place", "left_anti").select("row.*")
