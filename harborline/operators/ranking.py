@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -143,9 +144,57 @@ def latest(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
     return numbered.rows.where(F.col("_rank") < n).drop("_rank")
 
 
-def page(df: DataFrame, keys: Sequence[str], size: int, offset: int) -> DataFrame:
-    """Rows offset .. offset+size-1 in ascending key order (NULL last)."""
-    if offset + size <= SMALL_TOP:
-        return df.orderBy(*_order(keys, False)).offset(offset).limit(size)
-    numbered = number_rows(df, keys, name="_rank")
-    return numbered.rows.where(F.col("_rank").between(offset, offset + size - 1)).drop("_rank")
+def rank_directory(df: DataFrame, by: str) -> DataFrame:
+    """(bucket, rows): how many rows each coarse bucket of a column holds, from that column alone.
+
+    Kept beside a table, it tells where a rank lies; a new load adds its own counts
+    (``merged_directory``), old rows are not read again.
+    """
+    return df.groupBy(bucket_of(df, by).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def merged_directory(*parts: DataFrame) -> DataFrame:
+    """One directory for all rows that the parts count."""
+    return reduce(DataFrame.unionByName, parts).groupBy("bucket").agg(F.sum("rows").cast("bigint").alias("rows"))
+
+
+def _between(df: DataFrame, by: str, low: str | None, high: str | None, undated: bool) -> Column:
+    """Rows of the buckets low .. high, as a filter on the column itself that a scan can push down."""
+    kind = df.schema[by].dataType
+    inside = F.lit(False)
+    if low is not None:
+        if kind.typeName() == "timestamp":
+            first, last = (F.timestamp_seconds(F.lit(int(x)) * 3600) for x in (low, int(high) + 1))
+            inside = (F.col(by) >= first) & (F.col(by) < last)
+        elif kind.typeName() == "timestamp_ntz":
+            last = F.lit(high).cast(kind) + F.expr("interval 1 hour")
+            inside = (F.col(by) >= F.lit(low).cast(kind)) & (F.col(by) < last)
+        elif kind.typeName() == "string":
+            inside = (F.col(by) >= F.lit(low)) & (bucket_of(df, by) <= F.lit(high))
+        else:
+            inside = F.col(by).between(F.lit(low).cast(kind), F.lit(high).cast(kind))
+    return inside | F.col(by).isNull() if undated else inside
+
+
+def page(df: DataFrame, keys: Sequence[str], size: int, offset: int, directory: DataFrame | None = None) -> DataFrame:
+    """Rows offset .. offset+size-1 in ascending key order (NULL last).
+
+    A directory of counts per bucket of the first key, the kept one or one counted now,
+    tells which buckets hold the page. Only their rows are read, behind a literal filter,
+    and only they are put in order; nothing else of the table is written or sorted.
+    """
+    counts = rank_directory(df, keys[0]) if directory is None else directory
+    placed = weight_before(counts, ["bucket"], "rows", "before")
+    held = placed.where((F.col("before") < offset + size) & (F.col("before") + F.col("rows") > offset))
+    low, high, undated, before = held.agg(
+        F.min("bucket").cast("string"), F.max("bucket").cast("string"), F.count_if(F.col("bucket").isNull()), F.min("before")
+    ).first()
+    if before is None:
+        return df.limit(0)
+    rows = df.where(_between(df, keys[0], low, high, undated > 0))
+    skip = offset - before
+    if skip + size <= SMALL_TOP:
+        return rows.orderBy(*_order(keys, False)).offset(skip).limit(size)
+    # A bucket may hold very many rows: they are put in order across the cluster.
+    numbered = number_rows(rows, keys, name="_rank")
+    return numbered.rows.where(F.col("_rank").between(skip, skip + size - 1)).drop("_rank")

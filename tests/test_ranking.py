@@ -92,3 +92,36 @@ def test_latest_across_a_repeated_hour(spark):
         assert sorted(r.k for r in ranking.latest(df, "at", "k", 480).select("k").collect()) == list(range(240, 720))
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("size,offset", [(10, 0), (7, 295), (130, 250), (400, 5), (50, 860), (40, 900), (5, 899)])
+def test_a_page_by_time_with_a_hot_and_a_missing_time(spark, rows, size, offset):
+    df = spark.createDataFrame(rows, "event_id string, at timestamp")
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or BASE, r[0]))
+    got = [r.event_id for r in ranking.page(df, ["at", "event_id"], size, offset).collect()]
+    assert sorted(got) == sorted(r[0] for r in order[offset : offset + size])
+    ntz = ranking.page(df.select("event_id", df["at"].cast("timestamp_ntz").alias("at")), ["at", "event_id"], size, offset)
+    assert sorted(r.event_id for r in ntz.collect()) == sorted(got)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "date"])
+def test_a_page_by_other_kinds(spark, kind):
+    df = spark.range(300).selectExpr("id", f"cast({'date_add(date\'2024-01-01\', cast(id % 40 as int))' if kind == 'date' else 'id % 40 - 7'} as {kind}) as k")
+    want = [r.id for r in df.orderBy("k", "id").collect()]
+    for offset in (0, 33, 290):
+        assert sorted(r.id for r in ranking.page(df, ["k", "id"], 20, offset).collect()) == sorted(want[offset : offset + 20])
+
+
+def test_a_kept_directory_is_added_to_and_only_its_buckets_are_read(spark, rows, tmp_path):
+    df = spark.createDataFrame(rows, "event_id string, at timestamp")
+    old, new = df.where("event_id < 'E00500'"), df.where("event_id >= 'E00500'")
+    kept = ranking.merged_directory(ranking.rank_directory(old, "at"), ranking.rank_directory(new, "at"))
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in ranking.rank_directory(df, "at").collect()}
+    df.write.parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    one = ranking.page(stored, ["at", "event_id"], 5, 500, kept)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    # The scan gets the bounds of the page; the order is a top-k, not an exchange of the table.
+    assert "GreaterThanOrEqual(at" in plan and "LessThan(at" in plan and "Exchange" not in plan
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or BASE, r[0]))
+    assert [r.event_id for r in one.collect()] == [r[0] for r in order[500:505]]
