@@ -18,6 +18,8 @@ ENOUGH_ROWS = 100
 PREVIEW_CHARS = 600
 MAX_INSIGHTS = 6
 SLICES = 10_000
+#: Of the quantile sketch: a rank is off by at most rows / ACCURACY.
+ACCURACY = 1_000
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -132,9 +134,62 @@ def quantiles(df: DataFrame, limits: dict[str, tuple[int, float, float]], points
     )
 
 
+def bracketed_quantiles(df: DataFrame, counts: dict[str, int], brackets: dict[str, list[tuple[float, float]]], points: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, of columns whose brackets hold the wanted ranks.
+
+    One pass counts what lies below each bracket, another sends on only what lies inside:
+    a few thousandths of the values, counted by value before they move and put in order
+    across the cluster. A column with a rank outside its bracket is left out.
+    """
+    spark = df.sparkSession
+    known = [n for n in brackets if counts[n]]
+    below = df.agg(
+        *(F.count_if(_present(n) < F.lit(lo)).alias(f"{i}.{k}") for i, n in enumerate(known) for k, (lo, _) in enumerate(brackets[n]))
+    ).first()
+    inside = F.filter(
+        F.array(
+            *(
+                F.struct(F.lit(n).alias("column_name"), F.lit(f"q{k}").alias("point"), F.when(_present(n).between(F.lit(lo), F.lit(hi)), _present(n)).alias("v"))
+                for n in known for k, (lo, hi) in enumerate(brackets[n])
+            )
+        ),
+        lambda x: x["v"].isNotNull(),
+    )
+    held = spool(df.select(F.inline(inside)).groupBy("column_name", "point", "v").agg(F.count(F.lit(1)).alias("n")), "bracketed")
+    ordered = spool(weight_before(held, ["column_name", "point", "v"], "n", "before"), "bracket-order")
+    starts = ordered.groupBy("column_name", "point").agg(F.min("before").alias("start"), F.sum("n").alias("held"))
+    spots = []
+    for i, n in enumerate(known):
+        for k, p in enumerate(points):
+            spot = p * (counts[n] - 1)
+            spots.append((n, f"q{k}", spot, math.floor(spot) - below[f"{i}.{k}"], math.ceil(spot) - below[f"{i}.{k}"]))
+    wanted = small_table(spark, ["column_name", "point", "spot", "lo", "hi"], spots)
+    # Ranks count from the start of the bracket.
+    placed = ordered.join(wanted, ["column_name", "point"]).join(starts, ["column_name", "point"])
+    first = F.col("before") - F.col("start")
+    at = {c: F.max(F.when((first <= F.col(c)) & (F.col(c) < first + F.col("n")), F.col("v"))).alias(f"v_{c}") for c in ("lo", "hi")}
+    ends = placed.groupBy("column_name", "point").agg(F.max("spot").alias("spot"), *at.values())
+    part = F.col("spot") - F.floor("spot")
+    between = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * part
+    value = F.when((F.col("v_lo") == F.col("v_hi")) | (part == 0), F.col("v_lo")).otherwise(between)
+    sure = F.col("v_lo").isNotNull() & F.col("v_hi").isNotNull()
+    return (
+        ends.groupBy("column_name")
+        .agg(F.count_if(sure).alias("sure"), *(F.max(F.when(F.col("point") == f"q{i}", value)).alias(f"q{i}") for i in range(len(points))))
+        .where(F.col("sure") == len(points)).drop("sure")
+    )
+
+
 def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles of the numeric columns."""
+    """Count, mean, sample deviation, extremes and quartiles of the numeric columns.
+
+    The pass for the other figures also keeps a mergeable quantile sketch of each column,
+    whose error is bound; it brackets the exact quartiles. Only values inside a bracket are
+    looked at once more.
+    """
     names = _numeric(df)
+    if exact and names:
+        df = spool(df.select(*(F.col(f"`{n}`") for n in names)), "numbers")
     measures = {
         "count": lambda c: F.count(c),
         "mean": wide_mean,
@@ -142,7 +197,10 @@ def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
         "min": lambda c: F.min(c),
         "max": lambda c: F.max(c),
     }
-    if not exact:
+    if exact:
+        ends = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in QUARTILES for side in (-1, 1)]
+        measures["ends"] = lambda c: F.percentile_approx(c, ends, ACCURACY)
+    else:
         measures |= {f"q{i}": lambda c, p=p: F.percentile_approx(c, p) for i, p in enumerate(QUARTILES)}
     one = df.agg(*(fn(_present(n)).alias(f"{n}.{m}") for n in names for m, fn in measures.items()))
     columns = F.array(
@@ -154,8 +212,20 @@ def profile_numeric(df: DataFrame, exact: bool = True) -> DataFrame:
     summary = one.select(F.inline(columns))
     if exact:
         summary = spool(summary, "summary")
-        limits = {r["column_name"]: (r["count"], r["min"], r["max"]) for r in summary.collect()}
-        summary = summary.join(quantiles(df, limits, QUARTILES), "column_name", "left")
+        told = {r["column_name"]: r for r in summary.collect()}
+        counts = {n: r["count"] for n, r in told.items()}
+        brackets = {n: list(zip(r["ends"][::2], r["ends"][1::2], strict=True)) for n, r in told.items() if r["count"]}
+        found = bracketed_quantiles(df, counts, brackets, QUARTILES) if brackets else None
+        limits = {n: (r["count"], r["min"], r["max"]) for n, r in told.items()}
+        if found is None:
+            found = quantiles(df, limits, QUARTILES)
+        else:
+            found = spool(found, "quartiles")
+            rest = set(brackets) - {r[0] for r in found.select("column_name").collect()}
+            if rest:
+                # A sketch that missed its bound costs these columns the slower way.
+                found = found.unionByName(quantiles(df, {n: limits[n] for n in rest}, QUARTILES))
+        summary = summary.join(found, "column_name", "left")
 
     def shown(c: str) -> Column:
         return rounded(F.col(c), 3)

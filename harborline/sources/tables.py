@@ -15,6 +15,8 @@ from harborline.sources.csv_load import ARRIVAL, FILE_BYTES, load_csv, split_goo
 from harborline.sources.views import small_table
 
 REJECTED = "rejected_rows"
+#: Buckets of a key table that is made anew; an existing one keeps its own number.
+KEY_BUCKETS = 32
 REPORT = [
     "table_name", "status", "method", "rows_read", "rows_inserted", "rows_duplicate", "rows_errored",
     "long_texts", "duration_sec", "file_bytes",
@@ -26,8 +28,11 @@ def partition_value(table: str) -> Column:
     return F.date_format(source, pattern)
 
 
-def ensure_tables(spark: SparkSession, root: str) -> list[str]:
-    """Create the tables under the root where they are absent; their names."""
+def ensure_tables(spark: SparkSession, root: str, key_buckets: int = KEY_BUCKETS) -> list[str]:
+    """Create the tables under the root where they are absent; their names.
+
+    Beside each table stands one of its keys alone, in buckets of the key.
+    """
     for name, contract in schema.CONTRACTS.items():
         part = schema.PARTITIONS[name][0]
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in contract.fields)
@@ -35,6 +40,11 @@ def ensure_tables(spark: SparkSession, root: str) -> list[str]:
             f"CREATE TABLE IF NOT EXISTS {name} ({columns}, {part} string) USING parquet "
             f"PARTITIONED BY ({part}) LOCATION '{root}/{name}'"
         )
+        key = schema.KEYS[name]
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {key_table(name)} ({key} string) USING parquet "
+            f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {key_buckets} BUCKETS LOCATION '{root}/{key_table(name)}'"
+        )
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {REJECTED} (table_name string, file string, reason string, record string, "
         f"rejected_at timestamp) USING parquet LOCATION '{root}/{REJECTED}'"
@@ -46,6 +56,46 @@ def tables_exist(spark: SparkSession) -> dict[str, bool]:
     return {name: spark.catalog.tableExists(name) for name in schema.CONTRACTS}
 
 
+def key_table(table: str) -> str:
+    return f"{table}_keys"
+
+
+def _buckets(spark: SparkSession, table: str) -> int:
+    told = spark.sql(f"DESCRIBE EXTENDED {key_table(table)}").where("col_name = 'Num Buckets'").first()
+    return int(told["data_type"])
+
+
+def stored_keys(spark: SparkSession, table: str) -> DataFrame:
+    """The keys of a stored table, in buckets of the key.
+
+    They are written after the rows. Where a run ended between the two, or rows came another
+    way, the numbers of rows in the file footers differ, and the keys are written anew.
+    """
+    name, key = key_table(table), schema.KEYS[table]
+    if spark.table(name).count() != spark.table(table).count():
+        _write_keys(spark.table(table).select(key), table, overwrite=True)
+    return spark.table(name)
+
+
+def _write_keys(keys: DataFrame, table: str, overwrite: bool = False) -> None:
+    """One file a bucket."""
+    spark, name = keys.sparkSession, key_table(table)
+    dealt = spool(keys, "keys").repartition(_buckets(spark, table), schema.KEYS[table])
+    dealt.write.insertInto(name, overwrite=overwrite)
+
+
+def append_unstored(rows: DataFrame, table: str, order: Sequence[str]) -> DataFrame:
+    """Rows to insert into a stored table: the first of each key that the table lacks.
+
+    The new rows are dealt like the key table's buckets, so that a load moves its own rows
+    and reads the stored keys where they lie; the stored table is not read.
+    """
+    spark, key = rows.sparkSession, schema.KEYS[table]
+    held = stored_keys(spark, table)
+    first = _first_of_keys(rows, [key], order)
+    return first.repartition(_buckets(spark, table), key).join(held, key, "left_anti")
+
+
 def append_new(target: DataFrame, incoming: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     """Incoming rows to insert: the first of each key, unless the target has the key.
 
@@ -55,10 +105,14 @@ def append_new(target: DataFrame, incoming: DataFrame, key: str | Sequence[str],
     of the input sends one row per task.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    fresh = _first_of_keys(incoming, keys, order)
+    return fresh.join(target.select(*keys), keys, "left_anti")
+
+
+def _first_of_keys(incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     first = Window.partitionBy(*keys).orderBy(*order)
     whole = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
-    fresh = incoming.where(whole).withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")
-    return fresh.join(target.select(*keys), keys, "left_anti")
+    return incoming.where(whole).withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")
 
 
 def insert(rows: DataFrame, table: str) -> int:
@@ -68,6 +122,7 @@ def insert(rows: DataFrame, table: str) -> int:
     named = rows.withColumn(part, partition_value(table)).select(*spark.table(table).columns)
     # Rebalance keeps files large and splits a hot month over many tasks.
     named.hint("rebalance", part).write.insertInto(table)
+    _write_keys(rows.select(schema.KEYS[table]), table)
     return rows.count()
 
 
@@ -102,7 +157,7 @@ def load_table(spark: SparkSession, path: str, table: str, multi_line: bool = Fa
     zero = F.lit(0)
     counts = files.agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("good", "long_texts", "bytes"))).first()
     errored = reject(bad.unionByName(left_out), table)
-    inserted = insert(append_new(spark.table(table), rows, key, ARRIVAL), table)
+    inserted = insert(append_unstored(rows, table, ARRIVAL), table)
     status = "success" if errored == 0 else "partial"
     return (
         table, status, "csv", counts["good"] + errored, inserted, counts["good"] - inserted, errored,

@@ -146,3 +146,60 @@ def test_upload_without_keys_inserts_nothing_twice(spark, tmp_path, store):
         assert (row.rows_inserted, row.rows_errored, row.rows_read) == (want, 3, 4)
     kept = spark.table(tables.REJECTED).groupBy("reason").count().collect()
     assert {r.reason: r["count"] for r in kept} == {"no_key": 4, "unreadable": 2}
+
+
+def _stored(spark, tmp_path, buckets=4):
+    session = spark.newSession()
+    name = f"keys_{tmp_path.name}".replace("-", "_")
+    session.sql(f"CREATE DATABASE {name} LOCATION '{tmp_path}/db'")
+    session.catalog.setCurrentDatabase(name)
+    tables.ensure_tables(session, f"{tmp_path}/tables", buckets)
+    return session
+
+
+def _telemetry_rows(session, ids):
+    empty = session.table("route_events").drop("event_date")
+    rows = session.createDataFrame([(i, datetime(2024, 1, 1 + k % 20), "f", 0, k) for k, i in enumerate(ids)],
+                                   "event_id string, event_timestamp timestamp, _file string, _block bigint, _line bigint")
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema if f.name not in rows.columns]
+    return rows.select("*", *others)
+
+
+def _load(session, ids):
+    rows = tables.append_unstored(_telemetry_rows(session, ids), "route_events", tables.ARRIVAL)
+    return tables.insert(rows.drop(*tables.ARRIVAL), "route_events")
+
+
+def test_a_load_moves_its_own_rows_and_not_the_stored_keys(spark, tmp_path):
+    session = _stored(spark, tmp_path)
+    assert _load(session, [f"E{i}" for i in range(300)]) == 300
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    rows = tables.append_unstored(_telemetry_rows(session, ["E5", "E900", "E900", "E901"]), "route_events", tables.ARRIVAL)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "route_events_keys" in line and "Scan" in line)
+    above, depth = [], len(lines[scan])
+    for line in reversed(lines[: scan + 1]):  # the operators from the scan up to the join
+        at = len(line) - len(line.lstrip(" :+-*"))
+        if at < depth:
+            depth = at
+            above.append(line)
+            if "SortMergeJoin" in line:
+                break
+    assert "Bucketed: true" in above[0] and not any("Exchange" in line for line in above), plan
+    assert "route_events/" not in plan.replace("route_events_keys", "")  # the wide table is not read
+    assert sorted(r.event_id for r in rows.collect()) == ["E900", "E901"]
+
+
+def test_loads_again_and_after_lost_or_foreign_keys(spark, tmp_path):
+    session = _stored(spark, tmp_path)
+    assert _load(session, ["A", "B", "A", None]) == 2
+    assert _load(session, ["B", "C"]) == 1
+    assert {r[0] for r in session.table("route_events_keys").collect()} == {"A", "B", "C"}
+    # Rows that came another way, or a run that ended before its keys were written.
+    part = _telemetry_rows(session, ["D"]).drop(*tables.ARRIVAL).withColumn("event_date", F.lit("2024-01-01"))
+    part.select(*session.table("route_events").columns).write.insertInto("route_events")
+    assert _load(session, ["A", "D", "E"]) == 1
+    assert sorted(r[0] for r in session.table("route_events_keys").collect()) == ["A", "B", "C", "D", "E"]
+    assert session.table("route_events").count() == 5

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from harborline.operators import profiling
@@ -56,3 +57,27 @@ def test_infinite_and_large_values(spark):
     assert rows["a"]["count"] == 4 and rows["a"]["mean"] == float("inf") and rows["a"]["max"] == float("inf")
     assert rows["a"]["min"] == 1.0 and rows["a"]["p50"] == 2.5
     assert rows["t"]["max"] == 1_700_000_000_500 and abs(rows["t"]["mean"] - 3_400_000_000_507 / 3) < 1
+
+
+@pytest.mark.parametrize("missed", [False, True])
+def test_quartiles_from_brackets_are_exact(spark, monkeypatch, missed):
+    """Ties, a hot value, infinities, few and no rows; and a sketch that misses its bound."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    frame = pd.DataFrame({
+        "normal": rng.normal(size=n), "hot": np.where(rng.random(n) < 0.4, 7.0, rng.integers(0, 50, n)), "whole": rng.integers(-5, 5, n),
+        "rare": np.where(rng.random(n) < 0.0002, 1.0, np.nan), "none": np.full(n, np.nan), "endless": np.where(rng.random(n) < 0.3, np.inf, rng.normal(size=n)),
+        "same": np.full(n, 2.5),
+    })
+    if missed:
+        real = profiling.bracketed_quantiles
+        wrong = lambda df, counts, brackets, points: real(df, counts, {c: [(hi + 1, hi + 2) for _, hi in b] for c, b in brackets.items()}, points)
+        monkeypatch.setattr(profiling, "bracketed_quantiles", wrong)
+    got = {r.column_name: r for r in profiling.profile_numeric(spark.createDataFrame(frame).repartition(6)).collect()}
+    assert set(got) == set(frame.columns) and got["none"].p50 is None and got["none"]["count"] == 0
+    for name in set(frame.columns) - {"none"}:
+        values = frame[name].dropna()
+        for column, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+            # Between two infinite values pandas finds nothing.
+            want = values.quantile(q) if np.isfinite(values.quantile(q, interpolation="higher")) else float("inf")
+            assert got[name][column] == want or got[name][column] == pytest.approx(want, abs=5.1e-4), (name, column)
