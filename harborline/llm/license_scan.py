@@ -55,8 +55,6 @@ TEMPLATES = {
     ],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-#: Every term of a template holds one of these, so passages without any are not compared.
-CUE = r"[A-Za-z0-9]"
 #: Names of files that speak for their directory; so do files that are mostly licence.
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.-][^/]*)?$"
 LEAST = 0.7
@@ -90,11 +88,33 @@ def can_reach(held: Column, squares: dict[str, dict[str, float]], least: float)
     return F.exists(templates, lambda parts: total(parts) >= least * least - 1e-6)
 
 
+def heavy_terms(squares: dict[str, dict[str, float]], least: float) -> list[str]:
+    """Terms without any of which no passage reaches the cosine ``least`` to a template.
+
+    Of each template the lightest terms whose squared parts together stay below the least
+    are left out: a passage that holds only those stays below it.
+    """
+    out: set[str] = set()
+    for parts in squares.values():
+        total = 0.0
+        for term, square in sorted(parts.items(), key=lambda x: (x[1], x[0])):
+            total += square
+            if total >= least * least - 1e-6:
+                out.add(term)
+    return sorted(out)
+
+
+def holds_term(text: Column, listed: list[str]) -> Column:
+    """Whether the lower-cased text has one of the terms as a term of its own."""
+    edge = r"[\p{L}\p{N}]"
+    return F.lower(text).rlike(rf"(?<!{edge})(?:{'|'.join(listed)})(?!{edge})")
+
+
 def passages(text: Column, fits: Callable[[Column], Column]) -> Column:
     """Sentences, lines and paragraphs that fit, each once."""
     lines, blocks = F.split(text, r"\r?\n"), F.split(text, r"\r?\n[ \t]*\r?\n")
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])[ \t]+")))
-    return F.filter(F.array_distinct(F.concat(sentences, lines, blocks)), lambda p: p.rlike(CUE) & fits(p))
+    return F.filter(F.array_distinct(F.concat(sentences, lines, blocks)), fits)
 
 
 def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
@@ -126,16 +146,18 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     for r in model.select("template", "term", "tw").collect():  # of the fixed templates
         squares.setdefault(r["template"], {})[r["term"]] = r["tw"] ** 2
 
-    def fits(passage: Column) -> Column:
+    heavy = heavy_terms(squares, least)
+
+    def fits(text: Column, its_terms: Column) -> Column:
         # A lambda's value is computed once.
-        one = F.transform(F.array(F.array_intersect(terms(passage), known)), lambda held: can_reach(held, squares, least))
-        return F.element_at(one, 1)
+        one = F.transform(F.array(F.array_intersect(its_terms, known)), lambda held: can_reach(held, squares, least))
+        return F.when(holds_term(text, heavy), F.element_at(one, 1)).otherwise(False)
 
     # A passage holds no more terms than its file.
-    some = F.when(can_reach(F.col("held"), squares, least), passages(F.col("text"), fits))
+    some = F.when(fits(F.col("text"), F.col("words")), passages(F.col("text"), lambda p: fits(p, terms(p))))
     read = spool(
         files.withColumn("words", words)
-        .select("id", "path", "text", F.size("words").alias("n_terms"), F.array_intersect("words", known).alias("held"))
+        .select("id", "path", "text", F.size("words").alias("n_terms"), "words")
         .select(
             F.monotonically_increasing_id().alias("row"), "id", "path", "n_terms",
             F.coalesce(some, F.array().cast("array<string>")).alias("passages"),

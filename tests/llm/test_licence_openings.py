@@ -39,3 +39,20 @@ def test_openings_of_all_licences():
 @pytest.mark.parametrize("name", OPENINGS)
 def test_opening(told, name):
     assert (told[name].licence, told[name].origin) == (name, "own")
+
+
+def test_texts_without_a_heavy_term_cannot_reach_the_least():
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        weights = {f"t{i}": rng.random() ** 3 + 0.01 for i in range(rng.randrange(1, 9))}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        squares = {"x": {t: (w / norm) ** 2 for t, w in weights.items()}}
+        heavy = set(license_scan.heavy_terms(squares, 0.7))
+        for k in range(1, len(weights) + 1):
+            for held in itertools.combinations(weights, k):
+                if not heavy & set(held):
+                    assert math.sqrt(sum(squares["x"][t] for t in held)) < 0.7
