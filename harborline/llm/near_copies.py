@@ -1,4 +1,7 @@
-"""Near copies by exact Jaccard of word shingles, candidates from a prefix of each text's shingles."""
+"""Near copies: SimHash fingerprints in Burkhard-Keller trees, checked by the exact Jaccard of word shingles.
+
+What the trees cannot find is found by a prefix of each text's shingles, which loses no pair.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +10,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from harborline.llm.common import components
+from harborline.llm import simhash_dedup
+from harborline.llm.common import components, map_rows
 from harborline.session import release, spool
 
 SHINGLE = 5
 #: Least Jaccard as a fraction of whole numbers, so that pairs are decided exactly.
 LEAST = (4, 5)
+#: Trees link fingerprints within so many bits that agree in two of so many blocks of bits.
+RADIUS, BLOCKS = 12, 7
 #: Frequent shingles that are put last: at most so many, each in so many texts or more.
 FREQUENT, FREQUENT_TEXTS = 1 << 17, 32
 #: Shingles that a task counts at once.
@@ -45,6 +51,26 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(out).view(np.int64)
 
 
+def tree_pairs(nodes: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(a, b): pairs of texts (node, text) whose SimHash fingerprints are near, as Burkhard-Keller trees find them.
+
+    A fingerprint is that of the distinct shingles of a text, a shard that of query 2 with
+    other blocks. A lookup ends at the first fingerprint within the radius, so a dense
+    group gives a few pairs a text; equal fingerprints are paired with one of them.
+    """
+
+    def rows(names: list, texts: list) -> Iterable[tuple]:
+        return [(i, simhash_dedup.majority(shingle_hashes(t, shingle).view(np.uint64))) for i, t in zip(names, texts, strict=True)]
+
+    prints = spool(map_rows(nodes.select("node", text), rows, "name bigint, print bigint"), "near-prints")
+    named = spool(prints.groupBy("print").agg(F.min("name").alias("name")), "near-named")
+    equal = prints.join(named.withColumnRenamed("name", "first"), "print").where("name <> first").select("first", "name")
+    links = equal.union(simhash_dedup.shard_links(named, BLOCKS - 2, BLOCKS, RADIUS, hits=1)).toDF("a", "b")
+    pairs = spool(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-tree-pairs")
+    release(prints, named)
+    return pairs
+
+
 def _frequent(nodes: DataFrame, text: str, shingle: int) -> np.ndarray:
     """Shingles of very many texts, sorted: a bounded list that only sets the order of comparison.
 
@@ -77,7 +103,7 @@ def _frequent(nodes: DataFrame, text: str, shingle: int) -> np.ndarray:
 
 
 def prefix_keys(nodes: DataFrame, text: str, shingle: int, frequent: np.ndarray) -> DataFrame:
-    """(h, node, n): of the n shingles of a text, the first in one order of all shingles.
+    """(h, node, n, pos): of the n shingles of a text, the first in one order of all shingles, with their places.
 
     Two sets of the least Jaccard share that part of the larger one, so they share one of
     the first n - ceil(least n) + 1 shingles of either, in whatever order, if it is the same
@@ -96,9 +122,10 @@ def prefix_keys(nodes: DataFrame, text: str, shingle: int, frequent: np.ndarray)
                     often = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
                     h = np.concatenate([h[~often], h[often]])
                 h = h[: n + (-n * up // down) + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node)), pa.array(np.full(len(h), n, np.int32))], ["h", "node", "n"])
+                same = [np.full(len(h), node), np.full(len(h), n, np.int32), np.arange(len(h), dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, same)], ["h", "node", "n", "pos"])
 
-    return nodes.select("node", text).mapInArrow(run, "h bigint, node bigint, n int")
+    return nodes.select("node", text).mapInArrow(run, "h bigint, node bigint, n int, pos int")
 
 
 def _sets(nodes: DataFrame, text: str, shingle: int, pairs: DataFrame) -> DataFrame:
@@ -157,29 +184,56 @@ def _near(strong: DataFrame, nodes: DataFrame, text: str, shingle: int) -> DataF
     return found
 
 
+def _fit(n: Column, pos: Column, other: Column) -> Column:
+    """Whether the shingles from a place on are as many as the least Jaccard needs in common with a text of ``other`` shingles."""
+    up, down = LEAST
+    return (n - pos) * (up + down) >= (n + other) * up
+
+
 def near_components(nodes: DataFrame, text: str, shingle: int = SHINGLE) -> DataFrame | None:
     """(id, root) of the texts (node, text) that near copies join, roots left out; exact. None where there are none.
 
-    Texts that share a key are a group. In a round each text of a group that is not yet
-    joined throughout meets one of them, the one whose keys are shared most and that has not
-    been met; what is joined needs no comparison any more. As soon as the pairs that are left
-    are few beside the keys, or after some rounds, they are compared, all of them.
+    The pairs of the trees are checked first, and those that are near copies join their
+    texts. The rest is found by keys. Texts that share a key are a group. In a round each
+    text of a group that is not yet joined throughout meets one of them, the one whose keys
+    are shared most and that has not been met; what is joined needs no comparison any more.
+    As soon as the pairs that are left are few beside the keys, or after some rounds, they
+    are compared, all of them.
+
+    The first shingle that two near copies share has all others that they share behind it,
+    in both; so a pair is met only at a key behind which either holds as many as it needs.
     """
-    up, down = LEAST
     frequent = _frequent(nodes, text, shingle)
     # Dealt by key once; counting and joining read the same exchange.
     dealt = prefix_keys(nodes, text, shingle, frequent).repartition("h")
     shared = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     keyed = spool(dealt.join(shared, "h").distinct(), "near-keys")
     most = keyed.count()
-    keys = spool(keyed.groupBy("node").agg(F.collect_list("h").alias("held"), F.sum("m").alias("weight")), "near-lists")
-    # Keys with the same texts, such as those of one passage, give the same pairs: one of them is enough.
+    keys = spool(keyed.groupBy("node").agg(F.collect_list("h").alias("held"), F.sum("m").alias("weight"), F.max("n").alias("n")), "near-lists")
+    held = keys.select("node", "held")
+    # Keys with the same texts, such as those of one passage, give the same pairs: the first of them is enough.
     mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in range(2)]
-    members = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), *mark)
-    one = members.groupBy("m", "mark0", "mark1").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("alike")).select("h", "alike")
-    columns = ["h", "node", "n", "weight", "alike"]
-    keyed = spool(keyed.drop("m").join(one, "h"), "near-groups").join(keys.select("node", "weight"), "node").select(columns)
+    members = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("m"), *mark, F.min("pos").alias("first"), F.min("n").alias("least"))
+    one = members.groupBy("m", "mark0", "mark1").agg(F.min_by("h", "first").alias("h"), F.min("least").alias("least")).select("h", "least")
+    columns = ["h", "node", "n", "pos", "weight"]
+    # Texts that fit with none of the group, not even with the smallest, need not be in it.
+    groups = spool(keyed.drop("m").join(one, "h").where(_fit(F.col("n"), F.col("pos"), F.col("least"))), "near-groups")
+    keyed = groups.join(keys.select("node", "weight"), "node").select(columns)
     links, labels, old = None, None, []
+
+    def joined(strong: DataFrame) -> None:
+        """Compare the pairs whole, and join the texts of those that are near copies."""
+        nonlocal links, labels
+        found = _near(strong, nodes, text, shingle)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links, "near-components")
+
+    pairs = tree_pairs(nodes, text, shingle)
+    for side in ("a", "b"):
+        pairs = pairs.join(keys.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
+    fit = _fit(F.col("n_a"), F.lit(0), F.col("n_b")) & _fit(F.col("n_b"), F.lit(0), F.col("n_a"))
+    joined(spool(_enough(_both(pairs.where(fit), held)), "near-strong"))
     for number in range(STAR_ROUNDS + 1):
         now = keyed.withColumn("root", F.col("node"))
         if labels is not None:
@@ -196,32 +250,27 @@ def near_components(nodes: DataFrame, text: str, shingle: int = SHINGLE) -> Data
         last = number >= STAR_ROUNDS or 0 < number and left <= PAIRS * most
 
         def sized(pairs: DataFrame) -> DataFrame:
-            """Pairs of (node, n) structs x and y in order, of sizes that allow the least Jaccard."""
+            """Pairs of (node, n, pos) structs x and y in order, of sizes and places that allow the least Jaccard."""
             first = F.col("x.node") < F.col("y.node")
             names = (("a", F.least("x.node", "y.node")), ("b", F.greatest("x.node", "y.node")))
             sizes = (("n_a", F.when(first, F.col("x.n")).otherwise(F.col("y.n"))), ("n_b", F.when(first, F.col("y.n")).otherwise(F.col("x.n"))))
-            fit = (F.col("x.n") * down >= F.col("y.n") * up) & (F.col("y.n") * down >= F.col("x.n") * up)
-            return pairs.where(fit).select(*(c.alias(n) for n, c in (*names, *sizes)), "alike")
+            fit = [_fit(F.col(f"{x}.n"), F.col(f"{x}.pos"), F.col(f"{y}.n")) for x, y in ("xy", "yx")]
+            return pairs.where(fit[0] & fit[1]).select(*(c.alias(n) for n, c in (*names, *sizes))).distinct()
 
         if not last:
             # After the first round one of those texts, so that the group has one less of them.
             may = now if number == 0 else now.where("root <> big")
-            centre = spool(may.groupBy("h").agg(F.max_by(F.struct("node", "n", "root"), F.struct("weight", "node")).alias("y")), "near-centres")
-            met = now.withColumn("x", F.struct("node", "n")).join(centre, "h")
-            pairs = spool(sized(met.where("root <> y.root")).drop("alike").distinct(), "near-pairs")
-            strong = spool(_enough(_both(pairs, keys)), "near-strong")
-            release(pairs)
+            centre = spool(may.groupBy("h").agg(F.max_by(F.struct("node", "n", "pos", "root"), F.struct("weight", "node")).alias("y")), "near-centres")
+            met = now.withColumn("x", F.struct("node", "n", "pos")).join(centre, "h")
+            pairs = sized(met.where("root <> y.root"))
             keyed = met.where("node <> y.node").select(columns)
             old = [now, centre]
         else:
-            a, b = (now.select("h", F.struct("node", "n").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "big")), "alike") for c in "xy")
-            pairs = a.where("root_x <> big_x").join(b.drop("alike"), "h").where("root_x <> root_y and (root_y = big_y or x.node < y.node)")
-            # Every key that two texts share is met once, so the sum is all they share.
-            strong = spool(_enough(sized(pairs).groupBy("a", "b", "n_a", "n_b").agg(F.sum("alike").alias("both"))), "near-strong")
-        found = _near(strong, nodes, text, shingle)
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links, "near-components")
+            a, b = (now.select("h", F.struct("node", "n", "pos").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "big"))) for c in "xy")
+            pairs = sized(a.where("root_x <> big_x").join(b, "h").where("root_x <> root_y and (root_y = big_y or x.node < y.node)"))
+        pairs = spool(pairs, "near-pairs")
+        joined(spool(_enough(_both(pairs, held)), "near-strong"))
+        release(pairs)
         if last:
             break
     return labels
@@ -230,7 +279,9 @@ def near_components(nodes: DataFrame, text: str, shingle: int = SHINGLE) -> Data
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies those of the smallest key.
 
-    Two texts are near copies where the sets of their word shingles have a Jaccard of
+    Candidates are the neighbours of SimHash fingerprints in Burkhard-Keller trees, then
+    the texts that share keys and are not joined yet; every link is checked exactly. Two
+    texts are near copies where the sets of their word shingles have a Jaccard of
     4/5 or more; groups are what near copies join. Words are as in query 2. Rows with
     a null key stay and join no others; rows that repeat key and text stay or go
     together. An empty table gives no rows; columns of any name are carried.

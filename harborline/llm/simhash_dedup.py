@@ -30,11 +30,16 @@ def fingerprint(text: str | None, shingle: int) -> int:
     hashes = np.fromiter(
         (digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n
     )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 65_536):
+    for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n).view(">u8")[0].astype(np.uint64).astype(np.int64))
+    return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0].astype(np.uint64).astype(np.int64))
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -70,15 +75,15 @@ class BKTree:
     def __init__(self, value: int, name: int) -> None:
         self.root: tuple[int, int, dict] = (value, name, {})
 
-    def add(self, value: int, name: int, radius: int) -> list[int]:
-        """Insert a value; the names of those within the radius of it.
+    def add(self, value: int, name: int, radius: int, hits: int | None = None) -> list[int]:
+        """Insert a value; the names of those within the radius of it, or the first so many met.
 
         Only edges whose distance is within ``radius`` of the distance to the
         parent can lead to a hit.
         """
         near: list[int] = []
         open_nodes = [self.root]
-        while open_nodes:
+        while open_nodes and len(near) != hits:
             there, label, children = open_nodes.pop()
             d = (value ^ there).bit_count()
             if d <= radius:
@@ -98,14 +103,16 @@ class BKTree:
             node = child
 
 
-def shard_links(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
+def shard_links(prints: DataFrame, distance: int, blocks: int, radius: int | None = None, hits: int | None = None) -> DataFrame:
     """Links (a, b) that join all fingerprints within the distance, no pair list.
 
     Each shard gets a tree; a fingerprint is looked up as it is inserted, and only
     links that join two parts of a shard leave it, so a dense group of n
-    fingerprints gives n - 1 links.
+    fingerprints gives n - 1 links. A ``radius`` beyond the distance links what
+    meets in a shard up to it; with ``hits`` a lookup ends after so many.
     """
     mask = (1 << BITS) - 1
+    radius = distance if radius is None else radius
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
@@ -117,7 +124,7 @@ def shard_links(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
                 if tree is None:
                     tree = BKTree(value, name)
                     continue
-                for other in tree.add(value, name, distance):
+                for other in tree.add(value, name, radius, hits):
                     if union.find(other) != union.find(name):
                         union.join(other, name)
                         a.append(name)
