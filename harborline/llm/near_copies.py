@@ -72,7 +72,7 @@ def tree_pairs(nodes: DataFrame, text: str, shingle: int) -> DataFrame:
 
 
 def _frequent(nodes: DataFrame, text: str, shingle: int) -> np.ndarray:
-    """Shingles of very many texts, sorted: a bounded list that only sets the order of comparison.
+    """Shingles of very many texts, the most frequent last: a bounded list that only sets the order of comparison.
 
     Every text is counted. A task sends on what it has met twice, so a shingle that is
     frequent anywhere is found, and one spread thinly over all tasks may stay unlisted.
@@ -99,7 +99,7 @@ def _frequent(nodes: DataFrame, text: str, shingle: int) -> np.ndarray:
 
     met = nodes.select(text).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     top = met.where(F.col("n") >= FREQUENT_TEXTS).orderBy(F.desc("n"), "h").limit(FREQUENT)
-    return np.sort(np.array([r["h"] for r in top.select("h").collect()], np.int64))
+    return np.array([r["h"] for r in top.select("h").collect()], np.int64)[::-1]
 
 
 def prefix_keys(nodes: DataFrame, text: str, shingle: int, frequent: np.ndarray) -> DataFrame:
@@ -107,20 +107,23 @@ def prefix_keys(nodes: DataFrame, text: str, shingle: int, frequent: np.ndarray)
 
     Two sets of the least Jaccard share that part of the larger one, so they share one of
     the first n - ceil(least n) + 1 shingles of either, in whatever order, if it is the same
-    for all. Here it is the hash, after which come the frequent ones.
+    for all. Here it is the hash, after which come the frequent ones by their frequency, so
+    that what most texts hold comes last.
     """
     up, down = LEAST
-    listed = nodes.sparkSession.sparkContext.broadcast(frequent)
+    place = np.argsort(frequent)
+    listed = nodes.sparkSession.sparkContext.broadcast((frequent[place], place))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = listed.value
+        late, place = listed.value
         for batch in batches:
             for node, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = shingle_hashes(value.as_py(), shingle)
                 n = len(h)
                 if len(late):
-                    often = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
-                    h = np.concatenate([h[~often], h[often]])
+                    at = np.minimum(np.searchsorted(late, h), len(late) - 1)
+                    often = late[at] == h
+                    h = np.concatenate([h[~often], h[often][np.argsort(place[at[often]])]])
                 h = h[: n + (-n * up // down) + 1]
                 same = [np.full(len(h), node), np.full(len(h), n, np.int32), np.arange(len(h), dtype=np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, same)], ["h", "node", "n", "pos"])

@@ -127,3 +127,11 @@ def test_variants_that_are_not_near_copies_make_few_pairs(spark, monkeypatch):
     want, linked = plain_stay(rows)
     assert got == want and len(want) > 80 and len(linked) > 1000
     assert sum(met) < 40 * len(rows)
+
+
+def test_the_most_frequent_shingles_come_last(spark):
+    both = {int(near_copies.shingle_hashes(t, 5)[0]): t for t in ("a b c d e", "f g h i j")}
+    often, less = sorted(both)  # by the hash alone they would come the other way
+    texts = [" ".join([both[often], *(f"x{i}_{k}" for k in range(5)), both[less] if i < 40 else ""]) for i in range(60)]
+    nodes = frame(spark, enumerate(texts), 1).selectExpr("doc_id as node", "text")
+    assert near_copies._frequent(nodes, "text", 5).tolist() == [less, often]
