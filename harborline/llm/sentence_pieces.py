@@ -21,8 +21,10 @@ from harborline.llm.common import SLICE_ROWS
 SPACE = "▁"
 #: Segmentations of a text.
 N_BEST = 4
-#: Chunks, and ids of theirs, that a worker remembers before it starts anew.
+#: Chunks, and ids of theirs, that a worker remembers before it forgets those met once.
 REMEMBERED, REMEMBERED_IDS = 200_000, 2_000_000
+#: Characters whose pieces are looked up at once, and how many such lookups are remembered.
+WINDOW, WINDOWS = 3, 1 << 15
 #: Longest chunk whose n best segmentations are remembered, and of how many.
 REMEMBERED_CHARS, REMEMBERED_OPTIONS = 64, 20_000
 
@@ -53,6 +55,7 @@ class Pieces:
         #: Pieces as (ids, score); proper prefixes of pieces as an empty tuple.
         self.table: dict[str, tuple] = {p[:n]: () for p in self.ids for n in range(1, len(p))}
         self.table |= {p: ((i,), s) for p, (i, s) in self.ids.items()}
+        self.windows: dict[str, tuple[tuple, bool]] = {}
         self.fallback = min(s for _, s in self.ids.values() if s > -1e8) - 10.0
         self.chunks = re.compile(self._chunk_pattern(), re.DOTALL)
 
@@ -106,38 +109,57 @@ class Pieces:
         second edge, and is best from there on; so the loss is the least gap between
         the two best edges into a place of the path.
         """
-        size, get = len(chunk), self.table.get
+        size, get, windows = len(chunk), self.table.get, self.windows
         best, second = [-1e300] * (size + 1), [-1e300] * (size + 1)
         back: list = [None] * (size + 1)
         best[0] = 0.0
         for i in range(size):
-            here, j = best[i], i + 1
-            piece = get(chunk[i:j])
-            if not piece:
-                score = here + self.fallback
-                spelt = tuple(self.bytes[b] for b in chunk[i].encode("utf-8", "surrogatepass"))
+            here, window = best[i], chunk[i : i + WINDOW]
+            edges, more = windows.get(window) or self._window(window)
+            for edge in edges:
+                j, score = i + edge[0], here + edge[2]
                 if score > best[j]:
-                    second[j], best[j], back[j] = best[j], score, (i, spelt)
+                    second[j], best[j], back[j] = best[j], score, edge
                 elif score > second[j]:
                     second[j] = score
-            while piece is not None:
-                if piece:
-                    score = here + piece[1]
-                    if score > best[j]:
-                        second[j], best[j], back[j] = best[j], score, (i, piece[0])
-                    elif score > second[j]:
-                        second[j] = score
-                j += 1
-                if j > size:
-                    break
-                piece = get(chunk[i:j])
+            if more:
+                for j in range(i + WINDOW + 1, size + 1):
+                    piece = get(chunk[i:j])
+                    if piece is None:
+                        break
+                    if piece:
+                        score = here + piece[1]
+                        if score > best[j]:
+                            second[j], best[j], back[j] = best[j], score, (j - i, *piece)
+                        elif score > second[j]:
+                            second[j] = score
         at, parts, loss = size, [], float("inf")
         while at:
-            loss = min(loss, best[at] - second[at])
-            at, ids = back[at]
+            gap = best[at] - second[at]
+            if gap < loss:
+                loss = gap
+            long, ids, _ = back[at]
+            at -= long
             parts.append(ids)
         return best[size], tuple([i for ids in reversed(parts) for i in ids]), loss if loss < 1e200 else float("inf")
 
+    def _window(self, window: str) -> tuple[tuple, bool]:
+        """Edges (length, ids, score) at the start of some characters, shortest first, and whether longer pieces may follow."""
+        if len(self.windows) >= WINDOWS:
+            self.windows.clear()
+        edges, piece = [], None
+        for n in range(1, len(window) + 1):
+            piece = self.table.get(window[:n])
+            if piece:
+                edges.append((n, *piece))
+            elif n == 1:
+                # Spelt in bytes; longer pieces from here are still looked for.
+                edges.append((1, tuple(self.bytes[b] for b in window[0].encode("utf-8", "surrogatepass")), self.fallback))
+            if piece is None:
+                break
+        found = self.windows[window] = tuple(edges), piece is not None and len(window) == WINDOW
+        return found
+
     def n_best(self, chunk: str, n: int) -> Iterator[tuple[float, tuple[int, ...]]]:
         """Up to n best segmentations of a chunk, best first: score and ids.
 
@@ -193,10 +215,21 @@ class Encoder:
         self.ids, self.starts, self.counts = array("i"), array("q"), array("q")
         self.scores, self.losses = array("d"), array("d")
         self.options: dict[int, list[tuple[float, np.ndarray]]] = {}
+        self.met = np.zeros(0, np.int64)
         # No chunk is empty: the empty name is a space mark that stands in the text itself, spelt in bytes.
         self._add("", 3 * self.pieces.fallback, tuple(self.pieces.bytes[b] for b in SPACE.encode()), float("inf"))
 
-    def _add(self, name: str, score: float, ids: tuple[int, ...], loss: float) -> int:
+    def forget(self) -> None:
+        """Keep the chunks met more than once since the last time, the most met of them, and at most half of what is remembered."""
+        ids, starts, counts, scores, losses, names, met = self.ids, self.starts, self.counts, self.scores, self.losses, self.names, self.met
+        often = np.flatnonzero(met[1:] > 1) + 1
+        often = often[np.argsort(-met[often], kind="stable")]
+        few = np.cumsum(np.array(counts)[often]) <= REMEMBERED_IDS // 2
+        self.clear()
+        for k in often[few][: REMEMBERED // 2].tolist():
+            self._add(names[k], scores[k], ids[starts[k] : starts[k] + counts[k]], losses[k])
+
+    def _add(self, name: str, score: float, ids: tuple[int, ...] | array, loss: float) -> int:
         at = self.number[name] = len(self.names)
         self.names.append(name)
         self.starts.append(len(self.ids))
@@ -229,11 +262,14 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[list[tuple[float, np.ndarray]]]:
         """For every text the n best (score, ids); no piece spans chunks, so their lattices are independent."""
         if len(self.names) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
-            self.clear()
+            self.forget()
         numbers = [self._numbers(t) if t else [] for t in texts]
         sizes = np.array([len(x) for x in numbers], np.int64)
         flat = np.fromiter(itertools.chain.from_iterable(numbers), np.int64, int(sizes.sum()))
         ends = np.cumsum(sizes)
+        met = np.bincount(flat, minlength=len(self.names))
+        met[: len(self.met)] += self.met
+        self.met = met
         # Copies, as the tables grow again with the next batch.
         ids, starts, counts = np.array(self.ids, np.int32), np.array(self.starts)[flat], np.array(self.counts)[flat]
         scores, losses = np.array(self.scores)[flat], np.array(self.losses)[flat]

@@ -188,3 +188,17 @@ def test_repeat_to_mix_carries_columns_of_any_name(spark):
     got = out.collect()
     assert got and {repr(tuple(r)) for r in got} <= set(map(repr, rows)) and all(r["_copy"] == r["doc_id"] for r in got)
     assert source_mix.repeat_to_mix(df.limit(0)).count() == 0
+
+
+def test_chunks_met_again_are_remembered(monkeypatch):
+    from harborline.llm import sentence_pieces
+    from harborline.llm.queries import PIECE_MODEL
+
+    pieces = sentence_pieces.Pieces(PIECE_MODEL)
+    texts = ["again " * 3 + " ".join(f"once{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}x" for i in range(60)), "again and again \U0001d4b3"]
+    want = [sentence_pieces.Encoder(pieces, 4).encode(t) for t in texts]
+    encoder, found, plain = sentence_pieces.Encoder(pieces, 4), [], pieces.viterbi
+    monkeypatch.setattr(sentence_pieces, "REMEMBERED", 40)
+    monkeypatch.setattr(pieces, "viterbi", lambda chunk: found.append(chunk) or plain(chunk))
+    assert [encoder.encode(t) for t in texts] == want
+    assert found.count("▁again") == 1 and len(encoder.names) < 40
