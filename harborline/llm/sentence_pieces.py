@@ -27,6 +27,8 @@ REMEMBERED, REMEMBERED_IDS = 200_000, 2_000_000
 WINDOW, WINDOWS = 3, 1 << 15
 #: Longest chunk whose n best segmentations are remembered, and of how many.
 REMEMBERED_CHARS, REMEMBERED_OPTIONS = 64, 20_000
+#: Least and most chunks whose lattices are passed side by side, and characters of the longest of them.
+TOGETHER_LEAST, TOGETHER_MOST, TOGETHER_CHARS = 128, 4096, 64
 
 
 class Pieces:
@@ -56,6 +58,14 @@ class Pieces:
         self.table: dict[str, tuple] = {p[:n]: () for p in self.ids for n in range(1, len(p))}
         self.table |= {p: ((i,), s) for p, (i, s) in self.ids.items()}
         self.windows: dict[str, tuple[tuple, bool]] = {}
+        #: Steps of the trie of pieces, as node and next character in one sorted number, the node reached, and its piece or -1.
+        nodes = {"": 0} | {p: k for k, p in enumerate(self.table, 1)}
+        steps = np.array([nodes[p[:-1]] << 21 | ord(p[-1]) for p in self.table], np.int64)
+        order = np.argsort(steps)
+        self.steps, self.reached = steps[order], order + 1
+        self.node_ids = np.array([-1] + [x[0][0] if x else -1 for x in self.table.values()], np.int32)
+        self.node_scores = np.array([0.0] + [x[1] if x else 0.0 for x in self.table.values()])
+        self.letters = {p for p in self.ids if len(p) == 1}
         self.fallback = min(s for _, s in self.ids.values() if s > -1e8) - 10.0
         self.chunks = re.compile(self._chunk_pattern(), re.DOTALL)
 
@@ -143,6 +153,60 @@ class Pieces:
             parts.append(ids)
         return best[size], tuple([i for ids in reversed(parts) for i in ids]), loss if loss < 1e200 else float("inf")
 
+    def fits_together(self, chunk: str) -> bool:
+        return len(chunk) <= TOGETHER_CHARS and self.letters.issuperset(chunk)
+
+    def viterbi_together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``viterbi`` of chunks whose characters are all pieces, side by side: scores, ids one after another, their counts, losses.
+
+        The chunks step through the trie together, a character at a time, and then through
+        their places: edges from one place of many chunks lead to different ends.
+        """
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        number = np.repeat(np.arange(len(chunks)), sizes)
+        start = np.cumsum(sizes) - sizes
+        place = np.arange(len(codes)) - start[number]
+        left = sizes[number] - place
+        edges, at, node, n = [], np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
+        while len(at):
+            step = node << 21 | codes[at + n]
+            found = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            known = self.steps[found] == step
+            at, node, n = at[known], self.reached[found[known]], n + 1
+            piece = self.node_ids[node] >= 0
+            # A chunk of some characters has a place more than it has characters.
+            edges.append((at[piece], (at + number[at])[piece], np.full(int(piece.sum()), n), node[piece]))
+            more = left[at] > n
+            at, node = at[more], node[more]
+        at, begin, long, node = (np.concatenate(x) for x in zip(*edges, strict=True))
+        order = np.argsort(place[at].astype(np.int16), kind="stable")
+        begin, end, score, ids = begin[order], (begin + long)[order], self.node_scores[node[order]], self.node_ids[node[order]]
+        first = start + np.arange(len(chunks))
+        best, second = np.full(len(codes) + len(chunks), -1e300), np.full(len(codes) + len(chunks), -1e300)
+        back = np.zeros(len(best), np.int64)
+        best[first] = 0.0
+        cuts = np.append(0, np.cumsum(np.bincount(place[at])))
+        for a, b in pairwise(cuts.tolist()):
+            ends, now = end[a:b], best[begin[a:b]] + score[a:b]
+            old = best[ends]
+            better = now > old
+            second[ends] = np.where(better, old, np.maximum(second[ends], now))
+            best[ends] = np.where(better, now, old)
+            back[ends] = np.where(better, np.arange(a, b), back[ends])
+        losses, which, at = np.full(len(chunks), np.inf), np.arange(len(chunks)), first + sizes
+        scores, path = best[at], []
+        while len(which):
+            losses[which] = np.minimum(losses[which], best[at] - second[at])
+            edge = back[at]
+            path.append((which, ids[edge]))
+            at = begin[edge]
+            open_ = at > first[which]
+            which, at = which[open_], at[open_]
+        which, ids = (np.concatenate(x) for x in zip(*reversed(path), strict=True))
+        losses[losses >= 1e200] = np.inf
+        return scores, ids[np.argsort(which, kind="stable")], np.bincount(which, minlength=len(chunks)), losses
+
     def _window(self, window: str) -> tuple[tuple, bool]:
         """Edges (length, ids, score) at the start of some characters, shortest first, and whether longer pieces may follow."""
         if len(self.windows) >= WINDOWS:
@@ -197,6 +261,14 @@ class Pieces:
             yield -whole, tuple(flat)
 
 
+class Numbers(dict[str, int]):
+    """Names numbered in the order in which they are first looked up."""
+
+    def __missing__(self, name: str) -> int:
+        self[name] = number = len(self)
+        return number
+
+
 class Encoder:
     """Encodes whole texts, remembering the lattices of frequent chunks.
 
@@ -209,7 +281,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.names: list[str] = []
         #: By number: ids from a start on, their count, score, loss of the second best segmentation.
         self.ids, self.starts, self.counts = array("i"), array("q"), array("q")
@@ -217,55 +289,66 @@ class Encoder:
         self.options: dict[int, list[tuple[float, np.ndarray]]] = {}
         self.met = np.zeros(0, np.int64)
         # No chunk is empty: the empty name is a space mark that stands in the text itself, spelt in bytes.
-        self._add("", 3 * self.pieces.fallback, tuple(self.pieces.bytes[b] for b in SPACE.encode()), float("inf"))
+        self._take([""], np.array([3 * self.pieces.fallback]), np.array([np.inf]), np.array([3]), np.array([self.pieces.bytes[b] for b in SPACE.encode()]))
 
     def forget(self) -> None:
         """Keep the chunks met more than once since the last time, the most met of them, and at most half of what is remembered."""
-        ids, starts, counts, scores, losses, names, met = self.ids, self.starts, self.counts, self.scores, self.losses, self.names, self.met
+        names, met, scores, losses, counts = self.names, self.met, np.array(self.scores), np.array(self.losses), np.array(self.counts)
         often = np.flatnonzero(met[1:] > 1) + 1
         often = often[np.argsort(-met[often], kind="stable")]
-        few = np.cumsum(np.array(counts)[often]) <= REMEMBERED_IDS // 2
+        often = often[np.cumsum(counts[often]) <= REMEMBERED_IDS // 2][: REMEMBERED // 2]
+        ids = _stretches(np.array(self.ids, np.int32), np.array(self.starts)[often], counts[often])
         self.clear()
-        for k in often[few][: REMEMBERED // 2].tolist():
-            self._add(names[k], scores[k], ids[starts[k] : starts[k] + counts[k]], losses[k])
-
-    def _add(self, name: str, score: float, ids: tuple[int, ...] | array, loss: float) -> int:
-        at = self.number[name] = len(self.names)
-        self.names.append(name)
-        self.starts.append(len(self.ids))
-        self.counts.append(len(ids))
-        self.ids.extend(ids)
-        self.scores.append(score)
-        self.losses.append(loss)
-        return at
-
-    def _chunk(self, name: str) -> int:
-        score, ids, loss = self.pieces.viterbi(name)
-        return self._add(name, score, ids, loss)
-
-    def _numbers(self, text: str) -> list[int | None]:
-        find, get = self.pieces.chunks.findall, self.number.get
+        self._take([names[k] for k in often.tolist()], scores[often], losses[often], counts[often], ids)
+
+    def _take(self, names: list[str], scores: np.ndarray, losses: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Number and add chunks whose ids come one after another."""
+        self.number.update(zip(names, itertools.count(len(self.names))))
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+        self._add(names, scores, losses, starts, counts)
+
+    def _add(self, names: list[str], scores: np.ndarray, losses: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        self.names += names
+        for own, new in ((self.scores, scores), (self.losses, losses), (self.starts, starts), (self.counts, counts)):
+            own.frombytes(new.tobytes())
+
+    def _numbers(self, text: str) -> np.ndarray:
+        find = self.pieces.chunks.findall
         names: list[str] = []
         for k, plain in enumerate(f" {text}".split(SPACE)):
             if k:
                 names.append("")
             names += find(plain.replace(" ", SPACE))
-        numbers = list(map(get, names))
-        if None in numbers:
-            for k, x in enumerate(numbers):
-                if x is None:
-                    # A chunk that comes twice in the text is known the second time.
-                    found = get(names[k])
-                    numbers[k] = self._chunk(names[k]) if found is None else found
-        return numbers
+        return np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+
+    def _learn(self) -> None:
+        """Score the chunks that have no more than a number yet; those of known characters side by side, where they are many."""
+        fresh = list(itertools.islice(self.number, len(self.names), None))
+        for at in range(0, len(fresh), TOGETHER_MOST):
+            names = fresh[at : at + TOGETHER_MOST]
+            fit = np.fromiter(map(self.pieces.fits_together, names), bool, len(names))
+            if fit.sum() < TOGETHER_LEAST:
+                fit[:] = False
+            scores, losses, counts, starts = np.empty(len(names)), np.empty(len(names)), np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+            if fit.any():
+                scores[fit], ids, counts[fit], losses[fit] = self.pieces.viterbi_together([names[k] for k in np.flatnonzero(fit)])
+                starts[fit] = len(self.ids) + np.cumsum(counts[fit]) - counts[fit]
+                self.ids.frombytes(ids.astype(np.int32).tobytes())
+            for k in np.flatnonzero(~fit).tolist():
+                scores[k], ids, losses[k] = self.pieces.viterbi(names[k])
+                starts[k], counts[k] = len(self.ids), len(ids)
+                self.ids.extend(ids)
+            self._add(names, scores, losses, starts, counts)
 
     def batch(self, texts: list[str | None]) -> list[list[tuple[float, np.ndarray]]]:
         """For every text the n best (score, ids); no piece spans chunks, so their lattices are independent."""
         if len(self.names) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
             self.forget()
-        numbers = [self._numbers(t) if t else [] for t in texts]
+        numbers = [self._numbers(t) if t else np.empty(0, np.int64) for t in texts]
+        self._learn()
         sizes = np.array([len(x) for x in numbers], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(numbers), np.int64, int(sizes.sum()))
+        flat = np.concatenate([np.empty(0, np.int64), *numbers])
         ends = np.cumsum(sizes)
         met = np.bincount(flat, minlength=len(self.names))
         met[: len(self.met)] += self.met
@@ -274,7 +357,7 @@ class Encoder:
         ids, starts, counts = np.array(self.ids, np.int32), np.array(self.starts)[flat], np.array(self.counts)[flat]
         scores, losses = np.array(self.scores)[flat], np.array(self.losses)[flat]
         places = np.cumsum(counts) - counts  # of each chunk's ids among those of the batch
-        taken = ids[np.repeat(starts - places, counts) + np.arange(counts.sum())]
+        taken = _stretches(ids, starts, counts)
         out = []
         for text, size, end in zip(texts, sizes.tolist(), ends.tolist(), strict=True):
             if text is None or not size:
@@ -328,20 +411,22 @@ class Encoder:
         return states[1:]
 
 
+def _stretches(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after another."""
+    return values[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+
+
 class Decoder:
-    """Bytes of pieces in one flat table."""
+    """Bytes of pieces in one flat array."""
 
     def __init__(self, pieces: Pieces) -> None:
-        self.flat = np.frombuffer(b"".join(pieces.out), np.uint8)
-        self.counts = np.array([len(p) for p in pieces.out], np.int64)
-        self.starts = np.cumsum(self.counts) - self.counts
+        self.out = pa.array(pieces.out, pa.large_binary())
 
     def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of consecutive stretches of ids, each up to its end; what is no UTF-8 gives U+FFFD."""
-        counts = self.counts[ids]
-        done = np.cumsum(counts)
-        whole = self.flat[np.repeat(self.starts[ids] - done + counts, counts) + np.arange(counts.sum())].tobytes()
-        cuts = np.append(0, done)[np.append(0, ends)].tolist()
+        _, starts, whole = self.out.take(pa.array(ids)).buffers()
+        whole = whole.to_pybytes() if whole else b""
+        cuts = np.frombuffer(starts, np.int64)[np.append(0, ends)].tolist() if len(ids) else [0] * (len(ends) + 1)
         return [whole[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in itertools.pairwise(cuts)]
 
 
