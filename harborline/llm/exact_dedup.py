@@ -110,23 +110,20 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     """The rows of ``docs`` that stay, one for each text, with the columns of ``docs``.
 
     Of rows that repeat id and text one stays; a text that only null ids have keeps one
-    row. The rows that go are a narrow list of (id, digest) which grows with the
-    documents, so it is never broadcast: whole texts are shuffled once, repeats of a row
-    leave before that. An empty table gives no rows; columns of any name are carried.
+    row. The texts that stay are a narrow list of (id, digest), one for each text, which grows
+    with the documents, so it is never broadcast: whole texts are shuffled once, repeats of a
+    row leave before that, and the copies of a text meet nowhere. An empty table gives no
+    rows; columns of any name are carried.
     """
-    found = exact_dedup(docs, key, text, keep)
-    gone = spool(
-        found.groupBy(F.col(key).alias("id"), F.col("text_sha256").alias("digest")).agg(F.max("kept").alias("kept")).where("not kept"), "copies"
-    )
 
     def place(id: Column, digest: Column) -> Column:
         return F.concat_ws(":", digest, id.cast("string"))
 
+    stays = tree_merge(digest_runs(docs, key, text), keep).select(place(F.col("keep_id"), F.col("digest")).alias("place"))
     # One struct holds the row, so that no column of it can clash with those of the join. One
     # place of id and digest leads both the ranking and the join, so they share the shuffle.
     digest = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), place(docs[key].cast("bigint"), digest).alias("place"))
     once = Window.partitionBy("place").orderBy(F.lit(1))
     single = rows.withColumn("nth", F.row_number().over(once)).where("nth = 1")
-    marks = gone.select(place(F.col("id"), F.col("digest")).alias("place")).hint("merge")
-    return single.join(marks, "place", "left_anti").select("row.*")
+    return single.join(stays.hint("merge"), "place", "left_semi").select("row.*")
