@@ -14,19 +14,37 @@ ARRIVAL = ["_file", "_block", "_line"]
 FILE_BYTES = "_file_bytes"
 
 
+def _first_lines(spark: SparkSession, files, path) -> tuple[str, ...]:
+    """The text of a file, packed or not, up to the first line that is not blank."""
+    jvm, raw, lines = spark._jvm, files.open(path), []
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(path)
+        text = jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8")
+        reader = jvm.java.io.BufferedReader(text)
+        while (line := reader.readLine()) is not None:
+            lines.append(line)
+            if line.strip():
+                break
+    finally:
+        raw.close()
+    return tuple(lines)
+
+
 def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files under a path by their header; one short read per file."""
+    """Files under a path by their header; Spark reads it once for files that begin alike."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(folder):
         spark.read.csv(path)  # raises as Spark does for a missing path
-    listed, found = files.listFiles(folder, True), {}
+    listed, found, known = files.listFiles(folder, True), {}, {}
     while listed.hasNext():
         file = listed.next()
         name = file.getPath().getName()
         if file.getLen() and not name.startswith(("_", ".")):
-            header = spark.read.option("header", True).option("escape", '"').csv(file.getPath().toString()).columns
-            found.setdefault(tuple(header), []).append(file.getPath().toString())
+            begins = _first_lines(spark, files, file.getPath())
+            if begins not in known:
+                known[begins] = spark.read.option("header", True).option("escape", '"').csv(file.getPath().toString()).columns
+            found.setdefault(tuple(known[begins]), []).append(file.getPath().toString())
     return found
 
 

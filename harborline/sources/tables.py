@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from harborline import schema
-from harborline.session import spool
+from harborline.session import release, shuffles_dropped, slice_of, spool, spool_parts
 from harborline.sources.conform import conform, unreadable
 from harborline.sources.csv_load import ARRIVAL, FILE_BYTES, load_csv, split_good_bad
 from harborline.sources.views import small_table
@@ -17,6 +17,8 @@ from harborline.sources.views import small_table
 REJECTED = "rejected_rows"
 #: Buckets of a key table that is made anew; an existing one keeps its own number.
 KEY_BUCKETS = 32
+#: Slices of the keys that a load takes one after the other: a shuffle holds one of them.
+LOAD_SLICES = 2
 REPORT = [
     "table_name", "status", "method", "rows_read", "rows_inserted", "rows_duplicate", "rows_errored",
     "long_texts", "duration_sec", "file_bytes",
@@ -79,19 +81,21 @@ def stored_keys(spark: SparkSession, table: str) -> DataFrame:
 
 def _write_keys(keys: DataFrame, table: str, overwrite: bool = False) -> None:
     """One file a bucket."""
-    spark, name = keys.sparkSession, key_table(table)
-    dealt = spool(keys, "keys").repartition(_buckets(spark, table), schema.KEYS[table])
-    dealt.write.insertInto(name, overwrite=overwrite)
+    dealt = keys.repartition(_buckets(keys.sparkSession, table), schema.KEYS[table])
+    dealt.write.insertInto(key_table(table), overwrite=overwrite)
 
 
-def append_unstored(rows: DataFrame, table: str, order: Sequence[str]) -> DataFrame:
+def append_unstored(rows: DataFrame, table: str, order: Sequence[str], nth: int | None = None) -> DataFrame:
     """Rows to insert into a stored table: the first of each key that the table lacks.
 
     The new rows are dealt like the key table's buckets, so that a load moves its own rows
-    and reads the stored keys where they lie; the stored table is not read.
+    and reads the stored keys where they lie; the stored table is not read. With ``nth``,
+    those of one slice of the keys.
     """
     spark, key = rows.sparkSession, schema.KEYS[table]
     held = stored_keys(spark, table)
+    if nth is not None:
+        rows, held = (df.where(slice_of(key, LOAD_SLICES) == nth) for df in (rows, held))
     first = _first_of_keys(rows, [key], order)
     return first.repartition(_buckets(spark, table), key).join(held, key, "left_anti")
 
@@ -117,13 +121,18 @@ def _first_of_keys(incoming: DataFrame, keys: Sequence[str], order: Sequence[str
 
 def insert(rows: DataFrame, table: str) -> int:
     """Append rows to a stored table; how many there were, counted in the staged files."""
+    return _insert_spooled(spool(rows, "insert"), table)
+
+
+def _insert_spooled(rows: DataFrame, table: str) -> int:
     spark, part = rows.sparkSession, schema.PARTITIONS[table][0]
-    rows = spool(rows, "insert")
     named = rows.withColumn(part, partition_value(table)).select(*spark.table(table).columns)
     # Rebalance keeps files large and splits a hot month over many tasks.
     named.hint("rebalance", part).write.insertInto(table)
     _write_keys(rows.select(schema.KEYS[table]), table)
-    return rows.count()
+    inserted = rows.count()
+    release(rows)
+    return inserted
 
 
 def reject(bad: DataFrame, table: str) -> int:
@@ -131,11 +140,18 @@ def reject(bad: DataFrame, table: str) -> int:
     spark = bad.sparkSession
     rows = spool(bad.select(F.lit(table).alias("table_name"), "_file", "reason", "record"), "rejected")
     rows.select(*(F.col(c).cast("string") for c in rows.columns), F.current_timestamp()).write.insertInto(REJECTED)
-    return rows.count()
+    rejected = rows.count()
+    release(rows)
+    return rejected
 
 
 def load_table(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> tuple:
     """Read, stage, conform and append one CSV input; a report row."""
+    with shuffles_dropped(spark):
+        return _load_table(spark, path, table, multi_line)
+
+
+def _load_table(spark: SparkSession, path: str, table: str, multi_line: bool) -> tuple:
     begun = time.monotonic()
     contract, key = schema.CONTRACTS[table], schema.KEYS[table]
     read, bad = split_good_bad(load_csv(spark, path, contract, multi_line))
@@ -157,7 +173,10 @@ def load_table(spark: SparkSession, path: str, table: str, multi_line: bool = Fa
     zero = F.lit(0)
     counts = files.agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("good", "long_texts", "bytes"))).first()
     errored = reject(bad.unionByName(left_out), table)
-    inserted = insert(append_unstored(rows, table, ARRIVAL), table)
+    fresh = (append_unstored(rows.drop(FILE_BYTES), table, ARRIVAL, nth).drop(*ARRIVAL) for nth in range(LOAD_SLICES))
+    staged = spool_parts(fresh, "insert")
+    release(read)
+    inserted = _insert_spooled(staged, table)
     status = "success" if errored == 0 else "partial"
     return (
         table, status, "csv", counts["good"] + errored, inserted, counts["good"] - inserted, errored,

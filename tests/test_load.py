@@ -1,11 +1,16 @@
+import gzip
 import json
+import time
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameReader, functions as F
 
 from harborline import schema
 from harborline.operators import monitoring
+from harborline.plans import catalog
+from harborline.session import scratch_root
 from harborline.sources import conform, csv_load, pipeline, readers, sinks, tables, views
 
 HEADER = "shipment_id,carrier,origin_port,destination_port,transport_mode,status,created_date,delay_hours,insurance_required"
@@ -203,3 +208,78 @@ def test_loads_again_and_after_lost_or_foreign_keys(spark, tmp_path):
     assert _load(session, ["A", "D", "E"]) == 1
     assert sorted(r[0] for r in session.table("route_events_keys").collect()) == ["A", "B", "C", "D", "E"]
     assert session.table("route_events").count() == 5
+
+
+def _files(spark, *labels):
+    """Files of the scratch area below the labels, and shuffle files of this process."""
+    root = Path(scratch_root(spark).removeprefix("file:")) / "harborline"
+    spooled = {str(f) for label in labels for f in root.glob(f"{label}-*/**/*.parquet")}
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return spooled, {f for f in blocks.split("\n") if "/shuffle_" in f}
+
+
+def _left_by(spark, run, *labels):
+    spooled, shuffled = _files(spark, *labels)
+    run()
+    for _ in range(50):  # shuffle files go in the background
+        now = _files(spark, *labels)
+        if not now[1] - shuffled:
+            break
+        time.sleep(0.1)
+    return now[0] - spooled, now[1] - shuffled
+
+
+def test_a_load_leaves_its_tables_only(spark, tmp_path, store):
+    write(tmp_path / "shipments_master.csv", HEADER, *(f"S{i % 70},A,Suez,Dubai,sea,Delayed,2001-0{1 + i % 9}-01,5.0,t" for i in range(100)),
+          "S100,A,Suez,Dubai,sea,Delayed,2001-01-01,x,t")
+    runs = []
+
+    def twice():
+        runs.extend(pipeline.run_pipeline(spark, str(tmp_path), store).collect()[0] for _ in range(2))
+
+    assert _left_by(spark, twice, "staged", "insert", "keys", "rejected") == (set(), set())
+    assert [(r.rows_read, r.rows_inserted, r.rows_duplicate, r.rows_errored) for r in runs] == [(101, 70, 30, 1), (101, 0, 100, 1)]
+    stored, held = spark.table("shipments_master"), spark.table("shipments_master_keys")
+    assert {r[0] for r in stored.select("shipment_id").collect()} == {f"S{i}" for i in range(70)} == {r[0] for r in held.collect()}
+    assert stored.count() == held.count() == 70
+
+
+def test_slices_of_a_load_are_its_rows(spark, tmp_path):
+    session = _stored(spark, tmp_path)
+    assert _load(session, ["A", "B"]) == 2
+    rows = _telemetry_rows(session, ["B", "C", "C", *(f"E{i}" for i in range(50)), None])
+    parts = [tables.append_unstored(rows, "route_events", tables.ARRIVAL, nth).collect() for nth in range(tables.LOAD_SLICES)]
+    assert all(parts) and sorted(r.event_id for part in parts for r in part) == sorted(["C", *(f"E{i}" for i in range(50))])
+    assert [r._line for part in parts for r in part if r.event_id == "C"] == [1]
+
+
+def test_csv_input_is_packed_and_made_in_slices(spark, folder):
+    made = []
+    assert _left_by(spark, lambda: made.extend(catalog._csv_folder(spark, folder)))[1] == set()
+    for name, rows in (("shipments_master", views.shipments(spark, folder)), ("route_events", views.route_events(spark, folder))):
+        files = [f for f in Path(made[1].removeprefix("file:")).glob(f"{name}.csv/part-*")]
+        assert files and all(f.name.endswith(".csv.gz") for f in files)
+        back = spark.read.option("header", True).csv(f"{made[1]}/{name}.csv")
+        key = schema.KEYS[name]
+        assert sorted(r[0] for r in back.select(key).collect()) == sorted(r[0] for r in rows.select(key).collect())
+
+
+def test_slices_of_the_shipments_are_the_shipments(spark, folder):
+    parts = [views.shipments(spark, folder, nth, 3) for nth in range(3)]
+    assert all(part.count() for part in parts)
+    assert sorted(map(str, (r for part in parts for r in part.collect()))) == sorted(map(str, views.shipments(spark, folder).collect()))
+
+
+def test_headers_of_packed_files_are_read_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for n in range(5):
+        (tmp_path / "in" / f"{n}.csv.gz").write_bytes(gzip.compress(f"\nshipment_id,carrier\nS{n},A\n".encode()))
+    write(tmp_path / "in" / "x.csv", "carrier,shipment_id", "B,S9")
+    found, reads = csv_load._headers(spark, f"{tmp_path}/in"), []
+    assert {h: len(f) for h, f in found.items()} == {("shipment_id", "carrier"): 5, ("carrier", "shipment_id"): 1}
+    csv = DataFrameReader.csv
+    monkeypatch.setattr(DataFrameReader, "csv", lambda self, *a, **b: reads.append(a) or csv(self, *a, **b))
+    csv_load._headers(spark, f"{tmp_path}/in")
+    assert len(reads) == 2
+    rows = csv_load.load_csv(spark, f"{tmp_path}/in", schema.SHIPMENTS).collect()
+    assert {r.shipment_id: r.carrier for r in rows} == {**{f"S{n}": "A" for n in range(5)}, "S9": "B"}
