@@ -283,3 +283,12 @@ def test_headers_of_packed_files_are_read_once(spark, tmp_path, monkeypatch):
     assert len(reads) == 2
     rows = csv_load.load_csv(spark, f"{tmp_path}/in", schema.SHIPMENTS).collect()
     assert {r.shipment_id: r.carrier for r in rows} == {**{f"S{n}": "A" for n in range(5)}, "S9": "B"}
+
+
+def test_ensure_tables_leaves_its_input_and_tables_only(spark, folder):
+    made = []
+    left = _left_by(spark, lambda: made.append(catalog.ensure_tables(spark, folder)), "staged", "insert", "keys", "rejected")
+    assert left == (set(), set())
+    counts = {"shipments_master": views.shipment_count(spark, folder), "route_events": views.table(spark, folder, "events").count()}
+    want = {name: (n, len(schema.CONTRACTS[name]) + 1) for name, n in counts.items()}
+    assert {r.table_name: (r.rows, r["columns"]) for r in made[0].collect()} == want
